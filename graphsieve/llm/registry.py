@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lines import OP5_SQL, op5
 from .sharding import op1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
+    "op5_line_dedup": op5,
+}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
 }
-ORACLES: dict[str, str] = {}
