@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .lines import OP5_SQL, op5
+from .quality import op8
 from .sharding import op1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
     "op5_line_dedup": op5,
+    "op8_quality_rules": op8,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
