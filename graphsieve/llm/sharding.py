@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from .common import Work, fresh, table
 
 BUCKET_BYTES = 32 << 20
+#: Bucket offsets (16 bytes each) are broadcast up to this number.
+MAX_BROADCAST = 1 << 20
 
 
 def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -74,7 +76,7 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
         starts[k], at = at, at + counts.get(k, 0)
     offsets = spark.createDataFrame([(k, int(starts[k])) for k in range(n_buckets)], f"{bucket} int, {start} long")
     g = F.col(start) + F.col(place)
-    joined = written.join(offsets, bucket)
+    joined = written.join(F.broadcast(offsets) if n_buckets <= MAX_BROADCAST else offsets, bucket)
     return joined.select(*[F.col(c) for c in columns], F.pmod(g, F.lit(n_shards)).cast("int").alias("shard"), F.floor(g / n_shards).cast("long").alias("slot"))
 
 
