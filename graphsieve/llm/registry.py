@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP10_SQL, op10
 from .lines import OP5_SQL, op5
 from .quality import op8
 from .sharding import op1
@@ -14,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
     "op5_line_dedup": op5,
     "op8_quality_rules": op8,
+    "op10_decontamination": op10,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
+    "op10_decontamination": OP10_SQL,
 }
