@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Work, ascii_lower, fresh, kept, table
+from .common import Work, ascii_lower, fresh, kept, small, table
 
 #: Between words: everything below 0x80 but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows (some tens of bytes each) up to which a table is broadcast.
-MAX_BROADCAST = 200_000
 #: A document in the index: 96 bits of its id and text.
 DOC = ["doc", "doc2"]
 
@@ -20,11 +18,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS, -1), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df for a broadcast if a count finds few rows, else as it is: a shuffled join, which AQE can split."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
-
-
 class PositionalIndex:
     """Postings (tid, doc, doc2, pos) of the words of texts, written once to the shared folder.
 

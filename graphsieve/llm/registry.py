@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10
 from .lines import OP5_SQL, op5
+from .minhash import op2
 from .quality import op8
 from .sharding import op1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
+    "op2_minhash": op2,
     "op5_line_dedup": op5,
     "op8_quality_rules": op8,
     "op10_decontamination": op10,
