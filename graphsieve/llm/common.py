@@ -98,3 +98,8 @@ MAX_BROADCAST = 200_000
 def small(df: DataFrame) -> DataFrame:
     """df for a broadcast if a count finds few rows, else as it is: a shuffled join, which AQE can split."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
+def held_out(part: int, rest: int) -> Column:
+    """crc32 of the id as text, modulo part, is rest; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(part)) == rest

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10
+from .langid import op6
 from .lines import OP5_SQL, op5
+from .mil import op3
 from .minhash import op2
 from .quality import op8
 from .sharding import op1
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
     "op2_minhash": op2,
     "op5_line_dedup": op5,
+    "op3_attention_quality": op3,
+    "op6_language_id": op6,
     "op8_quality_rules": op8,
     "op10_decontamination": op10,
 }
