@@ -13,6 +13,7 @@ from .mil import op3
 from .minhash import op2
 from .quality import op8
 from .sharding import op1
+from .warc import op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_attention_quality": op3,
     "op6_language_id": op6,
     "op8_quality_rules": op8,
+    "op9_warc": op9,
     "op10_decontamination": op10,
 }
 ORACLES: dict[str, str] = {
