@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunking import op4
 from .decontaminate import OP10_SQL, op10
 from .langid import op6
 from .lines import OP5_SQL, op5
 from .mil import op3
 from .minhash import op2
+from .packing import op7
 from .quality import op8
 from .sharding import op1
 from .warc import op9
@@ -18,7 +20,9 @@ from .warc import op9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1,
     "op2_minhash": op2,
+    "op4_substring_dedup": op4,
     "op5_line_dedup": op5,
+    "op7_packing": op7,
     "op3_attention_quality": op3,
     "op6_language_id": op6,
     "op8_quality_rules": op8,
