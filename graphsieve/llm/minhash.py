@@ -16,6 +16,8 @@ from .common import Work, batched, map_arrow, small, table
 from .components import components
 
 BITS = 4
+#: Minima of the long signatures with which pairs of unsettled buckets are compared.
+LONG = 512
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
@@ -35,6 +37,10 @@ class Scheme:
     def size(self) -> int:
         return self.rows * self.bands
 
+    def longer(self) -> Scheme:
+        """Other hash functions, for signatures only: the estimate's deviation falls with the root of their number."""
+        return Scheme(self.width, LONG, 1, self.seed + 1)
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
         return rng.integers(0, 2**64, (self.size, 1), dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, (self.size, 1), dtype=np.uint64)
@@ -120,6 +126,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def _long_signatures(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(v, sig) of rows (id, text)."""
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = scheme.hashes()
+        sig = [pack(minima(s, a, b)).tobytes() for _, _, data, offs in K.chunks(batch["text"]) for s in K.shingle_sets(K.Words(data, offs), scheme.width)]
+        return pa.record_batch({"v": batch["id"], "sig": pa.array(sig, pa.binary())})
+
+    return map_arrow(rows.select("id", "text"), sign, "v long, sig binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, scheme: Scheme, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full shingle sets have percent * union <= 100 * intersection.
 
@@ -166,21 +183,26 @@ def _estimated(pairs: DataFrame, reps: DataFrame, scheme: Scheme, floor: float)
     return map_arrow(signed.select("a", "b", "sa", "sb"), pick, "a long, b long")
 
 
-def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, scheme: Scheme, floor: float, work: Work) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts, scheme: Scheme, similarity: float, work: Work) -> DataFrame:
     """Candidate pairs whose ends are still in different components, for every band that they share.
 
     In a bucket the largest component's members need no comparing among themselves: each of the others
     meets every member.  Buckets are cut into tiles (512 members by 2048 of the others), so no task
-    holds a whole bucket; a tile compares packed signatures and gives out only pairs over the floor,
-    each in the first band that both share.
+    holds a whole bucket; a tile compares packed signatures and gives out only pairs estimated within
+    four deviations, each in the first band that both share.  Only members of unsettled buckets are
+    signed for this, at length, so that few pairs that are no links are left to be confirmed.
     """
-    size = scheme.size
+    longer = scheme.longer()
+    floor = longer.floor(similarity)
+    size = longer.size
     labelled = members.join(small(labels.withColumnRenamed("comp", "c")), "v", "left").select("band", "key", "v", F.coalesce("c", "v").alias("c"))
     labelled = work.stage(labelled, "labelled")
     each = labelled.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
     open_ = each.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("c", "n").alias("major")).filter("k > 1")
     open_ = open_.select("band", "key", "major", F.ceil(F.col("n") / 512).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("top")) / 2048).cast("int").alias("cols"))
-    rows = labelled.join(small(open_), ["band", "key"])
+    rows = work.stage(labelled.join(small(open_), ["band", "key"]), "open")
+    signed = work.stage(_long_signatures(texts(rows.select(F.col("v").alias("id")).distinct()), longer), "long")
+    reps = reps.select("v", "bands").join(signed, "v")
     home, col = F.pmod(F.xxhash64("v"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), F.col("cols")).cast("int")
     range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = rows.select("band", "key", "v", "c", (F.col("c") != F.col("major")).alias("minor"), home.alias("x"), range_("cols").alias("y"), F.lit(0).alias("role"))
@@ -233,8 +255,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scheme: Scheme | None =
     work, floor = Work(spark, "minhash"), scheme.floor(percent / 100)
     signed = work.stage(signatures(docs, scheme, id_col, text_col), "signed")
     full = signed.filter("n > 0 and id is not null")
-    classes = full.groupBy("cls").agg(F.min("id").alias("v"))
-    reps = work.stage(full.join(classes, "cls").filter("id = v").dropDuplicates(["v"]).select("v", "sig", "bands"), "reps")
+    classes = work.stage(full.groupBy("cls").agg(F.min("id").alias("v")), "classes")
+    reps = work.stage(full.join(classes.withColumnRenamed("v", "id"), ["cls", "id"]).withColumnRenamed("id", "v").dropDuplicates(["v"]).select("v", "sig", "bands"), "reps")
     banded = reps.select("v", F.posexplode("bands").alias("band", "key"))
     buckets = work.stage(banded.groupBy("band", "key").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a < z").select("band", "key", "a"), "buckets")
     members = work.stage(banded.join(small(buckets), ["band", "key"]), "members")
@@ -243,17 +265,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scheme: Scheme | None =
     own = F.col(id_col).cast("long")
     source = docs.select(own.alias("id"), F.col(text_col).alias("text"))
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = lambda p: source.join(small(ends(p)), "id", "left_semi").dropDuplicates(["id"])
-    links = work.stage(verify(stars, texts(stars), scheme, percent), "links")
+    texts = lambda some: source.join(small(some), "id", "left_semi").dropDuplicates(["id"])
+    links = work.stage(verify(stars, texts(ends(stars)), scheme, percent), "links")
     labels = work.stage(components(links, work, "near"), "labels")
-    rest = work.stage(_across(members, labels, reps, scheme, floor, work), "rest")
-    more = work.stage(verify(rest, texts(rest), scheme, percent), "more")
+    rest = work.stage(_across(members, labels, reps, texts, scheme, percent / 100, work), "rest")
+    more = work.stage(verify(rest, texts(ends(rest)), scheme, percent), "more")
     if more.limit(1).count():
         labels = work.stage(components(links.unionAll(more), work, "all"), "final")
-    named = classes.join(labels.select("v", "comp"), "v", "left").select("cls", F.coalesce("comp", "v").alias("comp"))
+    named = work.stage(classes.join(labels.select("v", "comp"), "v", "left").select("cls", F.coalesce("comp", "v").alias("comp")), "named")
     out = signed.select("id", "n", "cls").join(named, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
     out = work.stage(out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), "out")
-    work.drop("signed", "reps", "buckets", "members", "labelled", "stars", "rest")
+    work.drop("signed", "classes", "reps", "buckets", "members", "labelled", "open", "long", "stars", "rest", "named")
     return out
 
 
