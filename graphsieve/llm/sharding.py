@@ -21,12 +21,12 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     """All rows of docs in a seeded random order, dealt into shards: every column, and ``shard``, ``slot``.
 
     Pass one scatters rows uniformly into buckets of about bucket_bytes by a seeded hash of id and
-    text.  A bucket that comes out over twice that size (only repeated rows can do so) is split by
-    row position.  Pass two holds one bucket at a time, permutes it (Fisher-Yates with a generator
-    seeded by seed and bucket, over rows in a fixed order) and writes it to the shared folder.  A
-    row's place in the sequence of all buckets is g: shard g mod n_shards, slot g div n_shards.  So
-    shard counts differ by one at most and slots have no gaps, however skewed sources, keys and
-    copies are.
+    text.  A bucket that comes out over twice that size is split by another hash, and by row position
+    if it holds many copies of one row (only then does the order depend on the input's layout).  Pass
+    two holds one bucket at a time, permutes it (Fisher-Yates with a generator seeded by seed and
+    bucket, over rows in a fixed order) and writes it to the shared folder.  A row's place in the
+    sequence of all buckets is g: shard g mod n_shards, slot g div n_shards.  So shard counts differ
+    by one at most and slots have no gaps, however skewed sources, keys and copies are.
 
     Nulls in id or text are values like others; an empty table gives an empty result; repeated rows
     are rows of their own.  A column called shard, slot, ... in docs is replaced.
@@ -43,10 +43,14 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     home = F.pmod(hashed, F.lit(n)).cast("int")
     over = rows.groupBy(home.alias(bucket)).agg(F.sum(size).alias("b")).filter(F.col("b") > 2 * bucket_bytes).collect()
     moved, extra = home, n
-    for r in over:  # each takes over bucket_bytes of input: at most total / bucket_bytes of them
-        parts = -(-r["b"] // bucket_bytes)
-        moved = F.when(home == r[bucket], extra + F.pmod(F.xxhash64(F.col(hashed), F.monotonically_increasing_id()), F.lit(parts))).otherwise(moved).cast("int")
-        extra += parts
+    if over:  # each takes over bucket_bytes of input, so there are total / bucket_bytes of them at most
+        within = rows.filter(home.isin([r[bucket] for r in over])).groupBy(home.alias(bucket))
+        copies = {r[bucket]: r["n"] > 2 * r["d"] for r in within.agg(F.count("*").alias("n"), F.count_distinct(hashed).alias("d")).collect()}
+        for r in over:
+            parts = -(-r["b"] // bucket_bytes)
+            again = F.xxhash64(F.col(hashed), F.monotonically_increasing_id()) if copies[r[bucket]] else F.xxhash64(F.col(hashed))
+            moved = F.when(home == r[bucket], extra + F.pmod(again, F.lit(parts))).otherwise(moved).cast("int")
+            extra += parts
     n_buckets = int(extra)
     keyed = rows.withColumn(bucket, moved)
     columns = [c for c in keyed.columns if c not in (hashed, bucket)]
