@@ -12,8 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import local as single
 from .graph import nodes_of, symmetric
 from .iterate import checkpointed, repeat
+from .local import fits
 
 ALPHA, TOL, MAX_ITER = 0.15, 1e-6, 100
 
@@ -60,13 +62,18 @@ def _step(w: DataFrame, start: DataFrame, alpha: float, out: str, into: str, bia
     return step
 
 
-def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, tol: float = TOL, max_iter: int = MAX_ITER, weight: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, tol: float = TOL, max_iter: int = MAX_ITER, weight: DataFrame | None = None, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
     """(node, p).  steps fixed, or until the L1 change is under tol, checked every fifth step, max_iter at most.
 
-    An empty graph gives no rows, no seed in it all zeros.  The walk's matrix is partitioned by source and
+    An empty graph gives no rows, no seed in it all zeros.  A small graph is walked in one task, where
+    every step is checked (local: None decides by a count).  Otherwise the walk's matrix is partitioned by source and
     kept, so a step shuffles partial sums only.
     """
-    nodes = checkpointed(nodes_of(edges) if nodes is None else nodes.select("node").distinct())
+    edges = edges.select("src", "dst").persist()
+    nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
+    if fits(edges, local):
+        return single.walk(transition(edges, weight), restart(nodes, seeds), "r", alpha, steps, tol, max_iter, True)
+    nodes = checkpointed(nodes)
     w = transition(edges, weight).repartition("src").persist()
     start = checkpointed(restart(nodes, seeds))
     step = _step(w, start, alpha, "src", "dst", "r")
@@ -86,15 +93,19 @@ def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | N
     return state.select("node", "p")
 
 
-def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: int | None = None, weight: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: int | None = None, weight: DataFrame | None = None, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
     """(node, h): the influence of a walk from node alone on the disease set.
 
     Without steps, as many as bound any walk's change by TOL.
     """
     steps = math.ceil(math.log(TOL / 2) / math.log(1 - alpha)) if steps is None else steps
-    nodes = checkpointed(nodes_of(edges) if nodes is None else nodes.select("node").distinct())
+    edges = edges.select("src", "dst").persist()
+    nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
+    start = nodes.join(disease.select("node").distinct().withColumn("hit", F.lit(1.0)), "node", "left").select("node", F.coalesce("hit", F.lit(0.0)).alias("b"))
+    if fits(edges, local):
+        return single.walk(transition(edges, weight), start, "b", alpha, steps, TOL, steps, False).withColumnRenamed("p", "h")
     w = transition(edges, weight).repartition("dst").persist()
-    start = checkpointed(nodes.join(disease.select("node").distinct().withColumn("hit", F.lit(1.0)), "node", "left").select("node", F.coalesce("hit", F.lit(0.0)).alias("b")))
+    start = checkpointed(start)
     return repeat(start.withColumn("p", F.col("b")), _step(w, start, alpha, "dst", "src", "b"), steps).select("node", F.col("p").alias("h"))
 
 

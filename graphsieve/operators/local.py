@@ -1,0 +1,90 @@
+"""Fixpoints of graphs that fit one task, by size; larger graphs take the distributed loops.
+
+Up to EDGES directed edges (some tens of MB), a step of a distributed loop costs more in planning than in work.
+The choice is made by a count, and both ways give the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+EDGES = 1_000_000
+
+
+def fits(edges: DataFrame, local: bool | None) -> bool:
+    return edges.limit(EDGES + 1).count() <= EDGES if local is None else local
+
+
+def _one_task(edges: DataFrame, nodes: DataFrame, value: str, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], schema: str, names: list[str]) -> DataFrame:
+    """f(src, dst, w, value of each node) over numbered nodes -> rows to keep and their values.  edges: src, dst, w; nodes: node, value."""
+    rows = edges.select("src", "dst", F.col("w").cast("double").alias("w")).unionAll(nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.col(value).cast("double").alias("w")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(frames)
+        if not got:
+            return
+        table = pd.concat(got)
+        is_node = table["dst"].isna().to_numpy()
+        listed = table[is_node].sort_values("src")
+        label = pd.Index(listed["src"])
+        e = table[~is_node]
+        src, dst = label.get_indexer(e["src"]), label.get_indexer(e["dst"])
+        ok = (src >= 0) & (dst >= 0)
+        keep, out = f(src[ok], dst[ok], e["w"].to_numpy()[ok], listed["w"].to_numpy())
+        yield pd.DataFrame({names[0]: label.to_numpy()[keep], names[1]: label.to_numpy()[out] if out.dtype == np.int64 and schema.endswith("string") else out})
+
+    return rows.repartition(1).mapInPandas(run, schema)
+
+
+def walk(w: DataFrame, start: DataFrame, bias: str, alpha: float, steps: int | None, tol: float, max_iter: int, forward: bool) -> DataFrame:
+    """(node, p) of p <- (1 - alpha) W p + alpha b from p = b; by its transpose unless forward."""
+
+    def solve(src, dst, weight, b):
+        a, z = (src, dst) if forward else (dst, src)
+        p = b.copy()
+        for _ in range(max_iter if steps is None else steps):
+            new = (1 - alpha) * np.bincount(z, weight * p[a], minlength=len(b)) + alpha * b
+            change, p = np.abs(new - p).sum(), new
+            if steps is None and change < tol:
+                break
+        return np.arange(len(b)), p
+
+    return _one_task(w, start, bias, solve, "node string, p double", ["node", "p"])
+
+
+def search(edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(node, dist) from the nodes whose ``source`` is 1, over symmetric edges."""
+
+    def solve(src, dst, _, source):
+        dist = np.where(source > 0, 0, -1)
+        for depth in range(1, max_depth + 1):
+            new = dst[(dist[src] == depth - 1) & (dist[dst] < 0)]
+            if not len(new):
+                break
+            dist[new] = depth
+        keep = np.flatnonzero(dist >= 0)
+        return keep, dist[keep].astype(np.int32)
+
+    return _one_task(edges.withColumn("w", F.lit(1.0)), nodes, "source", solve, "node string, dist int", ["node", "dist"])
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, comp) over symmetric edges: labels fall to neighbours' least ones, then jump to their label's label."""
+
+    def solve(src, dst, _, value):
+        label = np.arange(len(value), dtype=np.int64)
+        while True:
+            new = label.copy()
+            np.minimum.at(new, dst, label[src])
+            np.minimum.at(new, label[dst], label[src])
+            new = new[new]
+            if (new == label).all():
+                return np.arange(len(label)), label
+            label = new
+
+    return _one_task(edges.withColumn("w", F.lit(1.0)), nodes.withColumn("value", F.lit(0.0)), "value", solve, "node string, comp string", ["node", "comp"])
