@@ -121,7 +121,7 @@ def cache(spark: SparkSession, path: str) -> DataFrame:
     """(name, smiles) of a JSON object; a file that can't be read as one, or isn't there, gives no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], "name string, smiles string")
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     return whole.select(F.explode("m").alias("name", "smiles"))
 
 
