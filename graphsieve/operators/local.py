@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 EDGES = 1_000_000
 
 
@@ -38,6 +40,7 @@ def _one_task(edges: DataFrame, nodes: DataFrame, value: str, f: Callable[[np.nd
         keep, out = f(src[ok], dst[ok], e["w"].to_numpy()[ok], listed["w"].to_numpy())
         yield pd.DataFrame({names[0]: label.to_numpy()[keep], names[1]: label.to_numpy()[out] if out.dtype == np.int64 and schema.endswith("string") else out})
 
+    ship(edges.sparkSession)
     return rows.repartition(1).mapInPandas(run, schema)
 
 

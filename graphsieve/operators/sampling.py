@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 
 def keyed_hash(*parts: Column | str) -> Column:
     """The md5 of the parts joined by colons: the same in any engine, so draws can be checked elsewhere."""
@@ -81,5 +83,6 @@ def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, se
                 used.add(rows[-1][2])
         return pd.DataFrame(rows, columns=["perm_id", "k", "node"])
 
+    ship(degrees.sparkSession)
     perms = degrees.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm_id"))
     return perms.groupBy("perm_id").applyInPandas(draw, "perm_id int, k int, node string")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 TAILS = ("one_greater", "one_less", "two")
 
 
@@ -31,6 +33,7 @@ def _upper_tail(z: pd.Series) -> pd.Series:
 
 def gaussian_p(z: Column, tail: str = "two") -> Column:
     """2 (1 - Phi(|z|)) for two, else 1 - Phi(z); Spark has no error function."""
+    ship(SparkSession.active())
     upper = F.pandas_udf(_upper_tail, T.DoubleType())
     return 2 * upper(F.abs(z)) if tail == "two" else upper(z)
 
