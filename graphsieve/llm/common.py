@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: Rows of an Arrow batch handed to Python; texts of usual length then make a few MB.
 BATCH_ROWS = 1000
 STRIP = " \t\n\x0b\x0c\r"
@@ -47,7 +49,8 @@ class Work:
 
 
 def batched(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of the Arrow batches that Python stages hold at once."""
+    """Readies the session for Python stages: they find this package, and hold batches of so many rows at most."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

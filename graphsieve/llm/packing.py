@@ -80,6 +80,7 @@ def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group: int = GRO
     Sizes under 1 count as 1, a null source or cluster conflicts with nothing, and an empty table
     gives an empty result.
     """
+    batched(items.sparkSession)
     sized = items.select("id", F.greatest(F.coalesce("size", F.lit(1)), F.lit(1)).cast("long").alias("size"), "source", "cluster")
     last = F.floor((F.col("size") - 1) / capacity).cast("int")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.col("piece").cast("long") * capacity)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Work, fresh, table
+from .common import Work, batched, fresh, table
 
 BUCKET_BYTES = 32 << 20
 #: Bucket offsets (16 bytes each) are broadcast up to this number.
@@ -34,6 +34,7 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     The driver holds one count per bucket (8 bytes for each bucket_bytes of input), nothing else.
     """
     spark, work = docs.sparkSession, Work(docs.sparkSession, "shuffle")
+    batched(spark, 2000)
     docs = docs.drop("shard", "slot")
     hashed, bucket, place, start = (fresh(docs, c) for c in ("_hash", "_bucket", "_place", "_start"))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
