@@ -91,23 +91,37 @@ def test_proximity(spark, e, targets, disease, dc, local):
     assert out["dc"] == (None if dc is None else pytest.approx(dc))
 
 
-@BOTH
-@pytest.mark.parametrize(
-    ("e", "n", "seeds", "alpha", "want"),
-    [
-        (PATH, None, "A", 0.15, {"A": 0.302224, "B": 0.358175, "C": 0.238316, "D": 0.101284}),
-        (PATH, None, "A D", 0.15, {"A": 0.201754, "B": 0.298246, "C": 0.298246, "D": 0.201754}),
-        ("A-B B-C", None, "A", 0.15, {"A": 0.345270, "B": 0.459459, "C": 0.195270}),
-        ("A-B B-C", None, "A A", 0.15, {"A": 0.172635, "B": 0.229730, "C": 0.097635}),
-        ("", "A", "A", 0.15, {"A": 0.15}),
-        ("A-B B-C", None, "Z", 0.15, {"A": 0, "B": 0, "C": 0}),
-        ("A-B C-D B-C", None, "A D", 0.99, {"A": 0.495025, "B": 0.004975, "C": 0.004975, "D": 0.495025}),
-        ("A-B B-C X-Y", None, "A", 0.15, {"X": 0, "Y": 0}),
-    ],
-)
-def test_walk(spark, e, n, seeds, alpha, want, local):
+WALKS = [
+    (PATH, None, "A", 0.15, {"A": 0.302224, "B": 0.358175, "C": 0.238316, "D": 0.101284}),
+    (PATH, None, "A D", 0.15, {"A": 0.201754, "B": 0.298246, "C": 0.298246, "D": 0.201754}),
+    ("A-B B-C", None, "A", 0.15, {"A": 0.345270, "B": 0.459459, "C": 0.195270}),
+    ("A-B B-C", None, "A A", 0.15, {"A": 0.172635, "B": 0.229730, "C": 0.097635}),
+    ("", "A", "A", 0.15, {"A": 0.15}),
+    ("A-B B-C", None, "Z", 0.15, {"A": 0, "B": 0, "C": 0}),
+    ("A-B C-D B-C", None, "A D", 0.99, {"A": 0.495025, "B": 0.004975, "C": 0.004975, "D": 0.495025}),
+    ("A-B B-C X-Y", None, "A", 0.15, {"X": 0, "Y": 0}),
+    ("0-1 0-2 0-3 0-4 0-5", None, "0", 0.15, {"0": 0.540541, "3": 0.091892}),
+    ("0-1 1-2 2-3 3-4 4-5 5-0", None, "0 3", 0.15, {"0": 0.201754, "1": 0.149123, "3": 0.201754}),
+]
+
+
+def walked(spark, e, n, seeds, alpha, want, local):
     got = values(diffusion.rwr(edges(spark, e), nodes(spark, seeds), alpha, nodes=n and nodes(spark, n), local=local))
     assert {k: got[k] for k in want} == pytest.approx(want, abs=6e-6)
+
+
+@pytest.mark.parametrize(("e", "n", "seeds", "alpha", "want"), WALKS)
+def test_walk(spark, e, n, seeds, alpha, want):
+    walked(spark, e, n, seeds, alpha, want, True)
+
+
+@pytest.mark.parametrize(("e", "n", "seeds", "alpha", "want"), [WALKS[1], WALKS[5], WALKS[6]])
+def test_walk_distributed(spark, e, n, seeds, alpha, want):
+    walked(spark, e, n, seeds, alpha, want, False)
+
+
+@BOTH
+def test_walk_on_nothing(spark, local):
     assert diffusion.rwr(edges(spark, ""), nodes(spark, "A"), local=local).count() == 0
 
 
@@ -116,8 +130,8 @@ def test_weighted_walk(spark, local):
     e, x = edges(spark, "C-L C-H"), spark.createDataFrame([("C", 10.0), ("L", 1.0), ("H", 1000.0)], "node string, x double")
     w = diffusion.normalise(graph.nodes_of(e), x)
     assert values(w) == pytest.approx({"C": 0.274269, "L": 0.01, "H": 1.0}, abs=1e-6)
-    got = values(diffusion.rwr(e, nodes(spark, "C"), weight=w, local=local))
-    assert got == pytest.approx({"C": 0.540541, "L": 0.004549, "H": 0.454910}, abs=6e-6)
+    got = values(diffusion.rwr(e, nodes(spark, "C"), steps=60, weight=w, local=local))
+    assert got == pytest.approx({"C": 0.540541, "L": 0.004549, "H": 0.454910}, abs=6e-5)
 
 
 def test_normalise_edges(spark):
