@@ -69,7 +69,7 @@ def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | N
     every step is checked (local: None decides by a count).  Otherwise the walk's matrix is partitioned by source and
     kept, so a step shuffles partial sums only.
     """
-    edges = edges.select("src", "dst").persist()
+    edges = checkpointed(edges.select("src", "dst"))
     nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     if fits(edges, local):
         return single.walk(transition(edges, weight), restart(nodes, seeds), "r", alpha, steps, tol, max_iter, True)
@@ -90,7 +90,9 @@ def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | N
             change = state.join(before.select("node", F.col("p").alias("o")), "node").agg(F.sum(F.abs(F.col("p") - F.col("o")))).first()[0]
             if change is None or change < tol:
                 break
-    return state.select("node", "p")
+    out = checkpointed(state.select("node", "p"))
+    w.unpersist()
+    return out
 
 
 def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: int | None = None, weight: DataFrame | None = None, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
@@ -99,14 +101,16 @@ def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: i
     Without steps, as many as bound any walk's change by TOL.
     """
     steps = math.ceil(math.log(TOL / 2) / math.log(1 - alpha)) if steps is None else steps
-    edges = edges.select("src", "dst").persist()
+    edges = checkpointed(edges.select("src", "dst"))
     nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     start = nodes.join(disease.select("node").distinct().withColumn("hit", F.lit(1.0)), "node", "left").select("node", F.coalesce("hit", F.lit(0.0)).alias("b"))
     if fits(edges, local):
         return single.walk(transition(edges, weight), start, "b", alpha, steps, TOL, steps, False).withColumnRenamed("p", "h")
     w = transition(edges, weight).repartition("dst").persist()
     start = checkpointed(start)
-    return repeat(start.withColumn("p", F.col("b")), _step(w, start, alpha, "dst", "src", "b"), steps).select("node", F.col("p").alias("h"))
+    out = checkpointed(repeat(start.withColumn("p", F.col("b")), _step(w, start, alpha, "dst", "src", "b"), steps).select("node", F.col("p").alias("h")))
+    w.unpersist()
+    return out
 
 
 def influence(h: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:

@@ -69,7 +69,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, local: bool | N
     Small graphs in one task (local: None decides by a count).  Others by alternating large and small
     stars; a round's table is checkpointed, so plans stay short, and O(log n) rounds suffice.
     """
-    edges = edges.select("src", "dst").persist()
+    edges = checkpointed(edges.select("src", "dst"))
     if fits(edges, local):
         known = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
         return single.components(symmetric(edges), known)

@@ -14,14 +14,16 @@ from .local import fits
 def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1000, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
     """(node, dist) from the nearest source in the graph; unreachable nodes are left out.
 
-    One search from all sources at once: a small graph's in one task (local: None decides by a count).  Edges are hash-partitioned by their start and kept, so a level
-    shuffles only its frontier and its result.
+    One search from all sources at once: a small graph's in one task (local: None decides by a count).
+    Otherwise edges are hash-partitioned by their start and kept, so a level shuffles only its frontier
+    and its result.
     """
-    sym = symmetric(edges).filter("src <> dst").repartition("src").persist()
+    sym = checkpointed(symmetric(edges).filter("src <> dst"))
     known = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     if fits(sym, local):
         flagged = known.join(sources.select("node").distinct().withColumn("source", F.lit(1.0)), "node", "left").fillna(0.0, ["source"])
         return single.search(sym, flagged, max_depth)
+    sym = sym.repartition("src").persist()
     seen = checkpointed(known.join(sources.select("node").distinct(), "node", "left_semi").withColumn("dist", F.lit(0)))
     frontier = seen
     for depth in range(1, max_depth + 1):

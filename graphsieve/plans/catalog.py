@@ -77,7 +77,7 @@ def curated_targets(spark, sf):
     return tables.curate(_raw(spark, sf), _mapping(spark, sf), [F.col("ord")])
 
 
-@query(S.CURATION + """SELECT compound, row_number() OVER (PARTITION BY compound ORDER BY ord, protein_id) AS idx, protein_id, coalesce(gene, 'NO_MAPPING') AS gene,
+@query(S.CURATION + """SELECT compound, CAST(row_number() OVER (PARTITION BY compound ORDER BY ord, protein_id) AS INTEGER) AS idx, protein_id, coalesce(gene, 'NO_MAPPING') AS gene,
   CASE WHEN gene IS NULL THEN 'No mapping' WHEN alien THEN 'Non-human (' || gene || ')' ELSE 'KEPT' END AS reason,
   CASE WHEN NOT alien THEN NULL WHEN protein_id LIKE 'Q91%' OR protein_id LIKE 'Q9D%' THEN 'Mouse' WHEN protein_id LIKE 'Q63%' OR protein_id LIKE 'Q965D%' THEN 'Rat'
        WHEN gene IN ('GyrA', 'NANA') THEN 'Bacterial' WHEN gene IN ('HPV16E6', 'NSP5') THEN 'Viral' ELSE 'Non-human' END AS species FROM named""")
@@ -587,7 +587,7 @@ def waterfall(spark, sf):
     return reshape.waterfall(row).select("ord", "step", "kind", *[F.round(c, 4).alias(c) for c in ("value", "ymin", "ymax")], "fill", F.round("label_y", 4).alias("label_y"))
 
 
-@query("SELECT m.r_name AS method, l.v / 100 AS level, x FROM region m, (SELECT unnest([5, 10, 15]) AS v) l, (SELECT unnest(range(0, 71)) AS x)")
+@query("SELECT m.r_name AS method, l.v / 100 AS level, CAST(x AS INTEGER) AS x FROM region m, (SELECT unnest([5, 10, 15]) AS v) l, (SELECT unnest(range(0, 71)) AS x)")
 def grid_unnest(spark, sf):
     levels = spark.createDataFrame([(5,), (10,), (15,)], "v int").select((F.col("v") / 100).alias("level"))
     return reshape.grid(levels, D.table(spark, sf, "region").select(F.col("r_name").alias("method")), 70)
