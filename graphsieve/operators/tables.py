@@ -32,10 +32,11 @@ def curate(raw: DataFrame, mapping: DataFrame, order: list[Column]) -> DataFrame
 
 
 def curation_audit(raw: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(compound, n_raw, n_unmapped, n_foreign, n_kept)."""
+    """(compound, n_raw, n_unmapped, n_foreign, n_kept, n_duplicates): n_kept before repeated accessions go, of which there are n_duplicates."""
+    good = F.col("gene_name").isNotNull() & ~F.col("foreign")
     return map_ids(raw, mapping).groupBy("compound").agg(
         F.count("*").alias("n_raw"), F.count_if(F.col("gene_name").isNull()).alias("n_unmapped"), F.count_if("foreign").alias("n_foreign"),
-        F.count_if(F.col("gene_name").isNotNull() & ~F.col("foreign")).alias("n_kept"),
+        F.count_if(good).alias("n_kept"), (F.count_if(good) - F.count_distinct(F.when(good, F.col("protein_id")))).alias("n_duplicates"),
     )
 
 

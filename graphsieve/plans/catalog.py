@@ -67,7 +67,7 @@ def _mapping(spark, sf):
     return _raw(spark, sf).filter("ord % 3 > 0 and ord < 300").select("protein_id", gene.alias("gene_name")).dropDuplicates(["protein_id"])
 
 
-@query(S.CURATION + "SELECT compound, count(*) AS n_raw, count(*) FILTER (gene IS NULL) AS n_unmapped, count(*) FILTER (alien) AS n_foreign, count(*) FILTER (gene IS NOT NULL AND NOT alien) AS n_kept FROM named GROUP BY 1")
+@query(S.CURATION + "SELECT compound, count(*) AS n_raw, count(*) FILTER (gene IS NULL) AS n_unmapped, count(*) FILTER (alien) AS n_foreign, count(*) FILTER (gene IS NOT NULL AND NOT alien) AS n_kept, count(*) FILTER (gene IS NOT NULL AND NOT alien) - count(DISTINCT protein_id) FILTER (gene IS NOT NULL AND NOT alien) AS n_duplicates FROM named GROUP BY 1")
 def id_map_audit(spark, sf):
     return tables.curation_audit(_raw(spark, sf), _mapping(spark, sf))
 

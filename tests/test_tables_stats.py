@@ -31,7 +31,7 @@ def test_curation(spark):
     raw = spark.createDataFrame([("A", "P1", "s1", 1), ("A", "P1", "s0", 2), ("A", "Q91x", "s", 3), ("B", "P2", "s", 4), ("B", "P3", "s", 5)], "compound string, protein_id string, source string, ord int")
     m = spark.createDataFrame([("P1", "MDR1"), ("Q91x", "AKT1"), ("P3", "insr")], "protein_id string, gene_name string")
     assert [tuple(r) for r in tables.curate(raw, m, [F.col("ord")]).collect()] == [("A", "P1", "s1", "ABCB1")]
-    assert sorted(map(tuple, tables.curation_audit(raw, m).collect())) == [("A", 3, 0, 1, 2), ("B", 2, 1, 1, 0)]
+    assert sorted(map(tuple, tables.curation_audit(raw, m).collect())) == [("A", 3, 0, 1, 2, 1), ("B", 2, 1, 1, 0, 0)]
     trace = {(r["compound"], r["idx"]): (r["reason"], r["species"]) for r in tables.exclusion_trace(raw, m, "ord").collect()}
     assert trace[("A", 3)] == ("Non-human (AKT1)", "Mouse") and trace[("B", 1)] == ("No mapping", None) and trace[("B", 2)][1] == "Non-human"
 
