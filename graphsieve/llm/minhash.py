@@ -17,7 +17,7 @@ from .components import components
 
 BITS = 4
 #: Minima of the long signatures with which pairs of unsettled buckets are compared.
-LONG = 512
+LONG = 1024
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
@@ -264,18 +264,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scheme: Scheme | None =
     stars = work.stage(_estimated(stars, reps, scheme, floor), "stars")
     own = F.col(id_col).cast("long")
     source = docs.select(own.alias("id"), F.col(text_col).alias("text"))
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = lambda p, name: work.stage(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
     texts = lambda some: source.join(small(some), "id", "left_semi").dropDuplicates(["id"])
-    links = work.stage(verify(stars, texts(ends(stars)), scheme, percent), "links")
+    links = work.stage(verify(stars, texts(ends(stars, "star_ends")), scheme, percent), "links")
     labels = work.stage(components(links, work, "near"), "labels")
     rest = work.stage(_across(members, labels, reps, texts, scheme, percent / 100, work), "rest")
-    more = work.stage(verify(rest, texts(ends(rest)), scheme, percent), "more")
+    more = work.stage(verify(rest, texts(ends(rest, "rest_ends")), scheme, percent), "more")
     if more.limit(1).count():
         labels = work.stage(components(links.unionAll(more), work, "all"), "final")
     named = work.stage(classes.join(labels.select("v", "comp"), "v", "left").select("cls", F.coalesce("comp", "v").alias("comp")), "named")
     out = signed.select("id", "n", "cls").join(named, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
     out = work.stage(out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), "out")
-    work.drop("signed", "classes", "reps", "buckets", "members", "labelled", "open", "long", "stars", "rest", "named")
+    work.drop("signed", "classes", "reps", "buckets", "members", "labelled", "open", "long", "stars", "star_ends", "rest", "rest_ends", "named")
     return out
 
 
