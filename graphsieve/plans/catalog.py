@@ -246,33 +246,33 @@ def setops_subset(spark, sf):
     return tables.is_subset(graph.nodes_of(_edges(spark, sf, D.STRICT)), graph.nodes_of(_edges(spark, sf)))
 
 
-@query(S.components(3) + "SELECT node, comp FROM comp")
+@query(S.components() + "SELECT node, comp FROM comp")
 def components(spark, sf):
     return graph.components(_edges(spark, sf, D.STRICT))
 
 
-@query(S.components(3) + "SELECT node FROM lcc")
+@query(S.components() + "SELECT node FROM lcc")
 def lcc(spark, sf):
     return graph.largest_component(_edges(spark, sf, D.STRICT))
 
 
-@query(S.components(3, _KEEP) + "SELECT node FROM lcc")
+@query(S.components(_KEEP) + "SELECT node FROM lcc")
 def tissue_lcc(spark, sf):
     e = _edges(spark, sf, D.STRICT)
     return graph.filter_to(e, graph.nodes_of(e), _keep(spark, sf))
 
 
-@query(S.components(3) + "SELECT count(*) AS n_nodes, count(DISTINCT comp) AS n_components, count(DISTINCT comp) = 1 AS connected FROM comp")
+@query(S.components() + "SELECT count(*) AS n_nodes, count(DISTINCT comp) AS n_components, count(DISTINCT comp) = 1 AS connected FROM comp")
 def validate_network(spark, sf):
     return graph.validate(_edges(spark, sf, D.STRICT))
 
 
-@query(S.components(3) + "SELECT node FROM lcc INTERSECT SELECT node FROM nodes2")
+@query(S.components() + "SELECT node FROM lcc INTERSECT SELECT node FROM nodes2")
 def nested_lcc(spark, sf):
     return tables.in_both(graph.largest_component(_edges(spark, sf, D.STRICT)), graph.largest_component(_edges(spark, sf)))
 
 
-@query(S.components(3) + """SELECT t.compound, t.node, CASE WHEN t.node IN (SELECT node FROM lcc) THEN 'KEPT' WHEN coalesce(ex.x, 0) < 950 THEN 'Not expressed' ELSE 'Not in component' END AS reason
+@query(S.components() + """SELECT t.compound, t.node, CASE WHEN t.node IN (SELECT node FROM lcc) THEN 'KEPT' WHEN coalesce(ex.x, 0) < 950 THEN 'Not expressed' ELSE 'Not in component' END AS reason
   FROM targets t LEFT JOIN ex ON t.node = ex.node""")
 def component_trace(spark, sf):
     inside = graph.largest_component(_edges(spark, sf, D.STRICT))
@@ -280,12 +280,12 @@ def component_trace(spark, sf):
     return f.select("compound", "node", C.component_reason(F.col("inside"), F.col("expressed"), F.col("inside")).alias("reason"))
 
 
-@query(S.bfs(3) + "SELECT node, dist FROM dist")
+@query(S.bfs() + "SELECT node, dist FROM dist")
 def bfs_distance(spark, sf):
     return paths.distances(_edges(spark, sf, D.STRICT), D.disease(spark, sf))
 
 
-@query(S.bfs(3) + "SELECT compound, round(avg(dist), 6) AS dc, count(dist) AS n_reached FROM targets t LEFT JOIN dist ON t.node = dist.node GROUP BY 1")
+@query(S.bfs() + "SELECT compound, round(avg(dist), 6) AS dc, count(dist) AS n_reached FROM targets t LEFT JOIN dist ON t.node = dist.node GROUP BY 1")
 def proximity_dc(spark, sf):
     dist = paths.distances(_edges(spark, sf, D.STRICT), D.disease(spark, sf))
     return paths.proximity(dist, D.targets(spark, sf), ["compound"]).select("compound", *_r6("dc"), "n_reached")

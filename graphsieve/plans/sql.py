@@ -50,7 +50,7 @@ def _component_ctes(sym: str, nodes: str, tag: str = "") -> str:
 """
 
 
-def components(least: int, keep: str | None = None) -> str:
+def components(keep: str | None = None) -> str:
     """comp and lcc of the strict graph (or of what keep induces), nodes2 the loose graph's largest component."""
     sym = "sym3" if keep is None else f"(SELECT src, dst FROM sym3 WHERE src IN {keep} AND dst IN {keep})"
     nodes = "nodes3" if keep is None else f"(SELECT node FROM nodes3 WHERE node IN {keep})"
@@ -65,8 +65,8 @@ def dist_cte(least: int) -> str:
 """
 
 
-def bfs(least: int) -> str:
-    return f"WITH RECURSIVE {_BASE}{dist_cte(least)}"
+def bfs() -> str:
+    return f"WITH RECURSIVE {_BASE}{dist_cte(3)}"
 
 
 _WEIGHT = """, nx AS (SELECT n.node, log2(coalesce(x, 0) + 1) AS v FROM nodes n LEFT JOIN ex ON n.node = ex.node),
@@ -129,7 +129,7 @@ def permutation(steps: int, iterations: int, seed: int, weighted: bool = False)
 
 def path_permutation(iterations: int, seed: int) -> str:
     return (
-        bfs(3)
+        bfs()
         + _ranked("nodes3", iterations, seed)
         + ", null_ AS (SELECT compound, iter, avg(dist) AS value FROM sizes JOIN ranked ON rn <= n JOIN dist USING (node) GROUP BY 1, 2), obs AS (SELECT compound, avg(dist) AS observed FROM targets JOIN dist USING (node) GROUP BY 1)"
         + _SCORED.format("<=")
