@@ -14,9 +14,16 @@ from . import kernels as K
 from .common import Work, batched, fresh, kept, map_arrow, small, table
 
 _GEAR = np.random.Generator(np.random.PCG64(4242)).integers(0, 2**32, 256, dtype=np.uint32)
-#: A cut follows a byte where these bits of the gear hash are 0: once in 32 bytes, decided by the 21 bytes before it.
+#: The start of a word may be a cut; of every WINDOW such in a row, the one of the least gear hash is (the last of equal ones).
+#: The hash's low bits count, which the SPAN bytes before decide: each cut depends on the text near it, on no other cut.
+WINDOW, SPAN = 8, 12
+_LOW = np.uint32((1 << SPAN) - 1)
+#: LONG bytes into a word, a cut follows a byte where these bits are 0 (once in 32 bytes, decided by the 21 bytes before it) and APART bytes before they weren't.
 _MASK = np.uint32(0x001F0000)
-LEAST, MOST = 32, 160
+LONG, APART, MOST = 64, 8, 160
+#: Words that 51 shared words of any length hold for certain between cuts of their own: those of the words 13 to 43, the first by the 20th, the last from the 36th on.
+SURE_WORDS = 16
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -30,62 +37,77 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def word_starts(data: np.ndarray) -> np.ndarray:
+    """Places of bytes after a blank that are none."""
+    blank = _BLANK[data]
+    return np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+
+
 def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes of the buffer) of every row's chunks, and their rows.
 
-    A chunk has LEAST to MOST bytes (a row's last may be shorter) and never parts a character.  LEAST
-    is the hash's span, so a row's cuts don't depend on the row before it.
+    A chunk has WINDOW words and MOST bytes at most and never parts a character.  Words are windowed
+    within their row and from its SPAN-th byte on, so a row's cuts don't depend on the row before it.
     """
-    whole = np.append((data & 0xC0) != 0x80, True)
-    spots = np.flatnonzero(((gear(data) & _MASK) == 0) & whole[1:]) + 1
-    starts, ends, rows = [], [], []
-    bounds = np.searchsorted(spots, offs).tolist()
-    spots = spots.tolist()
-    for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-        at = a
-        for s in (*spots[bounds[r] : bounds[r + 1]], b):
-            while s - at > MOST:
-                stop = at + MOST
-                while not whole[stop]:
-                    stop -= 1
-                starts.append(at), ends.append(stop), rows.append(r)
-                at = stop
-            if s - at >= LEAST or s == b > at:
-                starts.append(at), ends.append(s), rows.append(r)
-                at = s
-    return np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, np.int64)
-
-
-_CHUNKS = "hi long, lo long, doc long, doc2 int, id long, idx int, start int, stop int"
+    whole, h = np.append((data & 0xC0) != 0x80, True), gear(data)
+    words = word_starts(data)
+    row = np.searchsorted(offs, words, "right") - 1
+    inside = words - offs[row] >= SPAN
+    at, row = words[inside], row[inside]
+    picked = at[:0]
+    if len(at) >= WINDOW:
+        least = ((h[at - 1] & _LOW).astype(np.int64) << 32) - np.arange(len(at))
+        for shift in (1, 2, 4):
+            least = np.minimum(least[:-shift], least[shift:])
+        picked = at[np.unique(-least[row[: len(least)] == row[WINDOW - 1 :]] & 0xFFFFFFFF)]
+    spots = np.flatnonzero(((h & _MASK) == 0) & whole[1:]) + 1
+    spots = spots[(np.diff(spots, prepend=-APART - 1) > APART) & (spots < len(data))]
+    marks = np.union1d(words, offs)
+    spots = spots[spots - marks[np.searchsorted(marks, spots, "right") - 1] >= LONG]
+    cuts = np.unique(np.concatenate([offs, picked, spots]))
+    more = []
+    for k in np.flatnonzero(np.diff(cuts) > MOST).tolist():
+        stop = int(cuts[k])
+        while cuts[k + 1] - stop > MOST:
+            stop += MOST
+            while not whole[stop]:
+                stop -= 1
+            more.append(stop)
+    cuts = np.union1d(cuts, np.array(more, np.int64)).astype(np.int64)
+    return cuts[:-1], cuts[1:], np.searchsorted(offs, cuts[:-1], "right") - 1
+
+
+_CHUNKS = "hi long, lo long, doc long, doc2 int, id long, idx int"
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """docs (doc, doc2, id, text) as chunks: a 128-bit digest, the document, the chunk's number and bytes."""
+    """docs (doc, doc2, id, text) as chunks: a 128-bit digest, the document and the chunk's number."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        out: list[list[np.ndarray]] = [[] for _ in range(3)]
         for i, _, data, offs in K.chunks(batch["text"]):
             starts, ends, rows = cut(data, offs)
             raw, digest = data.tobytes(), hashlib.blake2b
             keys = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
             first = np.searchsorted(rows, rows)
-            for column, x in zip(out, (keys, rows + i, np.arange(len(rows)) - first, starts - offs[rows], ends - offs[rows]), strict=True):
+            for column, x in zip(out, (keys, rows + i, np.arange(len(rows)) - first), strict=True):
                 column.append(x)
-        keys, rows, idx, start, stop = (np.concatenate(c) for c in out)
+        keys, rows, idx = (np.concatenate(c) for c in out)
         at = pa.array(rows)
-        cols = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(batch[c].take(at) for c in ("doc", "doc2", "id")), *(pa.array(x.astype(np.int32)) for x in (idx, start, stop))]
-        return pa.RecordBatch.from_arrays(cols, names=["hi", "lo", "doc", "doc2", "id", "idx", "start", "stop"])
+        cols = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(batch[c].take(at) for c in ("doc", "doc2", "id")), pa.array(idx.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["hi", "lo", "doc", "doc2", "id", "idx"])
 
     return map_arrow(docs, run, _CHUNKS)
 
 
-def drop_repeats(docs: DataFrame, min_bytes: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, min_bytes: int = 120, id_col: str = "doc_id", text_col: str = "text", min_words: int = SURE_WORDS) -> DataFrame:
     """docs with kept_text and what repeats: n_chunks, n_shared, n_dropped, dropped_bytes, dropped (spans of bytes) and owners.
 
     Texts are cut where a gear rolling hash of the bytes says so, so an insertion moves no cut far from
     it; chunks with one digest are one.  A chunk is shared if documents of two ids have it.  A run of
-    consecutive shared chunks of min_bytes or more repeats a passage: the document of the smallest id
-    keeps its chunks, the others lose theirs.  n_shared counts a document's chunks in such runs,
+    consecutive shared chunks of min_bytes or min_words or more repeats a passage: the document of the
+    smallest id keeps its chunks, the others lose theirs.  A passage of more than 50 words always makes
+    such a run; its ends, up to 20 words before and 15 after, may stay.  n_shared counts a document's chunks in such runs,
     owners lists the ids that keep what it lost.
 
     Digests and places are shuffled twice, texts once, to their spans.  Null and empty texts have no
@@ -99,15 +121,15 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 120, id_col: str = "doc_id",
     added = {"kept_text", "n_chunks", "n_shared", "n_dropped", "dropped_bytes", "dropped", "owners"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     id_, text = F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))
-    ids = [F.xxhash64(id_, text), F.hash(id_, text)]
-    rows = docs.select(ids[0].alias("doc"), ids[1].alias("doc2"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("id"), text.alias("text"))
+    ids, own_id = [F.xxhash64(id_, text), F.hash(id_, text)], F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
+    rows = docs.select(ids[0].alias("doc"), ids[1].alias("doc2"), own_id.alias("id"), text.alias("text"))
     chunks = chunk_rows(rows)
     shared = chunks.groupBy("hi", "lo").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner < other").select("hi", "lo", "owner")
     shared = work.stage(shared, "shared")
-    hits = chunks.join(small(shared), ["hi", "lo"]).select("doc", "doc2", "id", "idx", "start", "stop", "owner")
-    spans = hits.groupBy("doc", "doc2").agg(F.sort_array(F.collect_set(F.struct("idx", "start", "stop", (F.col("owner") != F.col("id")).alias("drop"), "owner"))).alias("spans"))
-    d, d2, s = fresh(docs, "_doc"), fresh(docs, "_doc2"), fresh(docs, "_spans")
-    joined = docs.withColumns({d: ids[0], d2: ids[1]}).join(spans.withColumnsRenamed({"doc": d, "doc2": d2, "spans": s}), [d, d2], "left").select(*kept(docs), text.alias(d), s)
+    hits = chunks.drop("id").join(small(shared), ["hi", "lo"]).select("doc", "doc2", "idx", "owner")
+    spans = hits.groupBy("doc", "doc2").agg(F.sort_array(F.collect_set(F.struct("idx", "owner"))).alias("spans"))
+    d, d2, s, own = (fresh(docs, c) for c in ("_doc", "_doc2", "_spans", "_own"))
+    joined = docs.withColumns({d: ids[0], d2: ids[1], own: own_id}).join(spans.withColumnsRenamed({"doc": d, "doc2": d2, "spans": s}), [d, d2], "left").select(*kept(docs), text.alias(d), s, own)
     names = docs.columns
     extra = [
         T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_chunks", "n_shared", "n_dropped", "dropped_bytes")),
@@ -117,17 +139,20 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 120, id_col: str = "doc_id",
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in extra]
         for i, j, data, offs in K.chunks(batch[d]):
-            counts = np.bincount(cut(data, offs)[2], minlength=j - i)
-            for k, spans in enumerate(batch[s].slice(i, j - i).to_pylist()):
+            starts, ends, of = cut(data, offs)
+            counts, firsts, words = np.bincount(of, minlength=j - i), np.searchsorted(of, np.arange(j - i)).tolist(), np.union1d(word_starts(data), offs)
+            for k, (spans, me) in enumerate(zip(batch[s].slice(i, j - i).to_pylist(), batch[own].slice(i, j - i).to_pylist(), strict=True)):
                 runs: list[list[dict]] = []
                 for x in spans or ():
+                    x["start"], x["stop"] = int(starts[firsts[k] + x["idx"]] - offs[k]), int(ends[firsts[k] + x["idx"]] - offs[k])
                     if runs and runs[-1][-1]["idx"] + 1 == x["idx"]:
                         runs[-1].append(x)
                     else:
                         runs.append([x])
-                runs = [r for r in runs if r[-1]["stop"] - r[0]["start"] >= min_bytes]
+                n_words = lambda r, k=k: np.diff(np.searchsorted(words, (offs[k] + r[0]["start"], offs[k] + r[-1]["stop"])))[0]
+                runs = [r for r in runs if r[-1]["stop"] - r[0]["start"] >= min_bytes or n_words(r) >= min_words]
                 gone, owners, number = [], set(), 0
-                for x in (x for r in runs for x in r if x["drop"]):
+                for x in (x for r in runs for x in r if x["owner"] != me):
                     number += 1
                     owners.add(x["owner"])
                     if gone and gone[-1][1] == x["start"]:

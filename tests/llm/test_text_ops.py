@@ -281,6 +281,23 @@ def test_substring_dedup(spark):
     assert chunking.drop_repeats(empty(spark)).count() == 0
 
 
+def test_substring_dedup_misses_no_passage_of_51_words(spark):
+    rng = random.Random(8)
+    rows, passages = [], {}
+    for k in range(900):
+        longest = (1, 4, 9)[k % 3]
+        some = lambda n, m=longest: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, m))) for _ in range(n))
+        passages[2 * k + 1] = some(51)
+        rows += [(2 * k + x, f"{some(rng.randint(0, 40))} {passages[2 * k + 1]} {some(rng.randint(0, 40))}") for x in (0, 1)]
+    got = {r["doc_id"]: r for r in chunking.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = dict(rows)
+    for d in passages:
+        raw = texts[d].encode()
+        lost = max((b - a, raw[a:b].decode()) for a, b in got[d]["dropped"])[1]
+        assert d - 1 in got[d]["owners"] and len(lost.split()) >= chunking.SURE_WORDS
+    assert all(got[d - 1]["n_shared"] > 0 for d in passages)
+
+
 def test_best_fit_against_a_plain_search():
     rng = random.Random(6)
     items = sorted(((rng.randint(1, 50), rng.choice([None, 1, 2, 3, 4, 5]), rng.choice([None, *range(40)])) for _ in range(300)), key=lambda x: -x[0])
