@@ -294,8 +294,7 @@ def proximity_dc(spark, sf):
 @query(S.with_("SELECT s1.src AS node, count(*) AS n_neighbours, count(d.node) AS n_disease, round(count(d.node) / count(*), 6) AS share FROM (SELECT DISTINCT src FROM sym WHERE src LIKE 's%' AND src < 's3') t JOIN sym s1 ON s1.src = t.src LEFT JOIN disease d ON s1.dst = d.node GROUP BY 1"))
 def direct_neighbors(spark, sf):
     e = _edges(spark, sf)
-    t = graph.nodes_of(e).filter("node like 's%' and node < 's3'")
-    return graph.direct_neighbours(e, t, D.disease(spark, sf)).select("node", "n_neighbours", "n_disease", *_r6("share"))
+    return graph.direct_neighbours(e, graph.nodes_of(e), D.disease(spark, sf)).select("node", "n_neighbours", "n_disease", *_r6("share"))
 
 
 # ---- diffusion
