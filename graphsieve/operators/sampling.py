@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ def bands(degrees: DataFrame, targets: DataFrame, tolerance: float = 0.25) -> Da
     return wide.join(free, "degree").select("target", "node")
 
 
+#: Hashed tries at a node that is not used before those left are listed.
+_TRIES = 24
+
+
 def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, seed: int = 42, mode: str = "M1", tolerance: float = 0.25, n_sample: int | None = None, expressed: DataFrame | None = None) -> DataFrame:
     """(perm_id, k, node): for every permutation a node for each target, of like degree, drawn in target order without repeats.
 
@@ -59,7 +64,7 @@ def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, se
     """
     if mode not in ("M1", "M2", "M3"):
         raise ValueError(f"unknown mode {mode}")
-    deg = degrees.orderBy("node").toPandas()
+    deg = degrees.orderBy("degree", "node").toPandas()
     wanted = sorted(r[0] for r in targets.select("node").distinct().collect())
     allowed = None if expressed is None else {r[0] for r in expressed.select("node").distinct().collect()}
     of = dict(zip(deg["node"], deg["degree"], strict=True))
@@ -67,20 +72,28 @@ def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, se
     asked = asked[:n_sample] if mode == "M1" and n_sample is not None else asked
     barred = set(wanted) if mode == "M1" else set()
     pool = [n for n in of if n not in barred and (mode != "M3" or allowed is None or n in allowed)]
-    by_degree: dict[int, list[str]] = {}
-    for n in pool:
-        by_degree.setdefault(int(of[n]), []).append(n)
+    order = np.array([of[n] for n in pool], np.int64)
+    limits = [_band(mode, int(of[t]), tolerance) for t in asked]
+    spans = [(int(np.searchsorted(order, low)), int(np.searchsorted(order, high, "right"))) for low, high in limits]
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         perm, used, rows = int(frame["perm_id"].iloc[0]), set(), []
-        pick = lambda k, names: min(names, key=lambda n: hashlib.md5(f"{seed}:{perm}:{k}:{n}".encode()).digest())
-        for k, t in enumerate(asked):
-            low, high = _band(mode, int(of[t]), tolerance)
-            names = [n for d in range(max(low, 0), high + 1) for n in by_degree.get(d, ()) if n not in used]
-            names = names or [n for n in (of if mode == "M2" else pool) if mode == "M2" or n not in used]
-            if names:
-                rows.append((perm, k, pick(k, names)))
-                used.add(rows[-1][2])
+
+        def pick(k: int, a: int, b: int, again: bool = False) -> int | None:
+            """A place from a to b, not used unless again, each as likely: tried by hashes, listed if most are used."""
+            roll = lambda m, n: int.from_bytes(hashlib.md5(f"{seed}:{perm}:{k}:{n}".encode()).digest()[:8]) % m
+            for n in range(_TRIES if b > a else 0):
+                if again or a + roll(b - a, n) not in used:
+                    return a + roll(b - a, n)
+            left = [x for x in range(a, b) if x not in used]
+            return left[roll(len(left), _TRIES)] if left else None
+
+        for k, (a, b) in enumerate(spans):
+            at = pick(k, a, b)
+            at = pick(k, 0, len(pool), mode == "M2") if at is None else at
+            if at is not None:
+                rows.append((perm, k, pool[at]))
+                used.add(at)
         return pd.DataFrame(rows, columns=["perm_id", "k", "node"])
 
     ship(degrees.sparkSession)

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import checks, diffusion, graph, paths, reshape, sampling, similarity, stats, tables
+from ..operators.iterate import checkpointed
 from . import derived as D
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 K, SEED, DRAWS = 20, 42, 100
+#: Of the permutation tests; their statements in SQL take DRAWS uniform draws.
+PERMUTATIONS = 1000
 
 
 def query(sql: str | None = None):
@@ -425,22 +428,22 @@ def ewi_bootstrap(spark, sf):
     return out.select(*_r6("observed", "mean"), F.round(C.ratio(F.col("observed"), F.col("mean")), 4).alias("ratio"), "n_bootstrap")
 
 
-def _null(spark, sf, h):
-    """(compound, value): influences of random sets of each target set's size, from all nodes."""
-    e = _edges(spark, sf)
-    nodes = graph.nodes_of(e)
-    out = []
-    for c in ("A", "B"):
-        n = _pool(spark, sf, e, c).count()
-        out.append(sampling.bootstrap(nodes, n, DRAWS, SEED).join(h, "node").groupBy("iter").agg(F.avg("h").alias("value")).select(F.lit(c).alias("compound"), "value"))
+def _null(spark, sf, e, mode, value):
+    """(compound, value): value of each permutation's degree-matched draws (perm_id, node) for each target set."""
+    degrees = checkpointed(graph.degree(e))
+    out = [value(sampling.degree_matched(degrees, _seeds(spark, sf, c), PERMUTATIONS, SEED, mode)).select(F.lit(c).alias("compound"), "value") for c in ("A", "B")]
     return out[0].unionAll(out[1])
 
 
+def _null_influence(spark, sf, h):
+    return _null(spark, sf, _edges(spark, sf), "M1", lambda draws: draws.join(h, "node").groupBy("perm_id").agg(F.avg("h").alias("value")))
+
+
 @query(S.permutation(K, DRAWS, SEED) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value, round(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM fdr")
 def permutation_test(spark, sf):
     h = _h(spark, sf).persist()
     observed = diffusion.influence(h, D.targets(spark, sf), ["compound"]).select("compound", F.col("influence").alias("observed"))
-    out = stats.bh(stats.null_summary(_null(spark, sf, h), observed, ["compound"]), [])
+    out = stats.bh(stats.null_summary(_null_influence(spark, sf, h), observed, ["compound"]), [])
     return out.select("compound", *_r6("observed", "null_mean", "null_std"), F.round("z_score", 4).alias("z_score"), *_r6("p_value", "p_fdr"), (F.col("p_fdr") < 0.05).alias("significant"))
 
 
@@ -448,21 +451,16 @@ def permutation_test(spark, sf):
 def ewi_permutation_test(spark, sf):
     h = _h(spark, sf, True).persist()
     observed = diffusion.influence(h, D.targets(spark, sf), ["compound"]).select("compound", F.col("influence").alias("observed"))
-    out = stats.null_summary(_null(spark, sf, h), observed, ["compound"])
+    out = stats.null_summary(_null_influence(spark, sf, h), observed, ["compound"])
     return out.select("compound", *_r6("observed", "null_mean", "null_std"), F.round("z_score", 4).alias("z_score"), *_r6("p_value"))
 
 
 @query(S.path_permutation(DRAWS, SEED) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value FROM scored")
 def path_permutation_test(spark, sf):
     e = _edges(spark, sf, D.STRICT)
-    nodes, dist = graph.nodes_of(e).persist(), paths.distances(e, D.disease(spark, sf)).persist()
-    t = D.targets(spark, sf)
-    observed = paths.proximity(dist, t, ["compound"]).select("compound", F.col("dc").alias("observed"))
-    null = None
-    for c in ("A", "B"):
-        n = t.filter(F.col("compound") == c).join(nodes, "node", "left_semi").count()
-        d = paths.proximity(dist, sampling.bootstrap(nodes, n, DRAWS, SEED), ["iter"]).select(F.lit(c).alias("compound"), F.col("dc").alias("value")).filter("value is not null")
-        null = d if null is None else null.unionAll(d)
+    dist = paths.distances(e, D.disease(spark, sf)).persist()
+    observed = paths.proximity(dist, D.targets(spark, sf), ["compound"]).select("compound", F.col("dc").alias("observed"))
+    null = _null(spark, sf, e, "M2", lambda draws: paths.proximity(dist, draws, ["perm_id"]).select(F.col("dc").alias("value")).filter("value is not null"))
     out = stats.null_summary(null, observed, ["compound"], "one_less")
     return out.select("compound", *_r6("observed", "null_mean", "null_std"), F.round("z_score", 4).alias("z_score"), *_r6("p_value"))
 

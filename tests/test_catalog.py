@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from graphsieve.plans import catalog
@@ -15,7 +16,7 @@ def tables(spark, tmp_path_factory):
     lines = [x for e in sorted(edges) for x in [e] * rng.choice((2, 3))]
     write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{out}/{name}.parquet")
     write(lines, "l_suppkey long, l_partkey long", "lineitem")
-    write([(p, f"Brand#{1 + p % 9}", p % 13, 900.0 + p) for p in range(1, 61)], "p_partkey long, p_brand string, p_size int, p_retailprice double", "part")
+    write([(p, f"Brand#{1 + p % 20}", p % 13, 900.0 + p) for p in range(1, 61)], "p_partkey long, p_brand string, p_size int, p_retailprice double", "part")
     write([(s, 100.0 * s) for s in range(1, 9)], "s_suppkey long, s_acctbal double", "supplier")
     near: dict[str, set] = {}
     for s, p in edges:
@@ -32,3 +33,56 @@ def test_direct_neighbors_of_all_nodes(spark, tables):
     out, near = tables
     got = {r["node"]: (r["n_neighbours"], r["n_disease"]) for r in catalog.QUERIES["direct_neighbors"](spark, out).collect()}
     assert got == {n: (len(x), len(x & disease())) for n, x in near.items()}
+
+
+def distance(near, sources):
+    dist, level = {}, set(sources) & set(near)
+    while level:
+        dist |= dict.fromkeys(level, max(dist.values(), default=-1) + 1)
+        level = {m for n in level for m in near[n]} - set(dist)
+    return dist
+
+
+def greedy(near, wanted, value, band, barred, times=4000):
+    """Mean and deviation of the mean value of degree-matched sets, drawn one target after the other by the random module."""
+    rng, means, degree = random.Random(5), [], {n: len(x) for n, x in near.items()}
+    for _ in range(times):
+        used: list[str] = []
+        for t in sorted(wanted & set(near)):
+            low, high = band(degree[t])
+            names = [n for n in degree if low <= degree[n] <= high and n not in barred and n not in used]
+            used.append(rng.choice(names or [n for n in degree if n not in barred and n not in used]))
+        means.append(np.mean([value[n] for n in used if n in value]))
+    return np.mean(means), np.std(means)
+
+
+def targets():
+    """Parts of brand 1, and of the brands 2 to 7."""
+    return {"A": {f"p{p}" for p in range(1, 61) if p % 20 == 0}, "B": {f"p{p}" for p in range(1, 61) if 1 <= p % 20 <= 6}}
+
+
+def agrees(row, mean, std):
+    """The null's mean within four standard errors of 1,000 draws, the deviation near, and p a share of 1,001."""
+    assert row["null_mean"] == pytest.approx(mean, abs=4 * std / 1000**0.5 + 1e-6) and row["null_std"] == pytest.approx(std, rel=0.12)
+    assert row["p_value"] * 1001 == pytest.approx(round(row["p_value"] * 1001), abs=1e-3)
+
+
+@pytest.mark.parametrize("name", ["permutation_test", "ewi_permutation_test"])
+def test_permutations_match_degrees(spark, tables, name):
+    out, near = tables
+    h = {r["node"]: r["h"] for r in catalog._h(spark, out, name.startswith("ewi")).collect()}
+    for r in catalog.QUERIES[name](spark, out).collect():
+        wanted = targets()[r["compound"]]
+        agrees(r, *greedy(near, wanted, h, lambda k: (k - max(1, k // 4), k + max(1, k // 4)), wanted))
+
+
+def test_path_permutations_match_degrees(spark, tables):
+    out, _ = tables
+    near: dict[str, set] = {}
+    for a, b in catalog._edges(spark, out, 3).select("src", "dst").collect():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist = distance(near, disease())
+    for r in catalog.QUERIES["path_permutation_test"](spark, out).collect():
+        wanted = targets()[r["compound"]]
+        agrees(r, *greedy(near, wanted, dist, lambda k: (int(k * 0.75), int(k * 1.25) + 1), set()))
