@@ -15,6 +15,7 @@ from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: K: steps of the walks in the statements in SQL; the queries go on to the operators' tolerance.
 K, SEED, DRAWS = 20, 42, 100
 #: Of the permutation tests; their statements in SQL take DRAWS uniform draws.
 PERMUTATIONS = 1000
@@ -324,23 +325,23 @@ def _seeds(spark, sf, compound="A"):
 
 @query(S.walk("A", K) + f"SELECT node, round(p, 6) AS p FROM p{K}")
 def rwr_scores(spark, sf):
-    return diffusion.rwr(_edges(spark, sf), _seeds(spark, sf), steps=K).select("node", *_r6("p"))
+    return diffusion.rwr(_edges(spark, sf), _seeds(spark, sf)).select("node", *_r6("p"))
 
 
 @query(S.walk("A", K, True) + f"SELECT node, round(p, 6) AS p FROM p{K}")
 def ewi_scores(spark, sf):
     e = _edges(spark, sf)
-    return diffusion.rwr(e, _seeds(spark, sf), steps=K, weight=_weights(spark, sf, e)).select("node", *_r6("p"))
+    return diffusion.rwr(e, _seeds(spark, sf), weight=_weights(spark, sf, e)).select("node", *_r6("p"))
 
 
 @query(S.adjoint(K) + f"SELECT node, round(h, 6) AS h FROM h{K}")
 def rwr_adjoint(spark, sf):
-    return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf), steps=K).select("node", *_r6("h"))
+    return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf)).select("node", *_r6("h"))
 
 
 def _h(spark, sf, weighted=False):
     e = _edges(spark, sf)
-    return diffusion.adjoint(e, D.disease(spark, sf), steps=K, weight=_weights(spark, sf, e) if weighted else None)
+    return diffusion.adjoint(e, D.disease(spark, sf), weight=_weights(spark, sf, e) if weighted else None)
 
 
 @query(S.adjoint(K) + f"SELECT compound, count(*) AS n_targets, round(avg(h), 6) AS influence FROM targets JOIN h{K} USING (node) GROUP BY 1")
@@ -350,7 +351,7 @@ def influence(spark, sf):
 
 @query(S.walk("A", K) + f"SELECT round(coalesce(sum(p), 0), 6) AS influence FROM p{K} JOIN disease USING (node)")
 def influence_forward(spark, sf):
-    return diffusion.influence_of(diffusion.rwr(_edges(spark, sf), _seeds(spark, sf), steps=K), D.disease(spark, sf)).select(*_r6("influence"))
+    return diffusion.influence_of(diffusion.rwr(_edges(spark, sf), _seeds(spark, sf)), D.disease(spark, sf)).select(*_r6("influence"))
 
 
 @query(S.adjoint(K) + f"SELECT round(CASE WHEN b > 0 THEN a / b ELSE 'inf'::DOUBLE END, 5) AS ratio FROM (SELECT avg(h) FILTER (compound = 'A') AS a, avg(h) FILTER (compound = 'B') AS b FROM targets JOIN h{K} USING (node))")

@@ -86,3 +86,27 @@ def test_path_permutations_match_degrees(spark, tables):
     for r in catalog.QUERIES["path_permutation_test"](spark, out).collect():
         wanted = targets()[r["compound"]]
         agrees(r, *greedy(near, wanted, dist, lambda k: (int(k * 0.75), int(k * 1.25) + 1), set()))
+
+
+def solved(spark, out, near, bias, weighted, forward):
+    """The fixpoint of a walk by a dense solver."""
+    names = sorted(near)
+    at = {n: k for k, n in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for r in catalog.QUERIES["ewi_transition" if weighted else "transition_matrix"](spark, out).collect():
+        w[at[r["dst"]], at[r["src"]]] = r["w"]
+    b = np.array([bias.get(n, 0.0) for n in names])
+    return dict(zip(names, np.linalg.solve(np.eye(len(names)) - 0.85 * (w if forward else w.T), 0.15 * b)))
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_walks_converge(spark, tables, weighted):
+    out, near = tables
+    seeds = targets()["A"] & set(near)
+    p = solved(spark, out, near, dict.fromkeys(seeds, 1 / len(seeds)), weighted, True)
+    got = {r["node"]: r["p"] for r in catalog.QUERIES["ewi_scores" if weighted else "rwr_scores"](spark, out).collect()}
+    assert got == pytest.approx(p, abs=6e-6)
+    h = solved(spark, out, near, dict.fromkeys(disease(), 1.0), weighted, False)
+    mean = {c: np.mean([h[n] for n in x if n in near]) for c, x in targets().items()}
+    column = "weighted" if weighted else "standard"
+    assert {r["compound"]: r[column] for r in catalog.QUERIES["standard_vs_weighted"](spark, out).collect()} == pytest.approx(mean, abs=2e-6)
