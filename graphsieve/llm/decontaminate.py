@@ -86,8 +86,8 @@ class PositionalIndex:
 
 
 def items_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, item_id, words) of the distinct items that have words."""
-    rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.transform(words_of(F.col(text_col)), ascii_lower).alias("words")).filter((F.size("words") > 0) & F.col("item_id").isNotNull()).distinct()
+    """(item, item_id, words) of the distinct items that have words; item_id may be null."""
+    rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.transform(words_of(F.col(text_col)), ascii_lower).alias("words")).filter(F.size("words") > 0).distinct()
     return rows.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words")
 
 
@@ -96,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, part: int
 
     A document word is hit if a window of an item (``PositionalIndex.phrases``) covers it;
     contaminated: at least one word in part is hit.  A null or empty text has no words and is clean;
-    items without words or id are none; rows with equal id and text get equal results; either table
+    items without words are none, those without id count as one in n_items and aren't listed; rows with equal id and text get equal results; either table
     may be empty.  Columns of the names added are replaced.
     """
     added = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
@@ -110,14 +110,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, part: int
     runs = work.stage(index.phrases(known.select("item", "words"), width), "runs")
     work.drop("postings", "diagonals", "windows", "places")
     hit = runs.select(*DOC, F.explode(F.sequence("start", "end")).alias("pos")).distinct().groupBy(*DOC).agg(F.count("*").alias("_hit"))
-    names = runs.select(*DOC, "item").distinct().join(small(known.select("item", "item_id")), "item").groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("_items"))
+    names = runs.select(*DOC, "item").distinct().join(small(known.select("item", "item_id")), "item").groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("_items"), F.max(F.col("item_id").isNull().cast("int")).alias("_unnamed"))
     found = work.stage(hit.join(names, DOC), "found")
     d, d2 = fresh(docs, "_doc"), fresh(docs, "_doc2")
     found = found.withColumnsRenamed({"doc": d, "doc2": d2})
     base = docs.select(*kept(docs), ids[0].alias(d), ids[1].alias(d2), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     out = base.join(small(found), [d, d2], "left")
     n_hit, got = F.coalesce("_hit", F.lit(0)).cast("long"), F.coalesce("_items", F.array().cast("array<string>"))
-    return out.select(*kept(docs), "n_words", n_hit.alias("n_hit"), F.size(got).cast("long").alias("n_items"), got.alias("item_ids"), ((n_hit > 0) & (part * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(*kept(docs), "n_words", n_hit.alias("n_hit"), (F.size(got) + F.coalesce("_unnamed", F.lit(0))).cast("long").alias("n_items"), got.alias("item_ids"), ((n_hit > 0) & (part * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,6 +357,14 @@ def test_decontamination(spark):
     assert decontaminate.contamination(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_items_without_id_are_hit(spark):
+    words = [" ".join(f"{c}{k}" for k in range(15)) for c in "abc"]
+    items = spark.createDataFrame([(None, words[0]), (None, words[1]), (7, words[1]), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate([words[0], words[1], words[2], " ".join(words[:2])])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["item_ids"], r["contaminated"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {0: (15, 1, [], True), 1: (15, 2, ["7"], True), 2: (0, 0, [], False), 3: (30, 2, ["7"], True)}
+
+
 def test_proximity(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("abcdefghij") * 2 for _ in range(40))) for i in range(40)]
