@@ -20,14 +20,23 @@ from .local import fits
 ALPHA, TOL, MAX_ITER = 0.15, 1e-6, 100
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", *(["weight"] if "weight" in edges.columns else []))
+
+
 def transition(edges: DataFrame, weight: DataFrame | None = None) -> DataFrame:
     """(src, dst, w): column-stochastic weights of going from src to dst.
 
     Plain: 1 / degree(src).  With weight (node, e): e(dst) over the sum of e of src's neighbours (destination
-    weighting); a sum of 0 counts as 1.
+    weighting).  A column ``weight`` of the edges multiplies each edge's share; of an edge listed twice the
+    greater weight holds.  A sum of 0 counts as 1.
     """
-    sym = symmetric(edges)
-    e = sym.withColumn("e", F.lit(1.0)) if weight is None else sym.join(weight.select(F.col("node").alias("dst"), "e"), "dst")
+    if "weight" in edges.columns:
+        both = edges.select("src", "dst", "weight").unionAll(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        sym = both.groupBy("src", "dst").agg(F.max("weight").cast("double").alias("a"))
+    else:
+        sym = symmetric(edges).withColumn("a", F.lit(1.0))
+    e = sym.withColumn("e", F.col("a")) if weight is None else sym.join(weight.select(F.col("node").alias("dst"), F.col("e").alias("x")), "dst").withColumn("e", F.col("a") * F.col("x"))
     total = F.sum("e").over(Window.partitionBy("src"))
     return e.select("src", "dst", (F.col("e") / F.when(total == 0, 1.0).otherwise(total)).alias("w"))
 
@@ -63,13 +72,13 @@ def _step(w: DataFrame, start: DataFrame, alpha: float, out: str, into: str, bia
 
 
 def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, tol: float = TOL, max_iter: int = MAX_ITER, weight: DataFrame | None = None, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
-    """(node, p).  steps fixed, or until the L1 change is under tol, checked every fifth step, max_iter at most.
+    """(node, p).  steps fixed, or until a step's L1 change is under tol, max_iter at most.
 
-    An empty graph gives no rows, no seed in it all zeros.  A small graph is walked in one task, where
-    every step is checked (local: None decides by a count).  Otherwise the walk's matrix is partitioned by source and
-    kept, so a step shuffles partial sums only.
+    An empty graph gives no rows, no seed in it all zeros.  A column ``weight`` of the edges counts (transition).
+    A small graph is walked in one task (local: None decides by a count).  Otherwise the walk's matrix is partitioned
+    by source and kept, so a step shuffles partial sums only; a step that is checked is checkpointed.
     """
-    edges = checkpointed(edges.select("src", "dst"))
+    edges = checkpointed(_ends(edges))
     nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     if fits(edges, local):
         return single.walk(transition(edges, weight), restart(nodes, seeds), "r", alpha, steps, tol, max_iter, True)
@@ -81,13 +90,11 @@ def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | N
     if steps is not None:
         state = repeat(state, step, steps)
     else:
-        done = 0
-        while done < max_iter:
-            k = min(5, max_iter - done)
-            before = repeat(state, step, k - 1)
-            state = checkpointed(step(before))
-            done += k
-            change = state.join(before.select("node", F.col("p").alias("o")), "node").agg(F.sum(F.abs(F.col("p") - F.col("o")))).first()[0]
+        state = checkpointed(state)
+        for _ in range(max_iter):
+            state = checkpointed(step(state).join(state.select("node", F.col("p").alias("old")), "node"))
+            change = state.agg(F.sum(F.abs(F.col("p") - F.col("old")))).first()[0]
+            state = state.drop("old")
             if change is None or change < tol:
                 break
     out = checkpointed(state.select("node", "p"))
@@ -101,7 +108,7 @@ def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: i
     Without steps, as many as bound any walk's change by TOL.
     """
     steps = math.ceil(math.log(TOL / 2) / math.log(1 - alpha)) if steps is None else steps
-    edges = checkpointed(edges.select("src", "dst"))
+    edges = checkpointed(_ends(edges))
     nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     start = nodes.join(disease.select("node").distinct().withColumn("hit", F.lit(1.0)), "node", "left").select("node", F.coalesce("hit", F.lit(0.0)).alias("b"))
     if fits(edges, local):

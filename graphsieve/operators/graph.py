@@ -98,6 +98,12 @@ def largest_component(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
     return comp.join(F.broadcast(top.select("comp")), "comp", "left_semi").select("node")
 
 
+def network(links: DataFrame, mapping: DataFrame, min_score: float) -> DataFrame:
+    """(src, dst, score): the mapped, thresholded graph (extract) cut to its largest component; no edge gives no rows."""
+    e = checkpointed(extract(links, mapping, min_score))
+    return induced(e, largest_component(e))
+
+
 def filter_to(edges: DataFrame, nodes: DataFrame, keep: DataFrame) -> DataFrame:
     """(node) of the largest component of the subgraph that keep induces; isolated kept nodes count."""
     inside = nodes.join(keep.select("node").distinct(), "node", "left_semi")

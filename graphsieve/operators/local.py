@@ -1,7 +1,7 @@
 """Fixpoints of graphs that fit one task, by size; larger graphs take the distributed loops.
 
-Up to EDGES directed edges (some tens of MB), a step of a distributed loop costs more in planning than in work.
-The choice is made by a count, and both ways give the same rows.
+Up to EDGES rows of the edge table (some tens of MB), a step of a distributed loop costs more in planning than in work.
+The choice is made by a count of undirected edges; both ways stop at the same step and give the same rows.
 """
 
 from __future__ import annotations

@@ -18,9 +18,10 @@ def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 1000, nodes
     Otherwise edges are hash-partitioned by their start and kept, so a level shuffles only its frontier
     and its result.
     """
-    sym = checkpointed(symmetric(edges).filter("src <> dst"))
+    edges = checkpointed(edges.select("src", "dst"))
+    sym = symmetric(edges).filter("src <> dst")
     known = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
-    if fits(sym, local):
+    if fits(edges, local):
         flagged = known.join(sources.select("node").distinct().withColumn("source", F.lit(1.0)), "node", "left").fillna(0.0, ["source"])
         return single.search(sym, flagged, max_depth)
     sym = sym.repartition("src").persist()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .iterate import checkpointed
 
 
 def keyed_hash(*parts: Column | str) -> Column:
@@ -49,53 +50,80 @@ def bands(degrees: DataFrame, targets: DataFrame, tolerance: float = 0.25) -> Da
     return wide.join(free, "degree").select("target", "node")
 
 
-#: Hashed tries at a node that is not used before those left are listed.
+#: Hashed tries at a place that is not used before the free ones are numbered.
 _TRIES = 24
 
 
+def placed(df: DataFrame, *order: str, place: str = "place") -> DataFrame:
+    """df with its row numbers from 0 in the given order (which should be total), without bringing all rows into one task.
+
+    Rows are dealt and sorted by range; a row's number is its number within its range plus the rows of the
+    ranges before, of which there are as many as partitions.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_before"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(place, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, seed: int = 42, mode: str = "M1", tolerance: float = 0.25, n_sample: int | None = None, expressed: DataFrame | None = None) -> DataFrame:
     """(perm_id, k, node): for every permutation a node for each target, of like degree, drawn in target order without repeats.
 
     M1 excludes targets and falls back to any other node.  M2 does not exclude them and falls back to
     any node, drawn before or not.  M3 draws only expressed nodes and falls back to any of those.
-    Draws depend on one another, so a permutation is a group of its own and permutations run in
-    parallel; the degree table, a row a node, is what each task needs and is sent as it is, so it
-    should hold graphs of up to some millions of nodes.
+
+    Nodes that may be drawn have places in order of degree and name, so a target's band is a span of
+    places.  A draw is a place, by a hash of seed, permutation, target and try: one that is used is
+    tried anew, and after _TRIES the free places are numbered and one of them is taken, so each is as likely.
+    Draws of a permutation depend on one another; a permutation is a group of its own and permutations run in
+    parallel.  A task knows the targets' spans, not the nodes: places become nodes by a join.  The driver
+    holds the targets and a count for every distinct degree.
     """
     if mode not in ("M1", "M2", "M3"):
         raise ValueError(f"unknown mode {mode}")
-    deg = degrees.orderBy("degree", "node").toPandas()
-    wanted = sorted(r[0] for r in targets.select("node").distinct().collect())
-    allowed = None if expressed is None else {r[0] for r in expressed.select("node").distinct().collect()}
-    of = dict(zip(deg["node"], deg["degree"], strict=True))
-    asked = [t for t in wanted if t in of]
+    wanted = targets.select("node").distinct()
+    asked = [r["degree"] for r in degrees.join(wanted, "node", "left_semi").orderBy("node").collect()]
     asked = asked[:n_sample] if mode == "M1" and n_sample is not None else asked
-    barred = set(wanted) if mode == "M1" else set()
-    pool = [n for n in of if n not in barred and (mode != "M3" or allowed is None or n in allowed)]
-    order = np.array([of[n] for n in pool], np.int64)
-    limits = [_band(mode, int(of[t]), tolerance) for t in asked]
-    spans = [(int(np.searchsorted(order, low)), int(np.searchsorted(order, high, "right"))) for low, high in limits]
+    pool = degrees.join(wanted, "node", "left_anti") if mode == "M1" else degrees
+    if mode == "M3" and expressed is not None:
+        pool = pool.join(expressed.select("node").distinct(), "node", "left_semi")
+    pool = placed(pool.select("degree", "node"), "degree", "node")
+    sizes = pool.groupBy("degree").agg(F.count("*").alias("n")).orderBy("degree").collect()
+    order = np.array([r["degree"] for r in sizes], np.int64)
+    starts = np.concatenate(([0], np.cumsum([r["n"] for r in sizes]))).astype(np.int64)
+    limits = [_band(mode, int(k), tolerance) for k in asked]
+    spans = [(int(starts[np.searchsorted(order, low)]), int(starts[np.searchsorted(order, high, "right")])) for low, high in limits]
+    total = int(starts[-1])
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         perm, used, rows = int(frame["perm_id"].iloc[0]), set(), []
 
         def pick(k: int, a: int, b: int, again: bool = False) -> int | None:
-            """A place from a to b, not used unless again, each as likely: tried by hashes, listed if most are used."""
+            """A place from a to b, not used unless again, each as likely."""
             roll = lambda m, n: int.from_bytes(hashlib.md5(f"{seed}:{perm}:{k}:{n}".encode()).digest()[:8]) % m
             for n in range(_TRIES if b > a else 0):
-                if again or a + roll(b - a, n) not in used:
-                    return a + roll(b - a, n)
-            left = [x for x in range(a, b) if x not in used]
-            return left[roll(len(left), _TRIES)] if left else None
+                at = a + roll(b - a, n)
+                if again or at not in used:
+                    return at
+            taken = sorted(x for x in used if a <= x < b)
+            if b - a <= len(taken):
+                return None
+            at = a + roll(b - a - len(taken), _TRIES)
+            for x in taken:
+                at += x <= at
+            return at
 
         for k, (a, b) in enumerate(spans):
             at = pick(k, a, b)
-            at = pick(k, 0, len(pool), mode == "M2") if at is None else at
+            at = pick(k, 0, total, mode == "M2") if at is None else at
             if at is not None:
-                rows.append((perm, k, pool[at]))
+                rows.append((perm, k, at))
                 used.add(at)
-        return pd.DataFrame(rows, columns=["perm_id", "k", "node"])
+        return pd.DataFrame(rows, columns=["perm_id", "k", "place"])
 
-    ship(degrees.sparkSession)
-    perms = degrees.sparkSession.range(permutations).select(F.col("id").cast("int").alias("perm_id"))
-    return perms.groupBy("perm_id").applyInPandas(draw, "perm_id int, k int, node string")
+    spark = degrees.sparkSession
+    ship(spark)
+    perms = spark.range(permutations).select(F.col("id").cast("int").alias("perm_id"))
+    drawn = perms.groupBy("perm_id").applyInPandas(draw, "perm_id int, k int, place long")
+    return drawn.join(pool.select("place", "node"), "place").select("perm_id", "k", "node")

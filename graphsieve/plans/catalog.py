@@ -15,10 +15,7 @@ from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: K: steps of the walks in the statements in SQL; the queries go on to the operators' tolerance.
-K, SEED, DRAWS = 20, 42, 100
-#: Of the permutation tests; their statements in SQL take DRAWS uniform draws.
-PERMUTATIONS = 1000
+SEED, DRAWS, PERMUTATIONS = 42, 100, 1000
 
 
 def query(sql: str | None = None):
@@ -295,7 +292,7 @@ def proximity_dc(spark, sf):
     return paths.proximity(dist, D.targets(spark, sf), ["compound"]).select("compound", *_r6("dc"), "n_reached")
 
 
-@query(S.with_("SELECT s1.src AS node, count(*) AS n_neighbours, count(d.node) AS n_disease, round(count(d.node) / count(*), 6) AS share FROM (SELECT DISTINCT src FROM sym WHERE src LIKE 's%' AND src < 's3') t JOIN sym s1 ON s1.src = t.src LEFT JOIN disease d ON s1.dst = d.node GROUP BY 1"))
+@query(S.with_("SELECT s1.src AS node, count(*) AS n_neighbours, count(d.node) AS n_disease, round(count(d.node) / count(*), 6) AS share FROM (SELECT DISTINCT src FROM sym) t JOIN sym s1 ON s1.src = t.src LEFT JOIN disease d ON s1.dst = d.node GROUP BY 1"))
 def direct_neighbors(spark, sf):
     e = _edges(spark, sf)
     return graph.direct_neighbours(e, graph.nodes_of(e), D.disease(spark, sf)).select("node", "n_neighbours", "n_disease", *_r6("share"))
@@ -304,12 +301,12 @@ def direct_neighbors(spark, sf):
 # ---- diffusion
 
 
-@query(S.walk("A", 0) + "SELECT src, dst, round(w, 9) AS w FROM w")
+@query(S.walk("A") + "SELECT src, dst, round(w, 9) AS w FROM w")
 def transition_matrix(spark, sf):
     return diffusion.transition(_edges(spark, sf)).select("src", "dst", F.round("w", 9).alias("w"))
 
 
-@query(S.walk("A", 0, True) + "SELECT src, dst, round(w, 9) AS w FROM w")
+@query(S.walk("A", True) + "SELECT src, dst, round(w, 9) AS w FROM w")
 def ewi_transition(spark, sf):
     e = _edges(spark, sf)
     return diffusion.transition(e, _weights(spark, sf, e)).select("src", "dst", F.round("w", 9).alias("w"))
@@ -323,38 +320,39 @@ def _seeds(spark, sf, compound="A"):
     return D.targets(spark, sf).filter(F.col("compound") == compound).select("node")
 
 
-@query(S.walk("A", K) + f"SELECT node, round(p, 6) AS p FROM p{K}")
+@query(S.walk("A") + "SELECT node, round(p, 6) AS p FROM p")
 def rwr_scores(spark, sf):
     return diffusion.rwr(_edges(spark, sf), _seeds(spark, sf)).select("node", *_r6("p"))
 
 
-@query(S.walk("A", K, True) + f"SELECT node, round(p, 6) AS p FROM p{K}")
+@query(S.walk("A", True) + "SELECT node, round(p, 6) AS p FROM p")
 def ewi_scores(spark, sf):
     e = _edges(spark, sf)
     return diffusion.rwr(e, _seeds(spark, sf), weight=_weights(spark, sf, e)).select("node", *_r6("p"))
 
 
-@query(S.adjoint(K) + f"SELECT node, round(h, 6) AS h FROM h{K}")
+@query(S.adjoint() + "SELECT node, round(h, 6) AS h FROM h")
 def rwr_adjoint(spark, sf):
     return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf)).select("node", *_r6("h"))
 
 
 def _h(spark, sf, weighted=False):
+    """(node, h), computed once."""
     e = _edges(spark, sf)
-    return diffusion.adjoint(e, D.disease(spark, sf), weight=_weights(spark, sf, e) if weighted else None)
+    return checkpointed(diffusion.adjoint(e, D.disease(spark, sf), weight=_weights(spark, sf, e) if weighted else None))
 
 
-@query(S.adjoint(K) + f"SELECT compound, count(*) AS n_targets, round(avg(h), 6) AS influence FROM targets JOIN h{K} USING (node) GROUP BY 1")
+@query(S.adjoint() + "SELECT compound, count(*) AS n_targets, round(avg(h), 6) AS influence FROM targets JOIN h USING (node) GROUP BY 1")
 def influence(spark, sf):
     return diffusion.influence(_h(spark, sf), D.targets(spark, sf), ["compound"]).select("compound", "n_targets", *_r6("influence"))
 
 
-@query(S.walk("A", K) + f"SELECT round(coalesce(sum(p), 0), 6) AS influence FROM p{K} JOIN disease USING (node)")
+@query(S.walk("A") + "SELECT round(coalesce(sum(p), 0), 6) AS influence FROM p JOIN disease USING (node)")
 def influence_forward(spark, sf):
     return diffusion.influence_of(diffusion.rwr(_edges(spark, sf), _seeds(spark, sf)), D.disease(spark, sf)).select(*_r6("influence"))
 
 
-@query(S.adjoint(K) + f"SELECT round(CASE WHEN b > 0 THEN a / b ELSE 'inf'::DOUBLE END, 5) AS ratio FROM (SELECT avg(h) FILTER (compound = 'A') AS a, avg(h) FILTER (compound = 'B') AS b FROM targets JOIN h{K} USING (node))")
+@query(S.adjoint() + "SELECT round(CASE WHEN b > 0 THEN a / b ELSE 'inf'::DOUBLE END, 5) AS ratio FROM (SELECT avg(h) FILTER (compound = 'A') AS a, avg(h) FILTER (compound = 'B') AS b FROM targets JOIN h USING (node))")
 def efficiency_ratio(spark, sf):
     i = reshape.wide(diffusion.influence(_h(spark, sf), D.targets(spark, sf), ["compound"]).withColumn("k", F.lit(1)), "k", "compound", ["A", "B"], "influence")
     return i.select(F.round(C.ratio(F.col("A"), F.col("B")), 5).alias("ratio"))
@@ -367,7 +365,7 @@ def _both(spark, sf):
     return a.join(b, "compound")
 
 
-@query(S.adjoint(K, True, both=True) + f"SELECT compound, count(*) AS n_targets, round(avg(h.h), 6) AS standard, round(avg(g.h), 6) AS weighted, CASE WHEN avg(g.h) > avg(h.h) THEN 'INCREASES' WHEN avg(g.h) < avg(h.h) THEN 'DECREASES' ELSE 'minimal' END AS effect FROM targets JOIN h{K} h USING (node) JOIN g{K} g USING (node) GROUP BY 1")
+@query(S.adjoint(both=True) + "SELECT compound, count(*) AS n_targets, round(avg(h.h), 6) AS standard, round(avg(g.h), 6) AS weighted, CASE WHEN avg(g.h) > avg(h.h) THEN 'INCREASES' WHEN avg(g.h) < avg(h.h) THEN 'DECREASES' ELSE 'minimal' END AS effect FROM targets JOIN h h USING (node) JOIN g g USING (node) GROUP BY 1")
 def standard_vs_weighted(spark, sf):
     return _both(spark, sf).select("compound", "n_targets", *_r6("standard", "weighted"), C.direction(F.col("weighted"), F.col("standard")).alias("effect"))
 
@@ -380,17 +378,21 @@ def degree_bands(spark, sf):
     return sampling.bands(graph.degree(_edges(spark, sf)), _seeds(spark, sf))
 
 
-@query()
+def _matched(mode: str, among: str | None = None) -> str:
+    return S.with_(", setA AS (SELECT DISTINCT node FROM targets WHERE compound = 'A')" + S.matched("A", "setA", 20, SEED, mode, among=among) + "SELECT perm_id, k, node FROM drawnA").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_matched("M1"))
 def degree_matched_draws(spark, sf):
     return sampling.degree_matched(graph.degree(_edges(spark, sf)), _seeds(spark, sf), 20, SEED)
 
 
-@query()
+@query(_matched("M2"))
 def degree_matched_any(spark, sf):
     return sampling.degree_matched(graph.degree(_edges(spark, sf)), _seeds(spark, sf), 20, SEED, mode="M2")
 
 
-@query()
+@query(_matched("M3", _KEEP))
 def degree_matched_expressed(spark, sf):
     return sampling.degree_matched(graph.degree(_edges(spark, sf)), _seeds(spark, sf), 20, SEED, mode="M3", expressed=_keep(spark, sf))
 
@@ -404,25 +406,25 @@ def _draws(spark, sf):
     return sampling.bootstrap(_pool(spark, sf, e, "B"), _pool(spark, sf, e, "A").count(), DRAWS, SEED)
 
 
-@query(S.adjoint(0) + S.draws(DRAWS, SEED) + "SELECT iter, node FROM boot")
+@query(S.with_("") + S.draws(DRAWS, SEED) + "SELECT iter, node FROM boot")
 def bootstrap_draws(spark, sf):
     return _draws(spark, sf)
 
 
-@query(S.adjoint(K) + S.draws(DRAWS, SEED) + f"""SELECT round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper,
+@query(S.adjoint() + S.draws(DRAWS, SEED) + """SELECT round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper,
   count(*) AS n_bootstrap, round(max(o), 6) AS observed, max(o) > quantile_cont(value, 0.975) AS exceeds_ci, round(max(o) / avg(value), 4) AS fold
-  FROM (SELECT iter, avg(h) AS value FROM boot JOIN h{K} USING (node) GROUP BY 1), (SELECT avg(h) AS o FROM targets JOIN h{K} USING (node) WHERE compound = 'A')""")
+  FROM (SELECT iter, avg(h) AS value FROM boot JOIN h USING (node) GROUP BY 1), (SELECT avg(h) AS o FROM targets JOIN h USING (node) WHERE compound = 'A')""")
 def bootstrap_summary(spark, sf):
-    h = _h(spark, sf).persist()
+    h = _h(spark, sf)
     values = _draws(spark, sf).join(h, "node").groupBy("iter").agg(F.avg("h").alias("value"))
     observed = diffusion.influence(h, D.targets(spark, sf).filter("compound = 'A'"), ["compound"]).select(F.col("influence").alias("o"))
     out = stats.bootstrap_summary(values.crossJoin(F.broadcast(observed)), F.col("o"), [])
     return out.select(*_r6("mean", "std", "ci_lower", "ci_upper", "observed"), "n_bootstrap", "exceeds_ci", F.round("fold", 4).alias("fold"))
 
 
-@query(S.adjoint(K, True) + S.draws(DRAWS, SEED) + f"SELECT round(max(o), 6) AS observed, round(avg(value), 6) AS mean, round(CASE WHEN avg(value) > 0 THEN max(o) / avg(value) ELSE 'inf'::DOUBLE END, 4) AS ratio, count(*) AS n_bootstrap FROM (SELECT iter, avg(h) AS value FROM boot JOIN h{K} USING (node) GROUP BY 1), (SELECT avg(h) AS o FROM targets JOIN h{K} USING (node) WHERE compound = 'A')")
+@query(S.adjoint(True) + S.draws(DRAWS, SEED) + "SELECT round(max(o), 6) AS observed, round(avg(value), 6) AS mean, round(CASE WHEN avg(value) > 0 THEN max(o) / avg(value) ELSE 'inf'::DOUBLE END, 4) AS ratio, count(*) AS n_bootstrap FROM (SELECT iter, avg(h) AS value FROM boot JOIN h USING (node) GROUP BY 1), (SELECT avg(h) AS o FROM targets JOIN h USING (node) WHERE compound = 'A')")
 def ewi_bootstrap(spark, sf):
-    h = _h(spark, sf, True).persist()
+    h = _h(spark, sf, True)
     values = _draws(spark, sf).join(h, "node").groupBy("iter").agg(F.avg("h").alias("value"))
     observed = diffusion.influence(h, D.targets(spark, sf).filter("compound = 'A'"), ["compound"]).select(F.col("influence").alias("o"))
     out = values.crossJoin(F.broadcast(observed)).agg(F.max("o").alias("observed"), F.avg("value").alias("mean"), F.count("*").alias("n_bootstrap"))
@@ -440,26 +442,26 @@ def _null_influence(spark, sf, h):
     return _null(spark, sf, _edges(spark, sf), "M1", lambda draws: draws.join(h, "node").groupBy("perm_id").agg(F.avg("h").alias("value")))
 
 
-@query(S.permutation(K, DRAWS, SEED) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value, round(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM fdr")
+@query(S.permutation(PERMUTATIONS, SEED) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value, round(p_fdr, 6) AS p_fdr, p_fdr < 0.05 AS significant FROM fdr")
 def permutation_test(spark, sf):
-    h = _h(spark, sf).persist()
+    h = _h(spark, sf)
     observed = diffusion.influence(h, D.targets(spark, sf), ["compound"]).select("compound", F.col("influence").alias("observed"))
     out = stats.bh(stats.null_summary(_null_influence(spark, sf, h), observed, ["compound"]), [])
     return out.select("compound", *_r6("observed", "null_mean", "null_std"), F.round("z_score", 4).alias("z_score"), *_r6("p_value", "p_fdr"), (F.col("p_fdr") < 0.05).alias("significant"))
 
 
-@query(S.permutation(K, DRAWS, SEED, True) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value FROM fdr")
+@query(S.permutation(PERMUTATIONS, SEED, True) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value FROM fdr")
 def ewi_permutation_test(spark, sf):
-    h = _h(spark, sf, True).persist()
+    h = _h(spark, sf, True)
     observed = diffusion.influence(h, D.targets(spark, sf), ["compound"]).select("compound", F.col("influence").alias("observed"))
     out = stats.null_summary(_null_influence(spark, sf, h), observed, ["compound"])
     return out.select("compound", *_r6("observed", "null_mean", "null_std"), F.round("z_score", 4).alias("z_score"), *_r6("p_value"))
 
 
-@query(S.path_permutation(DRAWS, SEED) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value FROM scored")
+@query(S.path_permutation(PERMUTATIONS, SEED) + "SELECT compound, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS null_std, round(z_score, 4) AS z_score, round(p_value, 6) AS p_value FROM scored")
 def path_permutation_test(spark, sf):
     e = _edges(spark, sf, D.STRICT)
-    dist = paths.distances(e, D.disease(spark, sf)).persist()
+    dist = checkpointed(paths.distances(e, D.disease(spark, sf)))
     observed = paths.proximity(dist, D.targets(spark, sf), ["compound"]).select("compound", F.col("dc").alias("observed"))
     null = _null(spark, sf, e, "M2", lambda draws: paths.proximity(dist, draws, ["perm_id"]).select(F.col("dc").alias("value")).filter("value is not null"))
     out = stats.null_summary(null, observed, ["compound"], "one_less")
@@ -489,7 +491,10 @@ def bh_fdr(spark, sf):
     return stats.bh(D.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", p.alias("p_value")), ["s_nationkey"], out="q").select("s_suppkey", "s_nationkey", *_r6("q"))
 
 
-@query()
+_PHI = "(SELECT 0.5 - list_sum(list_transform(range(0, 80), lambda k: pow(-1, k) * pow({z}, 2 * k + 1) / (pow(2, k) * gamma(k + 1) * (2 * k + 1)))) / sqrt(2 * pi()))"
+
+
+@query(f"SELECT c_nationkey, round(2 * {_PHI.format(z='abs(z)')}, 6) AS two, round({_PHI.format(z='z')}, 6) AS one FROM (SELECT c_nationkey, round(CASE WHEN stddev_pop(c_acctbal) > 0 THEN (5000 - avg(c_acctbal)) / stddev_pop(c_acctbal) ELSE 0 END, 6) AS z FROM customer GROUP BY 1)")
 def gaussian_p(spark, sf):
     z = zscore(spark, sf)
     return z.select("c_nationkey", F.round(stats.gaussian_p(F.col("z")), 6).alias("two"), F.round(stats.gaussian_p(F.col("z"), "one"), 6).alias("one"))
@@ -597,17 +602,17 @@ def grid_labels(spark, sf):
     return g.join(F.broadcast(g.agg(F.max("x").alias("x"))), "x", "left_semi").select("method", "level", "x").distinct()
 
 
-@query(S.adjoint(K, True, both=True) + S.dist_cte(2) + f"SELECT compound, n_targets, round(standard, 6) AS standard, round(weighted, 6) AS weighted, round(dc, 6) AS dc FROM (SELECT compound, count(*) AS n_targets, avg(h.h) AS standard, avg(g.h) AS weighted FROM targets JOIN h{K} h USING (node) JOIN g{K} g USING (node) GROUP BY 1) JOIN (SELECT compound, avg(dist) AS dc FROM targets JOIN dist USING (node) GROUP BY 1) USING (compound)")
+@query(S.adjoint(both=True) + S.dist_cte(2) + "SELECT compound, n_targets, round(standard, 6) AS standard, round(weighted, 6) AS weighted, round(dc, 6) AS dc FROM (SELECT compound, count(*) AS n_targets, avg(h.h) AS standard, avg(g.h) AS weighted FROM targets JOIN h h USING (node) JOIN g g USING (node) GROUP BY 1) JOIN (SELECT compound, avg(dist) AS dc FROM targets JOIN dist USING (node) GROUP BY 1) USING (compound)")
 def master_summary(spark, sf):
     dc = paths.proximity(paths.distances(_edges(spark, sf), D.disease(spark, sf)), D.targets(spark, sf), ["compound"]).select("compound", "dc")
     return _both(spark, sf).join(dc, "compound").select("compound", "n_targets", *_r6("standard", "weighted", "dc"))
 
 
-@query(S.adjoint(K, True, both=True) + S.dist_cte(2) + f"""SELECT compound, 'influence' AS metric, count(*) AS n_targets, round(avg(h), 6) AS observed FROM targets JOIN h{K} USING (node) GROUP BY 1
-  UNION ALL SELECT compound, 'weighted', count(*), round(avg(h), 6) FROM targets JOIN g{K} USING (node) GROUP BY 1
+@query(S.adjoint(both=True) + S.dist_cte(2) + """SELECT compound, 'influence' AS metric, count(*) AS n_targets, round(avg(h), 6) AS observed FROM targets JOIN h USING (node) GROUP BY 1
+  UNION ALL SELECT compound, 'weighted', count(*), round(avg(h), 6) FROM targets JOIN g USING (node) GROUP BY 1
   UNION ALL SELECT compound, 'proximity', NULL, round(avg(dist), 6) FROM targets JOIN dist USING (node) GROUP BY 1""")
 def consolidated(spark, sf):
-    both = _both(spark, sf).persist()
+    both = checkpointed(_both(spark, sf))
     parts = [both.select("compound", F.lit(m).alias("metric"), "n_targets", F.round(c, 6).alias("observed")) for m, c in (("influence", "standard"), ("weighted", "weighted"))]
     dc = paths.proximity(paths.distances(_edges(spark, sf), D.disease(spark, sf)), D.targets(spark, sf), ["compound"])
     return parts[0].unionByName(parts[1]).unionByName(dc.select("compound", F.lit("proximity").alias("metric"), F.round("dc", 6).alias("observed")), allowMissingColumns=True)

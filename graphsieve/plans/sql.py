@@ -76,24 +76,34 @@ _PLAIN = "(SELECT src, dst, 1 / count(*) OVER (PARTITION BY src) AS w FROM sym)"
 _WEIGHTED = "(SELECT src, dst, e / sum(e) OVER (PARTITION BY src) AS w FROM sym JOIN xe ON dst = node)"
 
 
-def walk(compound: str, steps: int, weighted: bool = False) -> str:
-    """w, and p0 ... p{steps} of the walk from a target set."""
-    out = f"""WITH {_BASE}{_WEIGHT}, w AS {_WEIGHTED if weighted else _PLAIN},
+_R = "(SELECT node, CASE WHEN node IN (SELECT node FROM seeds) THEN 1 / (SELECT count(*) FROM seeds) ELSE 0 END AS r FROM nodes)"
+
+
+def walk(compound: str, weighted: bool = False) -> str:
+    """w, and p: the walk from a target set after the first step whose L1 change is under 1e-6, or the hundredth."""
+    return f"""WITH RECURSIVE {_BASE}{_WEIGHT}, w AS MATERIALIZED {_WEIGHTED if weighted else _PLAIN},
  seeds AS (SELECT node FROM targets WHERE compound = '{compound}' AND node IN (SELECT node FROM nodes)),
- p0 AS (SELECT node, CASE WHEN node IN (SELECT node FROM seeds) THEN 1 / (SELECT count(*) FROM seeds) ELSE 0 END AS r, CASE WHEN node IN (SELECT node FROM seeds) THEN 1 / (SELECT count(*) FROM seeds) ELSE 0 END AS p FROM nodes)
+ r AS MATERIALIZED {_R},
+ steps(step, node, p, change) AS (SELECT 0, node, r, 1e9 FROM r UNION ALL
+  SELECT step + 1, node, new, sum(abs(new - old)) OVER () FROM (SELECT s.step, r.node, s.p AS old, 0.85 * coalesce(q, 0) + 0.15 * r.r AS new FROM steps s JOIN r ON s.node = r.node
+    LEFT JOIN (SELECT dst AS node, sum(w * p) AS q FROM w JOIN steps ON src = node GROUP BY 1) y ON r.node = y.node WHERE s.change >= 1e-6 AND s.step < 100)),
+ p AS MATERIALIZED (SELECT node, p FROM steps WHERE step = (SELECT max(step) FROM steps))
 """
-    for k in range(steps):
-        out += f", p{k + 1} AS MATERIALIZED (SELECT x.node, x.r, 0.85 * coalesce(q, 0) + 0.15 * x.r AS p FROM p0 x LEFT JOIN (SELECT dst AS node, sum(w * p) AS q FROM w JOIN p{k} ON src = node GROUP BY 1) y ON x.node = y.node)\n"
-    return out
 
 
-def adjoint(steps: int, weighted: bool = False, both: bool = False) -> str:
-    """h0 ... h{steps}; with both, h plain and g weighted.  Recursive, so that other parts may be."""
-    out = f"WITH RECURSIVE {_BASE}{_WEIGHT}"
+#: Steps after which no walk changes by 1e-6: log(1e-6 / 2) / log(0.85), rounded up.
+ADJOINT_STEPS = 90
+
+
+def adjoint(weighted: bool = False, both: bool = False) -> str:
+    """h: influence by node after ADJOINT_STEPS; with both, h plain and g weighted."""
+    out = f"WITH RECURSIVE {_BASE}{_WEIGHT}, b AS MATERIALIZED (SELECT node, CASE WHEN node IN (SELECT node FROM disease) THEN 1 ELSE 0 END AS b FROM nodes)\n"
     for name, w in (("h", _PLAIN), ("g", _WEIGHTED)) if both else (("h", _WEIGHTED if weighted else _PLAIN),):
-        out += f", w{name} AS MATERIALIZED {w}, {name}0 AS (SELECT node, CASE WHEN node IN (SELECT node FROM disease) THEN 1 ELSE 0 END AS b, CASE WHEN node IN (SELECT node FROM disease) THEN 1 ELSE 0 END AS h FROM nodes)\n"
-        for k in range(steps):
-            out += f", {name}{k + 1} AS MATERIALIZED (SELECT x.node, x.b, 0.85 * coalesce(q, 0) + 0.15 * x.b AS h FROM {name}0 x LEFT JOIN (SELECT src AS node, sum(w * h) AS q FROM w{name} JOIN {name}{k} ON dst = node GROUP BY 1) y ON x.node = y.node)\n"
+        out += f""", w{name} AS MATERIALIZED {w},
+ {name}_(step, node, h) AS (SELECT 0, node, CAST(b AS DOUBLE) FROM b UNION ALL
+  SELECT s.step + 1, b.node, 0.85 * coalesce(q, 0) + 0.15 * b FROM {name}_ s JOIN b ON s.node = b.node LEFT JOIN (SELECT src AS node, sum(w * h) AS q FROM w{name} JOIN {name}_ ON dst = node GROUP BY 1) y ON b.node = y.node WHERE s.step < {ADJOINT_STEPS}),
+ {name} AS MATERIALIZED (SELECT node, h FROM {name}_ WHERE step = {ADJOINT_STEPS})
+"""
     return out
 
 
@@ -105,9 +115,41 @@ def draws(iterations: int, seed: int) -> str:
 """
 
 
-def _ranked(nodes: str, iterations: int, seed: int) -> str:
-    return f""", ranked AS MATERIALIZED (SELECT iter, node, row_number() OVER (PARTITION BY iter ORDER BY md5('{seed}:' || iter || ':' || node)) AS rn FROM {nodes}, (SELECT CAST(unnest(range(0, {iterations})) AS INTEGER) AS iter)),
- sizes AS (SELECT compound, count(DISTINCT node) AS n FROM targets WHERE node IN (SELECT node FROM {nodes}) GROUP BY 1)
+#: low and high degree of a target's band by matcher, whether targets may be drawn, and whether a second choice may repeat a node.
+_BANDS = {
+    "M1": ("deg - greatest(1, CAST(trunc(deg * 0.25) AS BIGINT))", "deg + greatest(1, CAST(trunc(deg * 0.25) AS BIGINT))", False, False),
+    "M2": ("CAST(trunc(deg * 0.75) AS BIGINT)", "CAST(trunc(deg * 1.25) AS BIGINT) + 1", True, True),
+    "M3": ("CAST(trunc(deg * 0.75) AS BIGINT)", "CAST(trunc(deg * 1.25) AS BIGINT)", True, False),
+}
+
+
+def matched(tag: str, wanted: str, permutations: int, seed: int, mode: str, sym: str = "sym", among: str | None = None) -> str:
+    """drawn{tag}: (perm_id, k, node), degree-matched draws for the target set wanted.  Needs WITH RECURSIVE.
+
+    Nodes that may be drawn have places in order of degree and name.  A target's draw is the first of 24 hashed
+    places of its band that the permutation has not used, else one of the free places by a further hash; where the
+    band has none, the same over all places.
+    """
+    low, high, targets_too, again = _BANDS[mode]
+    pool = [] if targets_too else [f"node NOT IN (SELECT node FROM {wanted})"]
+    pool += [f"node IN {among}"] if among else []
+    roll = lambda n: f"('0x' || substr(md5('{seed}:' || perm_id || ':' || k || ':' || {n}), 1, 16))::UBIGINT"
+
+    def first(a: str, b: str, again: bool = False) -> str:
+        tried = f"list_transform(range(0, 24), lambda n: CAST({a} + {roll('n')} % ({b} - {a}) AS BIGINT))"
+        if again:
+            return f"CASE WHEN {b} > {a} THEN {tried}[1] END"
+        free = f"list_filter(range({a}, {b}), lambda x: NOT list_contains(used, x))"
+        return f"CASE WHEN {b} > {a} THEN coalesce(list_filter({tried}, lambda x: NOT list_contains(used, x))[1], CASE WHEN len({free}) > 0 THEN {free}[CAST({roll(24)} % len({free}) AS BIGINT) + 1] END) END"
+
+    return f""", deg{tag} AS MATERIALIZED (SELECT src AS node, count(*) AS deg FROM {sym} GROUP BY 1),
+ asked{tag} AS MATERIALIZED (SELECT deg, row_number() OVER (ORDER BY node) - 1 AS k FROM deg{tag} WHERE node IN (SELECT node FROM {wanted})),
+ pool{tag} AS MATERIALIZED (SELECT node, deg, row_number() OVER (ORDER BY deg, node) - 1 AS place FROM deg{tag} {'WHERE ' + ' AND '.join(pool) if pool else ''}),
+ spans{tag} AS MATERIALIZED (SELECT k, (SELECT count(*) FROM pool{tag} p WHERE p.deg < low) AS a, (SELECT count(*) FROM pool{tag} p WHERE p.deg <= high) AS b, (SELECT count(*) FROM pool{tag}) AS total FROM (SELECT k, {low} AS low, {high} AS high FROM asked{tag})),
+ tries{tag}(perm_id, last, used, pick) AS (SELECT CAST(range AS INTEGER), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM range({permutations}) UNION ALL
+  SELECT perm_id, k, CASE WHEN spot IS NULL THEN used ELSE list_append(used, spot) END, spot FROM (
+   SELECT perm_id, k, used, coalesce({first('a', 'b')}, {first('0', 'total', again)}) AS spot FROM tries{tag} JOIN spans{tag} ON k = last + 1)),
+ drawn{tag} AS MATERIALIZED (SELECT perm_id, CAST(last AS INTEGER) AS k, node FROM tries{tag} JOIN pool{tag} ON pick = place)
 """
 
 
@@ -116,21 +158,28 @@ _SCORED = """, scored AS (SELECT o.compound, observed, avg(value) AS null_mean,
 """
 
 
-def permutation(steps: int, iterations: int, seed: int, weighted: bool = False) -> str:
-    h = f"h{steps}"
+def _sets() -> str:
+    return "".join(f", set{c} AS (SELECT DISTINCT node FROM targets WHERE compound = '{c}')\n" for c in "AB")
+
+
+def permutation(permutations: int, seed: int, weighted: bool = False) -> str:
+    """fdr: observed influence of both sets against degree-matched draws (M1)."""
     return (
-        adjoint(steps, weighted)
-        + _ranked("nodes", iterations, seed)
-        + f", null_ AS (SELECT compound, iter, avg(h) AS value FROM sizes JOIN ranked ON rn <= n JOIN {h} USING (node) GROUP BY 1, 2), obs AS (SELECT compound, avg(h) AS observed FROM targets JOIN {h} USING (node) GROUP BY 1)"
+        adjoint(weighted)
+        + _sets()
+        + "".join(matched(c, f"set{c}", permutations, seed, "M1") for c in "AB")
+        + ", null_ AS (SELECT compound, perm_id, avg(h) AS value FROM (SELECT 'A' AS compound, * FROM drawnA UNION ALL SELECT 'B', * FROM drawnB) JOIN h USING (node) GROUP BY 1, 2), obs AS (SELECT compound, avg(h) AS observed FROM targets JOIN h USING (node) GROUP BY 1)"
         + _SCORED.format(">=")
         + ", fdr AS (SELECT *, least(1, min(p_value * m / k) OVER (ORDER BY p_value DESC, k DESC ROWS UNBOUNDED PRECEDING)) AS p_fdr FROM (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM scored))\n"
     )
 
 
-def path_permutation(iterations: int, seed: int) -> str:
+def path_permutation(permutations: int, seed: int) -> str:
+    """scored: proximity of both sets against degree-matched draws (M2) in the strict graph."""
     return (
         bfs()
-        + _ranked("nodes3", iterations, seed)
-        + ", null_ AS (SELECT compound, iter, avg(dist) AS value FROM sizes JOIN ranked ON rn <= n JOIN dist USING (node) GROUP BY 1, 2), obs AS (SELECT compound, avg(dist) AS observed FROM targets JOIN dist USING (node) GROUP BY 1)"
+        + _sets()
+        + "".join(matched(c, f"set{c}", permutations, seed, "M2", "sym3") for c in "AB")
+        + ", null_ AS (SELECT compound, perm_id, avg(dist) AS value FROM (SELECT 'A' AS compound, * FROM drawnA UNION ALL SELECT 'B', * FROM drawnB) JOIN dist USING (node) GROUP BY 1, 2), obs AS (SELECT compound, avg(dist) AS observed FROM targets JOIN dist USING (node) GROUP BY 1)"
         + _SCORED.format("<=")
     )
