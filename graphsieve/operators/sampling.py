@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .iterate import checkpointed
+from .iterate import placed
 
 
 def keyed_hash(*parts: Column | str) -> Column:
@@ -54,19 +54,6 @@ def bands(degrees: DataFrame, targets: DataFrame, tolerance: float = 0.25) -> Da
 _TRIES = 24
 
 
-def placed(df: DataFrame, *order: str, place: str = "place") -> DataFrame:
-    """df with its row numbers from 0 in the given order (which should be total), without bringing all rows into one task.
-
-    Rows are dealt and sorted by range; a row's number is its number within its range plus the rows of the
-    ranges before, of which there are as many as partitions.
-    """
-    at = F.monotonically_increasing_id()
-    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_before"))
-    return ranged.join(F.broadcast(starts), "_range").withColumn(place, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
-
-
 def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, seed: int = 42, mode: str = "M1", tolerance: float = 0.25, n_sample: int | None = None, expressed: DataFrame | None = None) -> DataFrame:
     """(perm_id, k, node): for every permutation a node for each target, of like degree, drawn in target order without repeats.
 

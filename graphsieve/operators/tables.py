@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .iterate import placed
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -41,12 +42,15 @@ def curation_audit(raw: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def exclusion_trace(raw: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
-    """Every raw row with its number within the compound, reason and species."""
-    m = map_ids(raw, mapping)
+    """Every raw row with its number within the compound, reason and species.
+
+    Numbers come from row numbers over all rows, so a compound with a large share of them is no task of its own.
+    """
+    m = placed(map_ids(raw, mapping), "compound", order, "protein_id", place="_place")
+    first = m.groupBy(F.col("compound").alias("_compound")).agg(F.min("_place").alias("_first"))
     gene, acc = F.col("gene_name"), F.col("protein_id")
-    w = Window.partitionBy("compound").orderBy(order, "protein_id")
-    return m.select(
-        "compound", F.row_number().over(w).alias("idx"), "protein_id", F.coalesce(gene, F.lit("NO_MAPPING")).alias("gene"),
+    return m.join(first, F.col("compound").eqNullSafe(F.col("_compound"))).select(
+        "compound", (F.col("_place") - F.col("_first") + 1).cast("int").alias("idx"), "protein_id", F.coalesce(gene, F.lit("NO_MAPPING")).alias("gene"),
         C.curation_reason(gene.isNotNull() & ~F.col("foreign"), gene, F.col("foreign")).alias("reason"), F.when(F.col("foreign"), C.species(acc, gene)).alias("species"),
     )
 

@@ -252,6 +252,28 @@ def components(spark, sf):
     return graph.components(_edges(spark, sf, D.STRICT))
 
 
+@query(S.components_loose() + "SELECT node, comp FROM comp")
+def components_loose(spark, sf):
+    return graph.components(_edges(spark, sf))
+
+
+@query(S.components() + "SELECT node, comp FROM comp")
+def components_distributed(spark, sf):
+    """By the DataFrame loop that large graphs take."""
+    return graph.components(_edges(spark, sf, D.STRICT), local=False)
+
+
+_MAPPED = "(SELECT 's' || s_suppkey AS node FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size > 3)"
+
+
+@query(S.components(_MAPPED) + "SELECT upper(src) AS src, upper(dst) AS dst, score FROM e WHERE score >= 3 AND src IN (SELECT node FROM lcc) AND dst IN (SELECT node FROM lcc)")
+def network_lcc(spark, sf):
+    """From scored links straight to the mapped graph's largest component."""
+    s = D.table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("S"), "s_suppkey").alias("name"))
+    p = D.table(spark, sf, "part").filter("p_size > 3").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(F.lit("P"), "p_partkey").alias("name"))
+    return graph.network(D.links(spark, sf), s.unionAll(p), D.STRICT)
+
+
 @query(S.components() + "SELECT node FROM lcc")
 def lcc(spark, sf):
     return graph.largest_component(_edges(spark, sf, D.STRICT))
@@ -286,6 +308,12 @@ def bfs_distance(spark, sf):
     return paths.distances(_edges(spark, sf, D.STRICT), D.disease(spark, sf))
 
 
+@query(S.bfs(2) + "SELECT node, dist FROM dist")
+def bfs_distance_distributed(spark, sf):
+    """The loose graph by the DataFrame loop that large graphs take."""
+    return paths.distances(_edges(spark, sf), D.disease(spark, sf), local=False)
+
+
 @query(S.bfs() + "SELECT compound, round(avg(dist), 6) AS dc, count(dist) AS n_reached FROM targets t LEFT JOIN dist ON t.node = dist.node GROUP BY 1")
 def proximity_dc(spark, sf):
     dist = paths.distances(_edges(spark, sf, D.STRICT), D.disease(spark, sf))
@@ -312,6 +340,12 @@ def ewi_transition(spark, sf):
     return diffusion.transition(e, _weights(spark, sf, e)).select("src", "dst", F.round("w", 9).alias("w"))
 
 
+@query(S.with_("SELECT a.src, a.dst, round(score / sum(score) OVER (PARTITION BY a.src), 9) AS w FROM (SELECT src, dst, score FROM e UNION ALL SELECT dst, src, score FROM e) a"))
+def transition_by_score(spark, sf):
+    """Edges that carry a weight."""
+    return diffusion.transition(_edges(spark, sf).withColumnRenamed("score", "weight")).select("src", "dst", F.round("w", 9).alias("w"))
+
+
 def _weights(spark, sf, e):
     return diffusion.normalise(graph.nodes_of(e), D.expression(spark, sf))
 
@@ -336,6 +370,17 @@ def rwr_adjoint(spark, sf):
     return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf)).select("node", *_r6("h"))
 
 
+@query(S.walk("A", alpha=0.6) + "SELECT node, round(p, 6) AS p FROM p")
+def rwr_distributed(spark, sf):
+    """To the tolerance by the DataFrame loop that large graphs take."""
+    return diffusion.rwr(_edges(spark, sf), _seeds(spark, sf), 0.6, local=False).select("node", *_r6("p"))
+
+
+@query(S.adjoint(steps=8) + "SELECT node, round(h, 6) AS h FROM h")
+def adjoint_distributed(spark, sf):
+    return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf), steps=8, local=False).select("node", *_r6("h"))
+
+
 def _h(spark, sf, weighted=False):
     """(node, h), computed once."""
     e = _edges(spark, sf)
@@ -629,7 +674,8 @@ def value_guards(spark, sf):
     return D.table(spark, sf, "part").select("p_partkey", F.when(p == 0, 1e-16).otherwise(p).alias("p_floor"), F.round(F.col("p_retailprice") / 7, 2).alias("price"))
 
 
-@query(S.with_("""SELECT 'loose edges' AS "check", 'error' AS severity, CAST((SELECT count(*) FROM e) AS VARCHAR) AS expected, CAST((SELECT count(*) FROM e) AS VARCHAR) AS actual, true AS ok
+@query(S.with_("""SELECT 'loose edges' AS "check", 'error' AS severity, CAST(x AS VARCHAR) AS expected, CAST(y AS VARCHAR) AS actual, x = y AS ok FROM (SELECT (SELECT count(*) FROM links WHERE score >= 2) AS x, (SELECT count(*) FROM e) AS y)
+  UNION ALL SELECT 'ends', 'error', CAST(x AS VARCHAR), CAST(y AS VARCHAR), x = y FROM (SELECT (SELECT 2 * count(*) FROM links WHERE score >= 2) AS x, (SELECT sum(d)::BIGINT FROM (SELECT count(*) AS d FROM sym GROUP BY src)) AS y)
   UNION ALL SELECT 'strict in loose', 'error', 'true', CAST((SELECT count(*) = 0 FROM (SELECT node FROM nodes3 EXCEPT SELECT node FROM nodes)) AS VARCHAR), (SELECT count(*) = 0 FROM (SELECT node FROM nodes3 EXCEPT SELECT node FROM nodes))
   UNION ALL SELECT 'loops', 'error', '0', CAST((SELECT count(*) FROM e WHERE src = dst) AS VARCHAR), (SELECT count(*) = 0 FROM e WHERE src = dst)
   UNION ALL SELECT 'regions', 'warning', '6', CAST((SELECT count(*) FROM region) AS VARCHAR), (SELECT count(*) = 6 FROM region)"""))
@@ -637,7 +683,8 @@ def integrity_checks(spark, sf):
     e = _edges(spark, sf)
     strict = tables.is_subset(graph.nodes_of(_edges(spark, sf, D.STRICT)), graph.nodes_of(e)).select("subset")
     n = lambda df: df.agg(F.count("*").alias("n"))
+    pairs = D.links(spark, sf).filter(F.col("score") >= D.LOOSE).count()  # the graph's edges must be as many, its degrees add up to twice that
     return checks.run([
-        checks.Check("loose edges", n(e), e.count()), checks.Check("strict in loose", strict, True), checks.Check("loops", n(e.filter("src = dst")), 0),
+        checks.Check("loose edges", n(e), pairs), checks.Check("ends", graph.degree(e).agg(F.sum("degree")), 2 * pairs), checks.Check("strict in loose", strict, True), checks.Check("loops", n(e.filter("src = dst")), 0),
         checks.Check("regions", n(D.table(spark, sf, "region")), 6, "warning"),
     ])

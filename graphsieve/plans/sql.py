@@ -58,6 +58,10 @@ def components(keep: str | None = None) -> str:
     return f"WITH RECURSIVE {_BASE}{_component_ctes(sym, nodes)}{loose}"
 
 
+def components_loose() -> str:
+    return f"WITH RECURSIVE {_BASE}{_component_ctes('sym', 'nodes')}"
+
+
 def dist_cte(least: int) -> str:
     sym = "sym3" if least == 3 else "sym"
     return f""", bfs(node, d) AS (SELECT node, 0 FROM disease WHERE node IN (SELECT src FROM {sym}) UNION SELECT s.dst, b.d + 1 FROM bfs b JOIN {sym} s ON s.src = b.node WHERE b.d < 30),
@@ -65,8 +69,8 @@ def dist_cte(least: int) -> str:
 """
 
 
-def bfs() -> str:
-    return f"WITH RECURSIVE {_BASE}{dist_cte(3)}"
+def bfs(least: int = 3) -> str:
+    return f"WITH RECURSIVE {_BASE}{dist_cte(least)}"
 
 
 _WEIGHT = """, nx AS (SELECT n.node, log2(coalesce(x, 0) + 1) AS v FROM nodes n LEFT JOIN ex ON n.node = ex.node),
@@ -79,13 +83,13 @@ _WEIGHTED = "(SELECT src, dst, e / sum(e) OVER (PARTITION BY src) AS w FROM sym
 _R = "(SELECT node, CASE WHEN node IN (SELECT node FROM seeds) THEN 1 / (SELECT count(*) FROM seeds) ELSE 0 END AS r FROM nodes)"
 
 
-def walk(compound: str, weighted: bool = False) -> str:
+def walk(compound: str, weighted: bool = False, alpha: float = 0.15) -> str:
     """w, and p: the walk from a target set after the first step whose L1 change is under 1e-6, or the hundredth."""
     return f"""WITH RECURSIVE {_BASE}{_WEIGHT}, w AS MATERIALIZED {_WEIGHTED if weighted else _PLAIN},
  seeds AS (SELECT node FROM targets WHERE compound = '{compound}' AND node IN (SELECT node FROM nodes)),
  r AS MATERIALIZED {_R},
  steps(step, node, p, change) AS (SELECT 0, node, r, 1e9 FROM r UNION ALL
-  SELECT step + 1, node, new, sum(abs(new - old)) OVER () FROM (SELECT s.step, r.node, s.p AS old, 0.85 * coalesce(q, 0) + 0.15 * r.r AS new FROM steps s JOIN r ON s.node = r.node
+  SELECT step + 1, node, new, sum(abs(new - old)) OVER () FROM (SELECT s.step, r.node, s.p AS old, {1 - alpha} * coalesce(q, 0) + {alpha} * r.r AS new FROM steps s JOIN r ON s.node = r.node
     LEFT JOIN (SELECT dst AS node, sum(w * p) AS q FROM w JOIN steps ON src = node GROUP BY 1) y ON r.node = y.node WHERE s.change >= 1e-6 AND s.step < 100)),
  p AS MATERIALIZED (SELECT node, p FROM steps WHERE step = (SELECT max(step) FROM steps))
 """
@@ -95,14 +99,14 @@ def walk(compound: str, weighted: bool = False) -> str:
 ADJOINT_STEPS = 90
 
 
-def adjoint(weighted: bool = False, both: bool = False) -> str:
-    """h: influence by node after ADJOINT_STEPS; with both, h plain and g weighted."""
+def adjoint(weighted: bool = False, both: bool = False, steps: int = ADJOINT_STEPS) -> str:
+    """h: influence by node after so many steps; with both, h plain and g weighted."""
     out = f"WITH RECURSIVE {_BASE}{_WEIGHT}, b AS MATERIALIZED (SELECT node, CASE WHEN node IN (SELECT node FROM disease) THEN 1 ELSE 0 END AS b FROM nodes)\n"
     for name, w in (("h", _PLAIN), ("g", _WEIGHTED)) if both else (("h", _WEIGHTED if weighted else _PLAIN),):
         out += f""", w{name} AS MATERIALIZED {w},
  {name}_(step, node, h) AS (SELECT 0, node, CAST(b AS DOUBLE) FROM b UNION ALL
-  SELECT s.step + 1, b.node, 0.85 * coalesce(q, 0) + 0.15 * b FROM {name}_ s JOIN b ON s.node = b.node LEFT JOIN (SELECT src AS node, sum(w * h) AS q FROM w{name} JOIN {name}_ ON dst = node GROUP BY 1) y ON b.node = y.node WHERE s.step < {ADJOINT_STEPS}),
- {name} AS MATERIALIZED (SELECT node, h FROM {name}_ WHERE step = {ADJOINT_STEPS})
+  SELECT s.step + 1, b.node, 0.85 * coalesce(q, 0) + 0.15 * b FROM {name}_ s JOIN b ON s.node = b.node LEFT JOIN (SELECT src AS node, sum(w * h) AS q FROM w{name} JOIN {name}_ ON dst = node GROUP BY 1) y ON b.node = y.node WHERE s.step < {steps}),
+ {name} AS MATERIALIZED (SELECT node, h FROM {name}_ WHERE step = {steps})
 """
     return out
 

@@ -30,3 +30,8 @@ def markdown(title: str, sections: dict[str, DataFrame]) -> str:
         out += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in df.collect()]
         out.append("")
     return "\n".join(out)
+
+
+def console(title: str, df: DataFrame) -> None:
+    """A small frame on the console, as a table under its title."""
+    print(markdown(title, {"": df}))

@@ -162,3 +162,29 @@ def test_walk_sums_to_one_on_a_connected_graph(spark):
     rng = random.Random(4)
     e = edges(spark, " ".join(f"n{i}-n{rng.randrange(i)}" for i in range(1, 60)))
     assert diffusion.rwr(e, nodes(spark, "n3 n7")).agg(F.sum("p")).first()[0] == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize(("alpha", "tol"), [(0.6, 1e-6), (0.5, 1e-2)])
+def test_walks_stop_at_the_same_step(spark, alpha, tol):
+    e, seeds = edges(spark, PATH + " D-E C-E"), nodes(spark, "A")
+    one, many = (values(diffusion.rwr(e, seeds, alpha, tol=tol, local=local)) for local in (True, False))
+    assert one == pytest.approx(many, abs=1e-14)
+
+
+@BOTH
+def test_edge_weights(spark, local):
+    e = spark.createDataFrame([("A", "B", 3.0), ("A", "C", 1.0), ("C", "A", 0.5), ("C", "C", 4.0)], "src string, dst string, weight double")
+    w = {(r["src"], r["dst"]): r["w"] for r in diffusion.transition(e).collect()}
+    assert w == pytest.approx({("A", "B"): 0.75, ("A", "C"): 0.25, ("B", "A"): 1.0, ("C", "A"): 0.2, ("C", "C"): 0.8})
+    x = spark.createDataFrame([("A", 1.0), ("B", 0.1), ("C", 0.9)], "node string, e double")
+    w = {(r["src"], r["dst"]): r["w"] for r in diffusion.transition(e, x).collect()}
+    assert w[("A", "B")] == pytest.approx(0.3 / 1.2) and w[("C", "C")] == pytest.approx(3.6 / 4.6)
+    plain, weighted = (values(diffusion.rwr(d, nodes(spark, "A"), steps=1, local=local)) for d in (e.drop("weight"), e))
+    assert plain["B"] == pytest.approx(0.85 * 0.5) and weighted["B"] == pytest.approx(0.85 * 0.75)
+
+
+def test_network(spark):
+    links = spark.createDataFrame([("a", "b", 800), ("b", "c", 800), ("c", "d", 100), ("x", "y", 900), ("b", "q", 900)], "src string, dst string, score int")
+    names = spark.createDataFrame([(k, k.upper()) for k in "abcdxy"], "id string, name string")
+    assert sorted(map(tuple, graph.network(links, names, 700).collect())) == [("A", "B", 800), ("B", "C", 800)]
+    assert graph.network(links, names, 1000).count() == 0

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphsieve.functions import columns as C
+from graphsieve.operators.iterate import placed
 from graphsieve.operators import checks, graph, reshape, sampling, similarity, stats, tables
 from graphsieve.plans import runner
 
@@ -160,3 +161,37 @@ def test_runner(spark, tmp_path):
     assert runner.run(spark, [runner.Step(1, "none", lambda s: None, [str(tmp_path / "z")])])[0].error
     with pytest.raises(ValueError):
         runner.select(steps, only=9)
+
+
+def test_normal_tails(spark):
+    xs = [0.0, 0.3, 1.0, -1.7, 2.5, 5.0, 6.9, 7.1, -9.0, 30.0]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "z double")
+    got = {r[0]: r for r in df.select("z", stats.gaussian_p(F.col("z")), stats.gaussian_p(F.col("z"), "one")).collect()}
+    for x in xs:
+        assert got[x][1] == pytest.approx(math.erfc(abs(x) / math.sqrt(2)), rel=2e-8, abs=0)
+        assert got[x][2] == pytest.approx(0.5 * math.erfc(x / math.sqrt(2)), rel=2e-8, abs=0)
+    assert got[None][1] is None and got[None][2] is None
+
+
+def test_places(spark):
+    rows = [(k % 7, f"n{k:03d}") for k in range(200)]
+    got = placed(spark.createDataFrame(rows, "d int, node string").repartition(5), "d", "node").collect()
+    assert [(r["d"], r["node"]) for r in sorted(got, key=lambda r: r["place"])] == sorted(rows)
+    assert sorted(r["place"] for r in got) == list(range(200))
+    assert placed(spark.createDataFrame([], "d int"), "d").count() == 0
+
+
+#: Fixed values, published results: observed, mean and deviation of the null, z.
+PUBLISHED = [
+    (0.121163940, 0.016313687, 0.008680480, 12.078855), (0.032621627, 0.015675706, 0.003064354, 5.530015), (0.113809745, 0.014690641, 0.009796087, 10.118235), (0.032171300, 0.014776876, 0.003820484, 4.552937),
+    (0.144874681, 0.023801833, 0.010806985, 11.203203), (0.051108934, 0.023258999, 0.003930680, 7.085271), (0.132974093, 0.020512010, 0.012517767, 8.984197), (0.049344209, 0.020853316, 0.004922195, 5.788249),
+    (0.600000, 1.578700, 0.161976, -6.042243), (1.338710, 1.706726, 0.067445, -5.456566), (1.300000, 2.208600, 0.235300, -3.861455), (1.677419, 2.174903, 0.091444, -5.440302),
+]
+
+
+def test_published_scores(spark):
+    df = spark.createDataFrame(PUBLISHED, "o double, m double, s double, z double")
+    for r in df.select("z", stats.z_score(F.col("o"), F.col("m"), F.col("s")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["z"], rel=4e-5)
+    p = df.filter("z > 5.53 and z < 5.54").select(stats.gaussian_p(F.col("z"), "one")).first()[0]
+    assert p == pytest.approx(1.601017e-08, rel=1e-5)
