@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import Work, batched, fresh, kept, map_arrow, small, table
+from .common import Work, batched, fresh, kept, map_arrow, table
 
 _GEAR = np.random.Generator(np.random.PCG64(4242)).integers(0, 2**32, 256, dtype=np.uint32)
 #: The start of a word may be a cut; of every WINDOW such in a row, the one of the least gear hash is (the last of equal ones).
@@ -23,6 +21,8 @@ _MASK = np.uint32(0x001F0000)
 LONG, APART, MOST = 64, 8, 160
 #: Words that 51 shared words of any length hold for certain between cuts of their own: those of the words 13 to 43, the first by the 20th, the last from the 36th on.
 SURE_WORDS = 16
+#: So by the 20th of 51 shared words a chunk starts in every copy, with this many shared words from there on.
+REPEAT_WORDS = 31
 _BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -77,43 +77,68 @@ def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return cuts[:-1], cuts[1:], np.searchsorted(offs, cuts[:-1], "right") - 1
 
 
-_CHUNKS = "hi long, lo long, doc long, doc2 int, id long, idx int"
+def reach(data: np.ndarray, offs: np.ndarray, chunks: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every chunk the end (byte) of the min_words words from its start on, and the last chunk that ends within them.
+
+    Where those words have over 3 * min_bytes bytes (there are words without end, as in text without blanks) or the
+    row has fewer, it is the end of the chunks that make min_bytes bytes.  -1 where the row ends before that.
+    """
+    starts, ends, rows = chunks
+    if not len(starts):
+        return starts, starts
+    begin, stop, of = K.runs_of(~_BLANK[data], offs)
+    word = np.searchsorted(begin, starts) + min_words - 1
+    at = np.minimum(word, max(len(begin) - 1, 0))
+    enough = (word < len(begin)) & (of[at] == rows) if len(begin) else np.zeros(len(starts), bool)
+    stop = np.where(enough, stop[at] if len(begin) else -1, -1)
+    far = ~enough | (stop - starts > 3 * min_bytes)
+    last = np.minimum(np.searchsorted(ends, starts + min_bytes), len(ends) - 1)
+    by_bytes = np.where((rows[last] == rows) & (ends[last] - starts >= min_bytes), ends[last], -1)
+    stop = np.where(far, by_bytes, stop)
+    return stop, np.searchsorted(ends, stop, "right") - 1
+
 
+_CHUNKS = "hi long, lo long, doc long, place long, id long"
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """docs (doc, doc2, id, text) as chunks: a 128-bit digest, the document and the chunk's number."""
+
+def chunk_rows(docs: DataFrame, min_words: int, min_bytes: int) -> DataFrame:
+    """docs (doc, doc2, id, text) as chunks: a 128-bit digest of a chunk and what follows it (reach), the document, and doc2 and the chunk's number as one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list[np.ndarray]] = [[] for _ in range(3)]
+        out: list[list[np.ndarray]] = [[] for _ in range(4)]
         for i, _, data, offs in K.chunks(batch["text"]):
-            starts, ends, rows = cut(data, offs)
-            raw, digest = data.tobytes(), hashlib.blake2b
-            keys = np.frombuffer(b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-            first = np.searchsorted(rows, rows)
-            for column, x in zip(out, (keys, rows + i, np.arange(len(rows)) - first), strict=True):
+            starts, _, rows = chunks = cut(data, offs)
+            stops, _ = reach(data, offs, chunks, min_words, min_bytes)
+            at = np.flatnonzero(stops >= 0)
+            number = at - np.searchsorted(rows, rows[at])
+            for column, x in zip(out, (*K.digests(data, starts[at], stops[at]), rows[at] + i, number), strict=True):
                 column.append(x)
-        keys, rows, idx = (np.concatenate(c) for c in out)
-        at = pa.array(rows)
-        cols = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(batch[c].take(at) for c in ("doc", "doc2", "id")), pa.array(idx.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, names=["hi", "lo", "doc", "doc2", "id", "idx"])
+        hi, lo, rows, number = (np.concatenate(c) for c in out)
+        at, place = pa.array(rows), (batch["doc2"].to_numpy().astype(np.int64)[rows] << 32) | number
+        return pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), batch["doc"].take(at), pa.array(place), batch["id"].take(at)], names=["hi", "lo", "doc", "place", "id"])
 
     return map_arrow(docs, run, _CHUNKS)
 
 
-def drop_repeats(docs: DataFrame, min_bytes: int = 120, id_col: str = "doc_id", text_col: str = "text", min_words: int = SURE_WORDS) -> DataFrame:
+def _lists(values: pa.Array, rows: np.ndarray, n: int) -> pa.ListArray:
+    """Values of ascending rows as one list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def drop_repeats(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id", text_col: str = "text", min_words: int = REPEAT_WORDS) -> DataFrame:
     """docs with kept_text and what repeats: n_chunks, n_shared, n_dropped, dropped_bytes, dropped (spans of bytes) and owners.
 
     Texts are cut where a gear rolling hash of the bytes says so, so an insertion moves no cut far from
-    it; chunks with one digest are one.  A chunk is shared if documents of two ids have it.  A run of
-    consecutive shared chunks of min_bytes or min_words or more repeats a passage: the document of the
-    smallest id keeps its chunks, the others lose theirs.  A passage of more than 50 words always makes
-    such a run; its ends, up to 20 words before and 15 after, may stay.  n_shared counts a document's chunks in such runs,
-    owners lists the ids that keep what it lost.
-
-    Digests and places are shuffled twice, texts once, to their spans.  Null and empty texts have no
-    chunks.  Rows without id are told apart by their text; repeated rows (id and text) are one
+    it.  A chunk has one digest with the chunks and words after it that make min_words words (reach); if documents of
+    two ids have it, its chunks repeat in both.  The document of the smallest id keeps them, the others
+    lose theirs.  A passage of more than 50 words always has such a digest in every copy; its ends, up to 20 words
+    before and 15 after, may stay, and nothing of fewer than min_words words (or min_bytes bytes) counts as a repeat.
+    n_shared counts a document's chunks that repeat, owners lists the ids that keep what it lost.
+
+    Digests and places are shuffled twice by the same plan at any size, texts once, to their spans.  Null and empty
+    texts have no chunks.  Rows without id are told apart by their text; repeated rows (id and text) are one
     document and get equal results; an empty table gives an empty result.  Columns of the names added
-    are replaced.
+    are replaced; other columns may have any name.
     """
     spark = docs.sparkSession
     batched(spark)
@@ -123,53 +148,58 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 120, id_col: str = "doc_id",
     id_, text = F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))
     ids, own_id = [F.xxhash64(id_, text), F.hash(id_, text)], F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
     rows = docs.select(ids[0].alias("doc"), ids[1].alias("doc2"), own_id.alias("id"), text.alias("text"))
-    chunks = chunk_rows(rows)
+    chunks = chunk_rows(rows, min_words, min_bytes)
     shared = chunks.groupBy("hi", "lo").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner < other").select("hi", "lo", "owner")
-    shared = work.stage(shared, "shared")
-    hits = chunks.drop("id").join(small(shared), ["hi", "lo"]).select("doc", "doc2", "idx", "owner")
+    hits = chunks.drop("id").join(shared.hint("merge"), ["hi", "lo"]).select("doc", F.shiftright("place", 32).cast("int").alias("doc2"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("idx"), "owner")
     spans = hits.groupBy("doc", "doc2").agg(F.sort_array(F.collect_set(F.struct("idx", "owner"))).alias("spans"))
+    spans = work.stage(spans, "spans")
     d, d2, s, own = (fresh(docs, c) for c in ("_doc", "_doc2", "_spans", "_own"))
     joined = docs.withColumns({d: ids[0], d2: ids[1], own: own_id}).join(spans.withColumnsRenamed({"doc": d, "doc2": d2, "spans": s}), [d, d2], "left").select(*kept(docs), text.alias(d), s, own)
-    names = docs.columns
+    n_docs = len(docs.columns)
     extra = [
         T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_chunks", "n_shared", "n_dropped", "dropped_bytes")),
         T.StructField("dropped", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("owners", T.ArrayType(T.LongType())),
     ]
+    schema = T.StructType([*docs.schema.fields, *extra])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in extra]
-        for i, j, data, offs in K.chunks(batch[d]):
-            starts, ends, of = cut(data, offs)
-            counts, firsts, words = np.bincount(of, minlength=j - i), np.searchsorted(of, np.arange(j - i)).tolist(), np.union1d(word_starts(data), offs)
-            for k, (spans, me) in enumerate(zip(batch[s].slice(i, j - i).to_pylist(), batch[own].slice(i, j - i).to_pylist(), strict=True)):
-                runs: list[list[dict]] = []
-                for x in spans or ():
-                    x["start"], x["stop"] = int(starts[firsts[k] + x["idx"]] - offs[k]), int(ends[firsts[k] + x["idx"]] - offs[k])
-                    if runs and runs[-1][-1]["idx"] + 1 == x["idx"]:
-                        runs[-1].append(x)
-                    else:
-                        runs.append([x])
-                n_words = lambda r, k=k: np.diff(np.searchsorted(words, (offs[k] + r[0]["start"], offs[k] + r[-1]["stop"])))[0]
-                runs = [r for r in runs if r[-1]["stop"] - r[0]["start"] >= min_bytes or n_words(r) >= min_words]
-                gone, owners, number = [], set(), 0
-                for x in (x for r in runs for x in r if x["owner"] != me):
-                    number += 1
-                    owners.add(x["owner"])
-                    if gone and gone[-1][1] == x["start"]:
-                        gone[-1][1] = x["stop"]
-                    else:
-                        gone.append([x["start"], x["stop"]])
-                raw, at, parts = data[offs[k] : offs[k + 1]].tobytes(), 0, []
-                for a, b in gone:
-                    parts.append(raw[at:a])
-                    at = b
-                parts.append(raw[at:])
-                for column, v in zip(out, (b"".join(parts).decode(), int(counts[k]), sum(map(len, runs)), number, sum(b - a for a, b in gone), gone, sorted(owners)), strict=True):
-                    column.append(v)
-        kinds = (pa.string(), *[pa.int64()] * 4, pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in names), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=[*names, *(f.name for f in extra)])
-
-    return map_arrow(joined, run, T.StructType([*docs.schema.fields, *extra]))
+        out: list[list[pa.Array]] = [[] for _ in extra]
+        texts, spans, me = (batch.column(n_docs + k) for k in range(3))
+        for i, j, data, offs in K.chunks(texts):
+            n = j - i
+            starts, ends, of = chunks = cut(data, offs)
+            (_, last), first = reach(data, offs, chunks, min_words, min_bytes), np.searchsorted(of, np.arange(n))
+            part = spans.slice(i, n)
+            counts = part.value_lengths().fill_null(0).to_numpy()
+            found, row = part.flatten(), np.repeat(np.arange(n), counts)
+            chunk, owner = first[row] + found.field(0).to_numpy(), found.field(1).to_numpy()
+            lost = owner != me.slice(i, n).to_numpy()[row]
+            repeats, gone = _covered(chunk, last, len(starts)), _covered(chunk[lost], last, len(starts))
+            a, b, k = K.runs_of(gone, np.concatenate((first, [len(starts)])))
+            begin, end = starts[a], ends[b - 1]
+            byte = np.zeros(len(data) + 1, np.int32)
+            byte[begin] += 1
+            np.subtract.at(byte, end, 1)
+            stay = np.cumsum(byte[:-1]) == 0
+            left = np.concatenate(([0], np.cumsum(stay)))[offs]
+            text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(data[stay].tobytes())])
+            per = lambda flags, n=n, of=of: pa.array(np.bincount(of[flags], minlength=n))
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(k) + 1, 2, dtype=np.int32)), pa.array(np.column_stack([begin - offs[k], end - offs[k]]).ravel()))
+            who = np.unique(np.column_stack([row[lost], owner[lost]]), axis=0)
+            new = (text.cast(pa.string()), per(slice(None)), per(repeats), per(gone), pa.array(np.diff(offs) - np.diff(left)), _lists(pairs, k, n), _lists(pa.array(who[:, 1]), who[:, 0], n))
+            for column, v in zip(out, new, strict=True):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_docs)), *(pa.concat_arrays(c) for c in out)], names=schema.names)
+
+    return map_arrow(joined.toDF(*(f"c{k}" for k in range(n_docs + 3))), run, schema)
+
+
+def _covered(chunk: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n chunks lie between one of those given and its last."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, chunk, 1)
+    np.subtract.at(edge, last[chunk] + 1, 1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

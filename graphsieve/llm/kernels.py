@@ -15,11 +15,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
-_MULT = 0x9E3779B97F4A7C15
+_MULT, _MULT2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 #: Per-position multipliers of the window hash.
 _POS = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+_TABLE2 = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
 #: Words ``[^\x20\x09-\x0D]+``.
 SPACE_WORDS = np.ones(256, bool)
@@ -27,19 +28,19 @@ SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the odd multiplier and of its inverse, modulo 2**64."""
-    if len(_powers.get("p", ())) < n:
-        size = max(n, CHUNK + 1)
-        inverse = pow(_MULT, -1, 2**64)
-        for key, m in (("p", _MULT), ("q", inverse)):
-            steps = np.full(size, m, np.uint64)
+def _pow(n: int, m: int = _MULT) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd multiplier and of its inverse, modulo 2**64."""
+    if len(_powers.get(m, ((),))[0]) < n:
+        size, made = max(n, CHUNK + 1), []
+        for x in (m, pow(m, -1, 2**64)):
+            steps = np.full(size, x, np.uint64)
             steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"][:n], _powers["q"][:n]
+            made.append(np.multiply.accumulate(steps))
+        _powers[m] = tuple(made)
+    return _powers[m][0][:n], _powers[m][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,13 +96,21 @@ def runs_of(flags: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each span of bytes, A-Z as a-z if fold."""
-    p, q = _pow(len(data) + 1)
-    table = _TABLE[FOLD] if fold else _TABLE
+    return _spans(data, starts, ends, _TABLE[FOLD] if fold else _TABLE, _MULT)
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, m: int) -> np.ndarray:
+    p, q = _pow(len(data) + 1, m)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * p[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each span of bytes, as two halves: sums over unlike tables and multipliers."""
+    return _spans(data, starts, ends, _TABLE, _MULT), _spans(data, starts, ends, _TABLE2, _MULT2)
+
+
 class Words:
     """Words of a chunk: starts and ends (bytes), row, 64-bit hash; first is each row's first word, counts their number."""
 
