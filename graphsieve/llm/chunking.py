@@ -150,9 +150,11 @@ def drop_repeats(docs: DataFrame, min_bytes: int = 400, id_col: str = "doc_id",
     rows = docs.select(ids[0].alias("doc"), ids[1].alias("doc2"), own_id.alias("id"), text.alias("text"))
     chunks = chunk_rows(rows, min_words, min_bytes)
     shared = chunks.groupBy("hi", "lo").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner < other").select("hi", "lo", "owner")
+    shared = work.stage(shared, "shared")
     hits = chunks.drop("id").join(shared.hint("merge"), ["hi", "lo"]).select("doc", F.shiftright("place", 32).cast("int").alias("doc2"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("idx"), "owner")
     spans = hits.groupBy("doc", "doc2").agg(F.sort_array(F.collect_set(F.struct("idx", "owner"))).alias("spans"))
     spans = work.stage(spans, "spans")
+    work.drop("shared")
     d, d2, s, own = (fresh(docs, c) for c in ("_doc", "_doc2", "_spans", "_own"))
     joined = docs.withColumns({d: ids[0], d2: ids[1], own: own_id}).join(spans.withColumnsRenamed({"doc": d, "doc2": d2, "spans": s}), [d, d2], "left").select(*kept(docs), text.alias(d), s, own)
     n_docs = len(docs.columns)
