@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import shared_folder
 from ..ship import ship
 
 #: Rows of an Arrow batch handed to Python; texts of usual length then make a few MB.
@@ -18,15 +18,6 @@ STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphsieve-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Work:
     """A folder under the shared root for an operator's intermediate tables.
 
@@ -35,7 +26,7 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}", compression="zstd")
@@ -94,13 +85,28 @@ def kept(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-#: Rows (some tens of bytes each) up to which a table is broadcast.
-MAX_BROADCAST = 200_000
+#: Bytes of a staged table's files up to which it is broadcast.
+MAX_BROADCAST = 8 << 20
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Spark's estimate of df's size without a job: of a staged table, or less of it, the bytes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df for a broadcast if a count finds few rows, else as it is: a shuffled join, which AQE can split."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    """df (staged, or an aggregate or a selection of staged rows) for a broadcast if its files are small, else as it is: a shuffled join, which AQE can split."""
+    return F.broadcast(df) if bytes_of(df) <= MAX_BROADCAST else df
+
+
+def parts_of(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for rows that cost far more than their bytes tell AQE."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sampled(rows: int, of: int, *cols: Column | str) -> Column:
+    """Whether a row is of a sample of about so many rows, by a hash of cols; any share of any size is kept (63 bits)."""
+    return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1)) / float(1 << 63)) < F.lit(min(1.0, rows / max(of, 1)))
 
 
 def held_out(part: int, rest: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import batched, fresh, map_arrow, table
+from .common import batched, map_arrow, sampled, table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Document statistics and the sign their effect on quality may have (0: any).
@@ -186,17 +186,16 @@ def boost(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60, dept
 
 
 def bounded_labels(labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
-    """(doc_id, label) of about max_rows labelled documents at most, taken by a hash of doc_id."""
+    """(doc_id, label) of about max_rows labelled documents at most, taken by a hash of doc_id; of unlike labels of one id the least holds."""
     clean = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
-    n = clean.count()
-    share = 1 << 20
-    return clean if n <= max_rows else clean.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share)) < share * max_rows // n)
+    return clean.filter(sampled(max_rows, clean.count(), "doc_id", F.lit(5)))
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_train: int = MAX_TRAIN) -> Trees:
     """Boosted trees for ``labels.quality`` over the statistics of at most about max_train labelled documents.
 
     That bound also holds for what is broadcast (ids) and what reaches the driver (16 doubles a row).
+    Null ids and labels are left out, of unlike labels of one id the least holds; without labels every verdict is that of a constant.
     """
     chosen = bounded_labels(labels, "quality", max_train)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -223,18 +222,18 @@ def apply_rules(docs: DataFrame, model: Trees, text_col: str = "text", threshold
     batched(docs.sparkSession)
     added = [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c.lower() not in {f.name for f in added}]
-    text = fresh(docs, "_text")
+    columns = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(names)]
+    schema = T.StructType([docs.schema[c] for c in names] + added)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = [statistics(data, offs) for _, _, data, offs in K.chunks(batch[text])]
+        parts = [statistics(data, offs) for _, _, data, offs in K.chunks(batch.column(len(names)))]
         base, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         score = model.score(x)
         failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
         new = [*(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in names), *new], names=[*names, *(f.name for f in added)])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *new], names=schema.names)
 
-    source = docs.withColumn(text, F.col(text_col)).select(*[F.col(f"`{c}`") for c in names], text)
-    return map_arrow(source, judge, T.StructType([docs.schema[c] for c in names] + added))
+    return map_arrow(docs.select(*columns, F.col(text_col).alias("text")), judge, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
