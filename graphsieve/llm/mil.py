@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import batched, fresh, held_out, kept, map_arrow, table
+from .common import batched, held_out, kept, map_arrow, table
 from .quality import FEATURES, bounded_labels, statistics
 
 PASSAGE_WORDS = 100
-HASHED = 32
+HASHED = 256
 INPUTS = len(FEATURES) + HASHED
-MAX_TRAIN = 8000
+#: Of the training sample: documents, and passages of a document (evenly spaced).
+MAX_TRAIN, MAX_PASSAGES = 4000, 64
 
 
 def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +57,9 @@ class Mil:
         return np.hstack([np.clip((x - self.mean) / self.scale, -6, 6), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return _forward(self.inputs(x), first, self.weights)[-1]
+        """Each document by itself: a product over a whole batch may differ in the last digits by a row's place in it."""
+        x, one = self.inputs(x), np.zeros(1, np.int64)
+        return np.round([_forward(x[a:b], one, self.weights)[-1][0] for a, b in zip(first, np.append(first[1:], len(x)), strict=True)], 9)
 
 
 def _forward(x: np.ndarray, first: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -114,8 +117,12 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 11, hidden:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_train: int = MAX_TRAIN) -> Mil:
-    """A model of the labels (doc_id, label_col) over about max_train labelled documents at most, whose passages go to the driver."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> Mil:
+    """A model of the labels (doc_id, label_col) over about max_train labelled documents at most.
+
+    Of each up to max_passages passages, evenly spaced, go to the driver, so long texts are bounded too.  Null ids and
+    labels are left out, of unlike labels of one id the least holds; without labels the score is a constant.
+    """
     batched(docs.sparkSession)
     chosen = bounded_labels(labels, label_col, max_train)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -124,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
         out = []
         for _, _, data, offs in K.chunks(batch["text"]):
             x, first = passages(data, offs)
-            out += [a.ravel().astype(np.float32) for a in np.split(x, first[1:])]
+            out += [a[np.unique(np.linspace(0, len(a) - 1, min(len(a), max_passages)).astype(int))].ravel().astype(np.float32) for a in np.split(x, first[1:])]
         return pa.record_batch({"doc_id": batch["doc_id"], "label": batch["label"], "x": pa.array(out, pa.list_(pa.float32()))})
 
     got = map_arrow(rows.select("doc_id", "text", "label"), encode, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")
@@ -132,25 +139,25 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
         return fit(np.zeros((0, INPUTS)), np.zeros(0, np.int64), np.zeros(0))
     x = got["x"].combine_chunks()
     lens = np.diff(x.offsets.to_numpy()) // INPUTS
-    return fit(x.flatten().to_numpy().astype(float).reshape(-1, INPUTS), np.concatenate(([0], np.cumsum(lens)[:-1])), got["label"].to_numpy().astype(float))
+    return fit(x.flatten().to_numpy().reshape(-1, INPUTS), np.concatenate(([0], np.cumsum(lens)[:-1])), got["label"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Mil, text_col: str = "text") -> DataFrame:
     """docs with ``score``, the probability of label 1.
 
     Null and empty texts are one empty passage and get that passage's score; rows are scored one by
-    one, so repeated rows get equal scores; an empty table gives an empty result; a column called
+    one, to nine digits, so repeated rows get equal scores; an empty table gives an empty result; a column called
     score is replaced.
     """
     batched(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "score"])
-    names, text = docs.columns, fresh(docs, "_text")
+    n, schema = len(docs.columns), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = [model.score(*passages(data, offs)) for _, _, data, offs in K.chunks(batch[text])]
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(np.concatenate(p))], names=[*names, "score"])
+        p = [model.score(*passages(data, offs)) for _, _, data, offs in K.chunks(batch.column(n))]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(np.concatenate(p))], names=schema.names)
 
-    return map_arrow(docs.select(*kept(docs), F.col(text_col).alias(text)), run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_arrow(docs.select(*kept(docs), F.col(text_col)).toDF(*(f"c{k}" for k in range(n + 1))), run, schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
