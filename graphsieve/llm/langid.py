@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import batched, fresh, held_out, kept, map_arrow, table
+from .common import batched, held_out, kept, map_arrow, table
 
 ORDERS = (1, 2, 3)
 DIMS = 1 << 15
 MAX_PER_LANG = 4000
+#: Languages a model may have: its matrix has a row of 128 kB for each.
+MAX_LANGS = 2000
+#: Numbers gathered at once in scoring.
+BLOCK = 1 << 22
 
 
 @cache
@@ -62,18 +66,22 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_per_lang: int = MAX_PER_LANG, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities (languages x (DIMS + 1), the prior last).
 
-    Of each language about max_per_lang documents at most are counted, taken by a hash of their id;
-    the driver gets 16 partial count vectors a language.  Without labelled texts there are no languages.
+    Of each language about max_per_lang documents at most are counted, taken by a hash of their id (of languages with
+    millions of documents and more too); the driver gets 16 partial count vectors a language.  Null languages and texts are left out;
+    without labelled texts there are no languages.  More than MAX_LANGS languages raise ValueError: the column is no language label.
     """
     spark = docs.sparkSession
     batched(spark)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGS} values")
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, DIMS + 1))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1 << 20, (max_per_lang << 20) // sizes[lang]))])
-    sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", "text").repartition(16)
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_per_lang / sizes[lang]))])
+    mark = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 63) - 1)) / float(1 << 63)
+    sample = rows.filter(mark < share[F.col("lang")]).select("lang", "text").repartition(16)
     place = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +103,23 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return langs, np.column_stack([logs, np.log(prior / prior.sum())])
 
 
+def scores(weights: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Log posteriors (rows x languages) of a batch: its n-grams' rows of the matrix summed by segments, so many rows at once that BLOCK numbers are gathered."""
+    n, langs = len(bounds) - 1, weights.shape[1]
+    out = np.tile(weights[-1].astype(np.float64), (n, 1))
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + BLOCK // langs, "right")) - 1)
+        full = np.flatnonzero(np.diff(bounds[i : j + 1])) + i
+        if j == i + 1 and len(full) and bounds[j] - bounds[i] > BLOCK // langs:  # a very long text: each n-gram once, by its number
+            hit, times = np.unique(buckets[bounds[i] : bounds[j]], return_counts=True)
+            out[i] += times @ weights[hit].astype(np.float64)
+        elif len(full):
+            out[full] += np.add.reduceat(weights[buckets[bounds[i] : bounds[j]]], bounds[full] - bounds[i], axis=0, dtype=np.float64)
+        i = j
+    return out
+
+
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text_col: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``, the posterior of the language predicted.
 
@@ -105,32 +130,26 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, text_col: str =
     spark = docs.sparkSession
     batched(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
-    matrix = spark.sparkContext.broadcast(logs.T.astype(np.float32))
-    names = docs.columns
-    text = fresh(docs, "_text")
+    matrix = spark.sparkContext.broadcast(np.ascontiguousarray(logs.T.astype(np.float32)))
+    n = len(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         pred, score = [], []
-        for _, _, data, offs in K.chunks(batch[text]):
+        for _, _, data, offs in K.chunks(batch.column(n)):
             buckets, bounds, has = features(data, offs)
             if not langs:
                 pred += ["und"] * len(has)
                 score.append(np.zeros(len(has)))
                 continue
-            per = np.empty((len(has), len(langs)))
-            weights = matrix.value
-            for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                hit, times = np.unique(buckets[a:b], return_counts=True) if b - a > 4 * DIMS else (buckets[a:b], None)
-                part = weights[hit]
-                per[r] = (part.sum(axis=0, dtype=np.float64) if times is None else times @ part.astype(np.float64)) + weights[DIMS]
+            per = scores(matrix.value, buckets, bounds)
             top = per.argmax(axis=1)
             odds = np.exp(per - per.max(axis=1, keepdims=True))
             pred += [langs[k] if ok else "und" for k, ok in zip(top.tolist(), has.tolist(), strict=True)]
             score.append(np.where(has, 1 / odds.sum(axis=1), 0.0))
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(pred), pa.array(np.concatenate(score))], names=[*names, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(pred, pa.string()), pa.array(np.concatenate(score))], names=schema.names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_arrow(docs.select(*kept(docs), F.col(text_col).alias(text)), label, schema)
+    return map_arrow(docs.select(*kept(docs), F.col(text_col)).toDF(*(f"c{k}" for k in range(n + 1))), label, schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
