@@ -50,7 +50,10 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
 
 
 def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, size, source, cluster) of every row: words and one for the separator; cluster is a hash of the words."""
+    """(id, size, source, cluster) of every row: words and one for the separator; cluster is a hash of the words.
+
+    A null or empty text, or one without words, has size 1 and no cluster; repeated rows are rows of their own.
+    """
     batched(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -75,7 +78,8 @@ def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group: int = GRO
     like other items.  Items are dealt by a seeded hash into groups of about ``group`` rows, whatever
     their source, and each group is packed by decreasing size (``best_fit``); a bin is named by group
     and number, and a bin's items start one after another.  Tasks hold one group; a repeated row is an
-    item of its own, and copies of one row are dealt apart by their place in the input.
+    item of its own: equal rows are counted and numbered, and dealt apart by their numbers.  So bins depend on the
+    rows only, not on their order or partitions.
 
     Sizes under 1 count as 1, a null source or cluster conflicts with nothing, and an empty table
     gives an empty result.
@@ -83,13 +87,15 @@ def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group: int = GRO
     batched(items.sparkSession)
     sized = items.select("id", F.greatest(F.coalesce("size", F.lit(1)), F.lit(1)).cast("long").alias("size"), "source", "cluster")
     last = F.floor((F.col("size") - 1) / capacity).cast("int")
+    each = sized.groupBy("id", "size", "source", "cluster").agg(F.count("*").alias("n"))
+    sized = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("size", F.least(F.lit(capacity), F.col("size") - F.col("first")).cast("long"))
     groups = max(1, -(-rows // group))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(23), "id", "source", "cluster", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64(F.lit(23), "id", "source", "cluster", "piece", "copy"), F.lit(groups)).cast("long"))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["size", "id", "piece"], ascending=[False, True, True], kind="stable")
+        frame = frame.sort_values(["size", "id", "piece", "source", "cluster", "copy"], ascending=[False, True, True, True, True, True], kind="stable")
         none = lambda c: [None if pd.isna(x) else x for x in frame[c]]
         got = best_fit(frame["size"].tolist(), none("source"), none("cluster"), capacity)
         number = np.array([x[0] for x in got], np.int64)
@@ -104,6 +110,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """pack of documents, in their terms."""
-    return pack(measure(docs), docs.count()).select(F.col("id").alias("doc_id"), "piece", F.col("first").alias("first_word"), F.col("size").alias("n_tokens"), "bin", F.col("start").alias("bin_start"))
+def packed(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """pack of documents, in their terms: (doc_id, piece, first_word, n_tokens, bin, bin_start).
+
+    clusters (doc_id, cluster: long) names near copies, as near_duplicates finds them; a document that is in none has the cluster
+    of its words.  Nulls, empty texts, repeated rows and empty tables: see measure and pack.
+    """
+    items = measure(docs)
+    if clusters is not None:
+        given = clusters.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("cluster").cast("long").alias("_given"))
+        items = items.join(given, "id", "left").withColumn("cluster", F.coalesce("_given", "cluster")).drop("_given")
+    return pack(items, docs.count()).select(F.col("id").alias("doc_id"), "piece", F.col("first").alias("first_word"), F.col("size").alias("n_tokens"), "bin", F.col("start").alias("bin_start"))
