@@ -53,10 +53,11 @@ class PositionalIndex:
         starts = F.sequence(F.greatest(F.lit(0), F.col("ip") - F.col("need") + 1), F.least(F.col("ip"), F.col("len") - F.col("need")))
         windows = places.select("item", "need", "ip", "tid", "df", F.explode(starts).alias("s")).groupBy("item", "s", "need").agg(F.array_sort(F.collect_list(F.struct("df", "ip", "tid"))).alias("rare"))
         windows = self.work.stage(windows.filter(F.col("rare")[0]["df"] > 0).select("item", "s", "need", F.slice("rare", 1, 2).alias("rare")), "windows")
-        anchors = windows.select("item", F.explode("rare").alias("a")).select("item", F.col("a.tid").alias("tid"), F.col("a.ip").alias("ip")).distinct()
+        anchors = self.work.stage(windows.select("item", F.explode("rare").alias("a")).select("item", F.col("a.tid").alias("tid"), F.col("a.ip").alias("ip")).distinct(), "anchors")
         adjusted = self.postings.join(small(anchors), "tid").select("item", *DOC, (F.col("pos") - F.col("ip")).alias("delta"), "ip")
         diagonals = adjusted.groupBy("item", *DOC, "delta").agg(F.collect_set("ip").alias("at"))
         pairs = windows.groupBy("item").agg(F.collect_set(F.transform("rare", lambda r: r["ip"])).alias("pairs"), F.min(F.size("rare")).alias("least"))
+        pairs = self.work.stage(pairs, "pairs")
         found = diagonals.join(small(pairs), "item").filter((F.size("at") >= F.col("least")) & F.exists("pairs", lambda p: F.size(F.array_except(p, F.col("at"))) == 0))
         self.diagonals = self.work.stage(found.select("item", *DOC, "delta"), "diagonals")
         asked = self.diagonals.join(small(places.select("item", "need", "ip", "tid")), "item").select("item", "need", *DOC, "delta", "ip", "tid", (F.col("delta") + F.col("ip")).alias("pos"))
@@ -105,19 +106,20 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, part: int
     id_, text = F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit(""))
     ids = [F.xxhash64(id_, text).alias("doc"), F.hash(id_, text).alias("doc2")]
     known = work.stage(items_of(items), "items")
-    terms = known.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("tid")).distinct()
+    terms = work.stage(known.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("tid")).distinct(), "terms")
     index = PositionalIndex(work, docs.select(*ids, text.alias("text")), "text", terms)
     runs = work.stage(index.phrases(known.select("item", "words"), width), "runs")
-    work.drop("postings", "diagonals", "windows", "places")
-    hit = runs.select(*DOC, F.explode(F.sequence("start", "end")).alias("pos")).distinct().groupBy(*DOC).agg(F.count("*").alias("_hit"))
-    names = runs.select(*DOC, "item").distinct().join(small(known.select("item", "item_id")), "item").groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("_items"), F.max(F.col("item_id").isNull().cast("int")).alias("_unnamed"))
-    found = work.stage(hit.join(names, DOC), "found")
-    d, d2 = fresh(docs, "_doc"), fresh(docs, "_doc2")
-    found = found.withColumnsRenamed({"doc": d, "doc2": d2})
-    base = docs.select(*kept(docs), ids[0].alias(d), ids[1].alias(d2), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    out = base.join(small(found), [d, d2], "left")
-    n_hit, got = F.coalesce("_hit", F.lit(0)).cast("long"), F.coalesce("_items", F.array().cast("array<string>"))
-    return out.select(*kept(docs), "n_words", n_hit.alias("n_hit"), (F.size(got) + F.coalesce("_unnamed", F.lit(0))).cast("long").alias("n_items"), got.alias("item_ids"), ((n_hit > 0) & (part * n_hit >= F.col("n_words"))).alias("contaminated"))
+    work.drop("terms", "postings", "diagonals", "windows", "places", "anchors", "pairs")
+    hit = runs.select(*DOC, F.explode(F.sequence("start", "end")).alias("pos")).distinct().groupBy(*DOC).agg(F.count("*").alias("hit"))
+    names = runs.select(*DOC, "item").distinct().join(small(known.select("item", "item_id")), "item").groupBy(*DOC).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
+    found = work.stage(hit.join(names, DOC).select(*DOC, F.struct("hit", "items", "unnamed").alias("found")), "found")
+    work.drop("runs", "items")
+    d, d2, f, n = fresh(docs, "_doc"), fresh(docs, "_doc2"), fresh(docs, "_found"), fresh(docs, "_words")
+    base = docs.select(*kept(docs), ids[0].alias(d), ids[1].alias(d2), F.size(words_of(F.col(text_col))).cast("long").alias(n))
+    out = base.join(small(found.toDF(d, d2, f)), [d, d2], "left")
+    n_hit, got = F.coalesce(F.col(f)["hit"], F.lit(0)).cast("long"), F.coalesce(F.col(f)["items"], F.array().cast("array<string>"))
+    n_items = (F.size(got) + F.coalesce(F.col(f)["unnamed"], F.lit(0))).cast("long")
+    return out.select(*kept(docs), F.col(n).alias("n_words"), n_hit.alias("n_hit"), n_items.alias("n_items"), got.alias("item_ids"), ((n_hit > 0) & (part * n_hit >= F.col(n))).alias("contaminated"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
