@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsieve.llm.common import Work, small, table
+from graphsieve.llm.common import Work, row_key, small, table
 from graphsieve.llm.decontaminate import contamination
 from graphsieve.llm.lines import drop_frequent_lines
 from graphsieve.llm.minhash import near_duplicates
@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the trees' verdict."""
+    """Documents that pass the base rules and the trees' verdict.  Null, empty and short texts fail; repeated rows pass or fail together."""
     model = train_rules(docs, table(spark, sf_dir, "labels"))
     return apply_rules(docs, model, keep_columns=COLUMNS).filter("kept").select(COLUMNS)
 
@@ -29,21 +29,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group with similarity 0.8 or more; of rows with equal id and text one stays."""
+    """One document of each group with similarity 0.8 or more: the one of the smallest id.
+
+    Rows are judged by their own text, also where an id has several; of rows with equal id and text one stays, the least
+    by its other columns.  Null and empty texts, and rows without id, are in no group.
+    """
+    work = Work(spark, "near")
     verdicts = near_duplicates(docs, percent=80)
-    gone = verdicts.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    out = docs.join(small(gone), "doc_id", "left_anti").select(COLUMNS)
-    again = verdicts.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    return out.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else out
+    gone = work.stage(verdicts.filter(~F.col("stays")).select("row").distinct(), "gone")
+    again = work.stage(verdicts.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row"), "again")
+    left = docs.select(COLUMNS).withColumn("row", row_key("doc_id", "text")).join(small(gone), "row", "left_anti")
+    one = left.join(small(again), "row", "left_semi").groupBy("row").agg(F.min(F.struct("lang", "source", "n_chars")).alias("c"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return left.join(small(again), "row", "left_anti").select(COLUMNS).unionByName(one.select("doc_id", "text", "c.lang", "c.source", "c.n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which windows of benchmark items cover less than a twentieth."""
+    """Documents of which windows of benchmark items cover less than a twentieth.  Null and empty texts are clean; repeated rows stay or go together."""
     return contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in bins."""
+    """The documents' pieces in bins.  Null and empty texts are items of size 1, repeated rows items of their own."""
     return packed(docs)
 
 
@@ -58,6 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = work.stage(stage(spark, docs, sf_dir), name)
-        if k > 1:
+        if k:
             work.drop(STAGES[k - 1][0])
     return docs

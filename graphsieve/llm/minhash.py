@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Work, batched, map_arrow, small, table
+from .common import Work, batched, map_arrow, parts_of, row_key, small, table
 from .components import components
 
 BITS = 4
@@ -76,7 +76,7 @@ def estimate(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, cls, sig, bands): number of shingles, digest of the set, packed signature, band keys (null without shingles)."""
+    """(id, row, n, cls, sig, bands): key of id and text, number of shingles, digest of the set, packed signature, band keys (null without shingles)."""
     bands = scheme.bands
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -92,10 +92,10 @@ def signatures(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str) -> D
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append(pack(low).tobytes())
                 keys.append(_band_keys(low, bands))
-        return pa.record_batch({"id": batch["id"], "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+        return pa.record_batch({"id": batch["id"], "row": batch["row"], "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "sig": pa.array(sig, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, sign, "id long, n long, cls binary, sig binary, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return map_arrow(rows, sign, "id long, row binary, n long, cls binary, sig binary, bands array<long>")
 
 
 def _band_keys(low: np.ndarray, bands: int) -> np.ndarray:
@@ -167,7 +167,7 @@ def verify(pairs: DataFrame, texts: DataFrame, scheme: Scheme, percent: int) ->
                     k += 1
             yield pa.record_batch({"a": pa.array(a[good]), "b": pa.array(ids[good])})
 
-    dealt = hubs.unionAll(spokes).repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    dealt = hubs.unionAll(spokes).repartition(parts_of(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -200,14 +200,15 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts, schem
     each = labelled.groupBy("band", "key", "c").agg(F.count("*").alias("n"))
     open_ = each.groupBy("band", "key").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("c", "n").alias("major")).filter("k > 1")
     open_ = open_.select("band", "key", "major", F.ceil(F.col("n") / 512).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("top")) / 2048).cast("int").alias("cols"))
+    open_ = work.stage(open_, "buckets_open")
     rows = work.stage(labelled.join(small(open_), ["band", "key"]), "open")
-    signed = work.stage(_long_signatures(texts(rows.select(F.col("v").alias("id")).distinct()), longer), "long")
+    signed = work.stage(_long_signatures(texts(rows.select("v").distinct(), "open_texts"), longer), "long")
     reps = reps.select("v", "bands").join(signed, "v")
     home, col = F.pmod(F.xxhash64("v"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), F.col("cols")).cast("int")
     range_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = rows.select("band", "key", "v", "c", (F.col("c") != F.col("major")).alias("minor"), home.alias("x"), range_("cols").alias("y"), F.lit(0).alias("role"))
     minors = rows.filter("c <> major").select("band", "key", "v", "c", F.lit(True).alias("minor"), range_("rows").alias("x"), col.alias("y"), F.lit(1).alias("role"))
-    tiles = whole.unionAll(minors).join(reps.select("v", "sig", "bands"), "v").repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "role")
+    tiles = whole.unionAll(minors).join(reps.select("v", "sig", "bands"), "v").repartition(parts_of(members.sparkSession), "band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "role")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, ["band", "key", "x", "y"]):
@@ -235,10 +236,10 @@ def _across(members: DataFrame, labels: DataFrame, reps: DataFrame, texts, schem
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of docs.
+    """(id, n_shingles, component_id, kept, row, stays) of every row of docs.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of word shingles;
-    component_id is the smallest id reachable over links.  Equal sets are one class; its smallest id
+    component_id is the smallest id reachable over links.  Equal sets are one class, a vertex of the search; its smallest id
     stands for it.  Bands of minima give candidate pairs, bit counts of packed signatures an estimate,
     and pairs estimated within four standard deviations are confirmed on their full sets.  First each
     bucket's members are compared with its smallest; then pairs of a bucket that are still in
@@ -246,8 +247,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scheme: Scheme | None =
     link between components is left out.
 
     Null or empty texts and texts without words have no shingles and stay alone; texts of fewer words
-    than the width are one shingle.  Rows with equal id count as one document.  A null id is linked
+    than the width are one shingle.  Every row is a document: rows of one id with unlike texts are each linked by their
+    own text, and components are told apart even where they have the same smallest id.  A null id is linked
     with nothing: its component is null and it is kept.  An empty table gives an empty result.
+
+    row is row_key(id, text); stays is set for one row of each component (the smallest id, of its rows the one of the smallest key;
+    rows that repeat id and text have it together) and for rows without shingles or id.
     """
     scheme = scheme or Scheme()
     spark = docs.sparkSession
@@ -255,31 +260,45 @@ def near_duplicates(docs: DataFrame, percent: int = 80, scheme: Scheme | None =
     work, floor = Work(spark, "minhash"), scheme.floor(percent / 100)
     signed = work.stage(signatures(docs, scheme, id_col, text_col), "signed")
     full = signed.filter("n > 0 and id is not null")
-    classes = work.stage(full.groupBy("cls").agg(F.min("id").alias("v")), "classes")
-    reps = work.stage(full.join(classes.withColumnRenamed("v", "id"), ["cls", "id"]).withColumnRenamed("id", "v").dropDuplicates(["v"]).select("v", "sig", "bands"), "reps")
+    found = work.stage(full.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("top")), "found")
+    shared = work.stage(found.groupBy("top.id").agg(F.min("cls").alias("first"), F.count("*").alias("k")).filter("k > 1").select("id", "first"), "shared")
+    # a class is named by its smallest id, further classes with the same one by a hash of their digest
+    named = found.select("cls", "top", F.col("top.id").alias("id")).join(small(shared), "id", "left")
+    classes = work.stage(named.select("cls", "top", F.when(F.col("first").isNull() | (F.col("first") == F.col("cls")), F.col("id")).otherwise(F.xxhash64("cls")).alias("v")), "classes")
+    reps = full.join(classes.select("cls", F.col("top.row").alias("row"), "v"), ["cls", "row"])
+    reps = work.stage(reps.dropDuplicates(["v"]).select("v", "row", "sig", "bands"), "reps")
     banded = reps.select("v", F.posexplode("bands").alias("band", "key"))
     buckets = work.stage(banded.groupBy("band", "key").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a < z").select("band", "key", "a"), "buckets")
     members = work.stage(banded.join(small(buckets), ["band", "key"]), "members")
     stars = members.filter("v <> a").select("a", F.col("v").alias("b")).distinct()
     stars = work.stage(_estimated(stars, reps, scheme, floor), "stars")
-    own = F.col(id_col).cast("long")
-    source = docs.select(own.alias("id"), F.col(text_col).alias("text"))
-    ends = lambda p, name: work.stage(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
-    texts = lambda some: source.join(small(some), "id", "left_semi").dropDuplicates(["id"])
-    links = work.stage(verify(stars, texts(ends(stars, "star_ends")), scheme, percent), "links")
+    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+
+    def texts(some: DataFrame, name: str) -> DataFrame:
+        """(id, text) of the classes (v)."""
+        rows = work.stage(some.join(reps.select("v", "row"), "v"), name)
+        return source.join(small(rows), "row").select(F.col("v").alias("id"), "text").dropDuplicates(["id"])
+
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    links = work.stage(verify(stars, texts(ends(stars), "star_ends"), scheme, percent), "links")
     labels = work.stage(components(links, work, "near"), "labels")
     rest = work.stage(_across(members, labels, reps, texts, scheme, percent / 100, work), "rest")
-    more = work.stage(verify(rest, texts(ends(rest, "rest_ends")), scheme, percent), "more")
+    more = work.stage(verify(rest, texts(ends(rest), "rest_ends"), scheme, percent), "more")
     if more.limit(1).count():
         labels = work.stage(components(links.unionAll(more), work, "all"), "final")
-    named = work.stage(classes.join(labels.select("v", "comp"), "v", "left").select("cls", F.coalesce("comp", "v").alias("comp")), "named")
-    out = signed.select("id", "n", "cls").join(named, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
-    out = work.stage(out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), "out")
-    work.drop("signed", "classes", "reps", "buckets", "members", "labelled", "open", "long", "stars", "star_ends", "rest", "rest_ends", "named")
+    linked = labels.join(classes.select("v", "top"), "v")
+    tops = work.stage(linked.groupBy("comp").agg(F.min("top").alias("least")).join(labels, "comp").select("v", "least"), "tops")
+    named = work.stage(classes.join(small(tops), "v", "left").select("cls", F.coalesce("least", "top").alias("least")), "named")
+    out = signed.select("id", "row", "n", "cls").join(named, "cls", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least.id", "id"))
+    alone = F.col("least").isNull() | F.col("id").isNull()
+    out = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "row", (alone | (F.col("row") == F.col("least.row"))).alias("stays"))
+    out = work.stage(out, "out")
+    work.drop("signed", "found", "shared", "classes", "reps", "buckets", "members", "labelled", "buckets_open", "open", "open_texts", "long", "stars", "star_ends", "links", "labels", "rest", "rest_ends", "more", "final", "tops", "named")
     return out
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with similarity 0.85 or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, percent=85).withColumnRenamed("id", "doc_id")
+    return near_duplicates(docs, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
