@@ -6,83 +6,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Work, batched, fresh, table
+from .common import Work, batched, small, table
 
+#: The least bucket.
 BUCKET_BYTES = 32 << 20
-#: Bucket offsets (16 bytes each) are broadcast up to this number.
-MAX_BROADCAST = 1 << 20
 
 
-def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of a bucket: an eighth of the executor memory of a core, as a task holds a bucket and its permuted copy, BUCKET_BYTES at least."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return BUCKET_BYTES
+    memory = context._jsc.sc().executorMemory() << 20
+    return max(BUCKET_BYTES, memory // int(context.getConf().get("spark.executor.cores", "1")) // 8)
+
+
+def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int | None = None) -> DataFrame:
     """All rows of docs in a seeded random order, dealt into shards: every column, and ``shard``, ``slot``.
 
-    Pass one scatters rows uniformly into buckets of about bucket_bytes by a seeded hash of id and
+    Pass one scatters rows uniformly into buckets of about bucket_bytes (bucket_size) by a seeded hash of id and
     text.  A bucket that comes out over twice that size is split by another hash, and by row position
-    if it holds many copies of one row (only then does the order depend on the input's layout).  Pass
+    if it holds many copies of one row (only then does the order depend on the input's layout; the input is staged first, so
+    that a recomputed task sees the same rows).  Pass
     two holds one bucket at a time, permutes it (Fisher-Yates with a generator seeded by seed and
     bucket, over rows in a fixed order) and writes it to the shared folder.  A row's place in the
     sequence of all buckets is g: shard g mod n_shards, slot g div n_shards.  So shard counts differ
     by one at most and slots have no gaps, however skewed sources, keys and copies are.
 
     Nulls in id or text are values like others; an empty table gives an empty result; repeated rows
-    are rows of their own.  A column called shard, slot, ... in docs is replaced.
+    are rows of their own.  A column called shard or slot in docs is replaced; other columns may have any name.
 
-    The driver holds one count per bucket (8 bytes for each bucket_bytes of input), nothing else.
+    The driver holds three numbers; counts of buckets stay in tables, a row a bucket.
     """
     spark, work = docs.sparkSession, Work(docs.sparkSession, "shuffle")
     batched(spark, 2000)
+    bucket_bytes = bucket_bytes or bucket_size(spark)
     docs = docs.drop("shard", "slot")
-    hashed, bucket, place, start = (fresh(docs, c) for c in ("_hash", "_bucket", "_place", "_start"))
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 64
-    rows = docs.withColumn(hashed, F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(text_col), F.lit("-"))))
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-total // bucket_bytes))
-    home = F.pmod(hashed, F.lit(n)).cast("int")
-    over = rows.groupBy(home.alias(bucket)).agg(F.sum(size).alias("b")).filter(F.col("b") > 2 * bucket_bytes).collect()
-    moved, extra = home, n
-    if over:  # each takes over bucket_bytes of input, so there are total / bucket_bytes of them at most
-        within = rows.filter(home.isin([r[bucket] for r in over])).groupBy(home.alias(bucket))
-        copies = {r[bucket]: r["n"] > 2 * r["d"] for r in within.agg(F.count("*").alias("n"), F.count_distinct(hashed).alias("d")).collect()}
-        for r in over:
-            parts = -(-r["b"] // bucket_bytes)
-            again = F.xxhash64(F.col(hashed), F.monotonically_increasing_id()) if copies[r[bucket]] else F.xxhash64(F.col(hashed))
-            moved = F.when(home == r[bucket], extra + F.pmod(again, F.lit(parts))).otherwise(moved).cast("int")
-            extra += parts
-    n_buckets = int(extra)
-    keyed = rows.withColumn(bucket, moved)
-    columns = [c for c in keyed.columns if c not in (hashed, bucket)]
+    fields, id_, text = docs.schema.fields, docs.columns.index(id_col), docs.columns.index(text_col)
+    columns = [f"c{k}" for k in range(len(fields))]
+    docs = docs.toDF(*columns)
+    size = F.coalesce(F.octet_length(columns[text]), F.lit(0)) + 64
+    hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(columns[id_]).cast("string"), F.lit("-")), F.coalesce(F.col(columns[text]), F.lit("-")))
+    n = max(1, -(-(docs.agg(F.sum(size)).first()[0] or 0) // bucket_bytes))
+    homed = lambda d: d.withColumn("hashed", hashed).withColumn("home", F.pmod("hashed", F.lit(n)).cast("int"))
+    rows = homed(docs)
+    over = work.stage(rows.groupBy("home").agg(F.sum(size).alias("b")).filter(F.col("b") > 2 * bucket_bytes), "over")
+    within = rows.join(small(over), "home").groupBy("home", "b", "hashed").agg(F.count("*").alias("n")).groupBy("home", "b").agg((F.sum("n") > 2 * F.count("*")).alias("copies"))
+    parts = F.ceil(F.col("b") / bucket_bytes)
+    before = F.sum("parts").over(Window.orderBy("home").rowsBetween(Window.unboundedPreceding, -1))
+    split = work.stage(within.withColumn("parts", parts).withColumn("base", n + F.coalesce(before, F.lit(0))), "split")
+    extra, hot = split.agg(F.sum("parts"), F.max("copies")).first()
+    if hot:
+        rows = homed(work.stage(docs, "input"))
+    again = F.when(F.col("copies"), F.xxhash64("hashed", F.monotonically_increasing_id())).otherwise(F.xxhash64("hashed"))
+    moved = F.when(F.col("parts").isNull(), F.col("home")).otherwise(F.col("base") + F.pmod(again, F.col("parts"))).cast("int")
+    keyed = rows.join(F.broadcast(split.drop("b")), "home", "left").select(*columns, "hashed", moved.alias("bucket"))
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         whole = pa.Table.from_batches(got)
-        order = whole[hashed].to_numpy()
-        homes = whole[bucket].to_numpy()
+        order, homes = whole["hashed"].to_numpy(), whole["bucket"].to_numpy()
         for k in np.unique(homes).tolist():
             at = np.flatnonzero(homes == k)
             at = at[np.argsort(order[at], kind="stable")]
             np.random.default_rng([seed, k]).shuffle(at)
             for i in range(0, len(at), 2000):
-                part = whole.take(pa.array(at[i : i + 2000]))
-                part = part.select(columns).append_column(bucket, pa.array(np.full(part.num_rows, k, np.int32))).append_column(place, pa.array(np.arange(i, i + part.num_rows, dtype=np.int64)))
+                part = whole.take(pa.array(at[i : i + 2000])).select(columns)
+                part = part.append_column("bucket", pa.array(np.full(part.num_rows, k, np.int32))).append_column("place", pa.array(np.arange(i, i + part.num_rows, dtype=np.int64)))
                 yield from part.combine_chunks().to_batches()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(bucket, T.IntegerType()), T.StructField(place, T.LongType())])
-    dealt = keyed.repartitionById(n_buckets, F.col(bucket)).mapInArrow(permute, schema)
-    written = work.stage(dealt, "buckets")
-    counts = {r[0]: r[1] for r in written.groupBy(bucket).agg(F.max(place) + 1).collect()}
-    starts, at = np.zeros(n_buckets, np.int64), 0
-    for k in range(n_buckets):
-        starts[k], at = at, at + counts.get(k, 0)
-    offsets = spark.createDataFrame([(k, int(starts[k])) for k in range(n_buckets)], f"{bucket} int, {start} long")
-    g = F.col(start) + F.col(place)
-    joined = written.join(F.broadcast(offsets) if n_buckets <= MAX_BROADCAST else offsets, bucket)
-    return joined.select(*[F.col(c) for c in columns], F.pmod(g, F.lit(n_shards)).cast("int").alias("shard"), F.floor(g / n_shards).cast("long").alias("slot"))
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(columns, fields, strict=True)), T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
+    written = work.stage(keyed.repartitionById(int(n + (extra or 0)), F.col("bucket")).mapInArrow(permute, schema), "buckets")
+    start = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = work.stage(written.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", start.alias("start")), "offsets")
+    work.drop("over", "split", "input")
+    g = F.col("start") + F.col("place")
+    out = written.join(small(offsets), "bucket").select(*columns, F.pmod(g, F.lit(n_shards)).cast("int"), F.floor(g / n_shards).cast("long"))
+    return out.toDF(*(f.name for f in fields), "shard", "slot")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
