@@ -7,6 +7,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import math
 import uuid
 import zlib
 from collections import OrderedDict
@@ -16,10 +17,10 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, batched, small, table
+from .common import Work, batched, parts_of, small, table
 
 CRLF = b"\r\n"
 DATE = "2000-01-01T00:00:00Z"
@@ -92,25 +93,32 @@ def decode(member: bytes) -> dict:
     return {"page_id": number("Page"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("Refers-To-Page"), "payload": None if revisit else payload}
 
 
-def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """pages with ``_first`` (the response's page_id) and ``_revisit``.
+def _roles(pages: DataFrame, min_bytes: int, work: Work) -> DataFrame:
+    """pages with ``_first`` (the response's page_id), ``_revisit`` and ``_copies``, how many records a row stands for.
 
     Only payloads that occur twice or more meet others, as (digest, page_id) counts summed before
-    they are shuffled; html moves only if those are too many to broadcast.
+    they are shuffled; html moves only if those are too many to broadcast, and of rows that agree in page_id and payload
+    with a response: those are counted by url, the least url's first is the response.
     """
     digest = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("_digest")
     long_ = F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes
     each = pages.filter(long_).groupBy(digest, "page_id").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("f")
     twice = each.groupBy("_digest").agg(first, F.sum("n").alias("all")).filter("all > 1").select("_digest", F.col("f.page_id").alias("_first"), F.col("f.n").alias("_ties"))
+    twice = work.stage(twice, "twice")
     rows = pages.withColumn("_digest", digest).join(small(twice), "_digest", "left").withColumn("_lead", F.col("page_id").eqNullSafe(F.col("_first")))
     none = F.col("_ties").isNull() | ~long_
-    if twice.filter("_ties > 1").limit(1).count():  # rows that agree in page_id and payload: one of them is the response
-        tied = F.coalesce(F.col("_lead") & (F.col("_ties") > 1), F.lit(False)) & ~none
-        order = Window.partitionBy("_digest").orderBy("url")
-        rows = rows.filter(~tied).withColumn("_k", F.lit(1)).unionByName(rows.filter(tied).withColumn("_k", F.row_number().over(order)))
-        return rows.withColumn("_revisit", ~none & ~(F.col("_lead") & (F.col("_k") == 1)))
-    return rows.withColumn("_revisit", ~none & ~F.col("_lead"))
+    tied = F.coalesce(F.col("_lead") & (F.col("_ties") > 1), F.lit(False)) & ~none
+    names = ["page_id", "url", "html", "_first", "_revisit", "_copies"]
+    plain = rows.withColumns({"_revisit": ~none & ~F.col("_lead"), "_copies": F.lit(1).cast("long")})
+    if not twice.filter("_ties > 1").limit(1).count():
+        return plain.select(names)
+    same = rows.filter(tied).groupBy("_digest", "page_id", "url").agg(F.first("html").alias("html"), F.first("_first").alias("_first"), F.count("*").alias("_copies"))
+    least = F.min(F.struct(F.col("url").isNotNull().alias("some"), "url")).alias("least")
+    same = work.stage(same, "tied")
+    tops = same.groupBy(F.col("_digest").alias("_d")).agg(least)
+    lead = F.col("url").eqNullSafe(F.col("least.url"))
+    return plain.filter(~tied).select(names).unionByName(same.join(tops, F.col("_digest") == F.col("_d")).withColumn("_revisit", ~lead).select(names))
 
 
 class CaptureIndex:
@@ -118,9 +126,12 @@ class CaptureIndex:
 
     Records are gzip members in files of about FILE_BYTES, a task's own.  The index is sorted by
     capture_key and cut into shards by key range; a shard is a file of compressed blocks of
-    BLOCK_LINES entries with a sparse directory, the first key and place of each block.  A search
-    bisects the shards' first keys (one a shard, on the driver), then a shard's directory, then a
-    block, and reads a byte range of an archive.  File names are unique to a task attempt, and only
+    BLOCK_LINES entries with a sparse directory, the first key and place of each block.  Shards and the blocks of a
+    shard grow alike, with the square root of the captures, so neither the list of shards (their first keys, broadcast) nor a
+    shard's directory grows beyond some ten thousand lines in any archive that could be stored.  A search
+    bisects the shards' first keys, then a shard's directory, then a
+    block, and reads a byte range of an archive.  Repeated rows are records of their own, of one page_id and payload
+    the least url's first is the response; an empty table gives an empty index.  File names are unique to a task attempt, and only
     names that a finished attempt has given out are ever read.
     """
 
@@ -131,18 +142,27 @@ class CaptureIndex:
         self.work = Work(self.spark, "warc")
         root = self.work.path
         _made(root)
-        rows = _roles(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), min_bytes)
-        entries = rows.select("page_id", "url", "html", "_first", "_revisit").mapInArrow(_writer(root), "key string, file string, offset long, length long")
+        rows = _roles(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html"), min_bytes, self.work)
+        entries = rows.mapInArrow(_writer(root), "key string, file string, offset long, length long")
         self.entries = self.work.stage(entries, "entries")
-        n = shards or max(1, min(1000, self.entries.count() // (64 * BLOCK_LINES)))
+        n = shards or max(1, math.isqrt(self.entries.count() // BLOCK_LINES))
         ranged = self.entries.repartitionByRange(n, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
         tops = self.work.stage(ranged.mapInArrow(_packer(root), "first string, shard string"), "shards")
         self.tops = sorted((r["first"], r["shard"]) for r in tops.collect())
 
+    def locate(self, keys: DataFrame) -> DataFrame:
+        """(key, file, offset, length) of every capture of the keys (key), by the index."""
+        ordered = keys.select("key").distinct().repartitionByRange(parts_of(self.spark), "key").sortWithinPartitions("key")
+        return ordered.mapInArrow(_searcher(self.work.path, self.spark.sparkContext.broadcast(self.tops)), "key string, file string, offset long, length long")
+
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """(key, page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of every capture of the keys (key)."""
-        ordered = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
-        return ordered.mapInArrow(_reader(self.work.path, self.tops), "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+        """(key, page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of every capture of the keys (key).
+
+        Records are read in the order of the archives, each task a range of them.
+        """
+        placed = self.work.stage(self.locate(keys), "located")
+        read = placed.repartitionByRange(parts_of(self.spark), "file", "offset").sortWithinPartitions("file", "offset")
+        return read.mapInArrow(_fetcher(self.work.path), "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _made(root: str) -> None:
@@ -157,7 +177,7 @@ def _writer(root: str):
         out, name, at = None, "", 0
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [])
-            for page_id, url, html, first, revisit in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "_first", "_revisit")), strict=True):
+            for page_id, url, html, first, revisit in (x[:4] + (x[4] or k > 0,) for x in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "_first", "_revisit", "_copies")), strict=True) for k in range(x[5])):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
@@ -211,24 +231,44 @@ def _packer(root: str):
     return pack
 
 
-def _reader(root: str, tops: list[tuple[str, str]]):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
-        firsts = [x[0] for x in tops]
-        held: OrderedDict[str, object] = OrderedDict()
+class _Files:
+    """Open files and decoded blocks under a folder, the last 48 of them."""
+
+    def __init__(self, root: str):
+        self.fs, self.base = pafs.FileSystem.from_uri(root)
+        self.held: OrderedDict[str, object] = OrderedDict()
+
+    def cached(self, name: str, make):
+        if name not in self.held:
+            self.held[name] = make()
+            while len(self.held) > 48:
+                _, old = self.held.popitem(last=False)
+                if hasattr(old, "close"):
+                    old.close()
+        self.held.move_to_end(name)
+        return self.held[name]
+
+    def span(self, name: str, offset: int, length: int) -> bytes:
+        return self.cached(name, lambda: self.fs.open_input_file(f"{self.base}/{name}")).read_at(length, offset)
 
-        def cached(name: str, make):
-            if name not in held:
-                held[name] = make()
-                while len(held) > 48:
-                    _, old = held.popitem(last=False)
-                    if hasattr(old, "close"):
-                        old.close()
-            held.move_to_end(name)
-            return held[name]
 
-        def span(name: str, offset: int, length: int) -> bytes:
-            return cached(name, lambda: fs.open_input_file(f"{base}/{name}")).read_at(length, offset)
+def _fetcher(root: str):
+    kind = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _Files(root)
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pylist([{"key": e["key"]} | decode(files.span(f"archive/{e['file']}", e["offset"], e["length"])) for e in batch.to_pylist()], schema=kind)
+
+    return fetch
+
+
+def _searcher(root: str, known):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, tops = _Files(root), known.value
+        cached, span, fs, base = files.cached, files.span, files.fs, files.base
+        firsts = [x[0] for x in tops]
 
         def directory(shard: str) -> list:
             def load():
@@ -261,13 +301,11 @@ def _reader(root: str, tops: list[tuple[str, str]]):
                 s, k = s + 1, 0
 
         for batch in batches:
-            rows = []
-            for key in batch["key"].to_pylist():
-                rows += [{"key": key} | decode(span(f"archive/{e[1]}", e[2], e[3])) for e in captures(key)]
+            rows = [e for key in batch["key"].to_pylist() for e in captures(key)]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
+                yield pa.record_batch({name: pa.array([e[k] for e in rows], kind) for k, (name, kind) in enumerate(zip(ENTRY, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))})
 
-    return read
+    return search
 
 
 def capture_keys(pages: DataFrame) -> DataFrame:
@@ -282,7 +320,7 @@ def capture_keys(pages: DataFrame) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a WARC record, found again over the index and read from the archives."""
+    """Every page as a WARC record, found again over the index and read from the archives; a row of pages is a row of the result."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     index = CaptureIndex(pages)
     return index.lookup(capture_keys(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
