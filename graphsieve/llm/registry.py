@@ -15,6 +15,7 @@ from .minhash import op2
 from .packing import op7
 from .quality import op8
 from .sharding import op1
+from .statements import OP2_SQL, OP9_SQL, QUALITY_SQL, SHARDING_SQL, quality_statistics, sharding_audit
 from .warc import op9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,8 +29,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8,
     "op9_warc": op9,
     "op10_decontamination": op10,
+    "quality_statistics": quality_statistics,
+    "sharding_audit": sharding_audit,
 }
 ORACLES: dict[str, str] = {
+    "op2_minhash": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op9_warc": OP9_SQL,
     "op10_decontamination": OP10_SQL,
+    "quality_statistics": QUALITY_SQL,
+    "sharding_audit": SHARDING_SQL,
 }
