@@ -160,7 +160,7 @@ class CaptureIndex:
 
         Records are read in the order of the archives, each task a range of them.
         """
-        placed = self.work.stage(self.locate(keys), "located")
+        placed = self.work.stage(self.locate(keys), f"located-{uuid.uuid4().hex}")
         read = placed.repartitionByRange(parts_of(self.spark), "file", "offset").sortWithinPartitions("file", "offset")
         return read.mapInArrow(_fetcher(self.work.path), "key string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
