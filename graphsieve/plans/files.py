@@ -70,10 +70,10 @@ def source_expression(spark, sf):
     return readers.expression(spark, _matrix(spark, sf))
 
 
-@query("SELECT 'G' || p_partkey % 300 AS gene, arg_max(p_retailprice, p_partkey) AS tpm FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0 AND p_retailprice >= 1000 GROUP BY 1")
+@query("SELECT 'G' || p_partkey % 300 AS gene, arg_max(p_retailprice, p_partkey) AS tpm FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0 AND p_retailprice >= 950 GROUP BY 1")
 def source_expression_map(spark, sf):
     """The last row of those that pass the threshold."""
-    return readers.expression(spark, _matrix(spark, sf), at_least=1000.0)
+    return readers.expression(spark, _matrix(spark, sf), at_least=950.0)
 
 
 @query("SELECT DISTINCT CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'G' || p_partkey % 300 END AS gene FROM part WHERE CASE WHEN p_partkey % 7 = 0 THEN p_size ELSE (p_retailprice + p_size) / 2 END > 480")
