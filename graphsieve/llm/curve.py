@@ -19,17 +19,19 @@ from .common import Work, batched, small, table
 CAPACITY = 1024
 #: Dimensions of the curve and bits of each; buckets of a hashed document vector.
 DIMS, BITS, BUCKETS = 4, 15, 4096
-#: Before a space between two characters that are no white space, no token of the vocabulary goes on.
-_CUT = re.compile(r"(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
+#: A piece of text that is a word with or without a space before it.
+_SIMPLE = re.compile("(?: ?[!-~À-ȿ]+)")
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:
-    """Token ids of many texts by a tokenizer file, each distinct word encoded once while it is remembered.
+    """Token ids of many texts by a tokenizer file, each distinct piece of text encoded once while it is remembered.
 
-    A byte-level vocabulary splits text before it merges, and never across a space that follows a character other than white
-    space: so the ids of a text are the ids of its pieces cut there, one after another.
+    A byte-level vocabulary splits text before it merges.  It never joins what stands on both sides of a cut before a
+    single space, or before and after a single line feed, if the characters around are visible ones of ASCII or U+00C0 to
+    U+023F.  So the ids of a text are the ids of its pieces between such cuts.  New pieces are encoded as lines of one
+    text.  Pieces are known by 128-bit digests.
     """
 
     def __init__(self, path: str):
@@ -38,48 +40,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.line_feed = self._ids(["\n"])[0].tolist()
         self.forget()
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 16, self.kind), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.number) + len(pieces) > REMEMBERED and self.number:
-            raise KeyError
-        got = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        flat, sizes = np.concatenate([np.array(x, self.kind) for x in got]), np.array([len(x) for x in got])
-        n, used = len(self.number), self.used
-        if used + len(flat) > len(self.flat):
-            self.flat = np.concatenate((self.flat[:used], np.zeros(used + 2 * len(flat), self.kind)))
-        if n + len(got) > len(self.starts):
-            more = np.zeros(n + 2 * len(got), np.int64)
-            self.starts, self.sizes = np.concatenate((self.starts[:n], more)), np.concatenate((self.sizes[:n], more))
-        self.flat[used : used + len(flat)] = flat
-        self.starts[n : n + len(got)], self.sizes[n : n + len(got)] = used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(flat)
-        self.number.update(zip(pieces, range(n, n + len(got)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of each text's."""
-        pieces, counts = [], []
-        for text in texts:
-            cut = _CUT.split(text) if text else []
-            pieces += cut
-            counts.append(len(cut))
-        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
-        if new:
-            try:
-                self._learn(new)
-            except KeyError:
-                self.forget()
-                self._learn(list(dict.fromkeys(pieces)))
-        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.number: dict[int, int] = {}
+        self.flat, self.starts, self.sizes, self.second = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def _learn(self, pieces: list[str], first: list[int], second: np.ndarray) -> None:
+        words = [k for k, p in enumerate(pieces) if _SIMPLE.fullmatch(p)] if len(self.line_feed) == 1 else []
+        known = set(words)
+        rest = [k for k in range(len(pieces)) if k not in known]
+        flat, sizes = [], np.zeros(len(pieces), np.int64)
+        for i in range(0, len(words), 1000):
+            ids = self._ids(["\n".join(pieces[k] for k in words[i : i + 1000])])[0]
+            feeds = np.flatnonzero(ids == self.line_feed[0])
+            sizes[words[i : i + 1000]] = np.diff(np.concatenate(([-1], feeds, [len(ids)]))) - 1
+            flat.append(np.delete(ids, feeds))
+        for i in range(0, len(rest), 1000):
+            got = self._ids([pieces[k] for k in rest[i : i + 1000]])
+            sizes[rest[i : i + 1000]] = [len(x) for x in got]
+            flat += got
+        order, n, used = np.array(words + rest, np.int64), len(self.sizes), len(self.flat)
+        starts = np.empty(len(pieces), np.int64)
+        starts[order] = used + np.cumsum(sizes[order]) - sizes[order]
+        self.flat, self.starts = np.concatenate((self.flat, *flat)), np.concatenate((self.starts, starts))
+        self.sizes, self.second = np.concatenate((self.sizes, sizes)), np.concatenate((self.second, second))
+        self.number.update(zip(first, range(n, n + len(pieces)), strict=True))
+
+    def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Where pieces start."""
+        visible, lead = (data > 0x20) & (data < 0x7F), (data >= 0xC3) & (data <= 0xC8)
+        ends = visible.copy()
+        ends[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & lead[:-1]
+        begins = visible | lead
+        single = np.zeros(len(data), bool)
+        single[1:-1] = ends[:-2] & begins[2:]
+        cut = single & ((data == 0x20) | (data == 0x0A))
+        cut[1:] |= (single & (data == 0x0A))[:-1]
+        cut[offs[:-1][np.diff(offs) > 0]] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk's texts one after another, and the number of each text's."""
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(offs) - 1, np.int64)
+        starts = self._cuts(data, offs)
+        ends = np.append(starts[1:], len(data))
+        first, second = K.digests(data, starts, ends)
+        distinct, where, of = np.unique(first, return_index=True, return_inverse=True)
+        if len(self.number) + len(distinct) > REMEMBERED:
+            self.forget()
+        names = distinct.tolist()
+        at = np.array([self.number.get(x, -1) for x in names])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            raw = data.tobytes()
+            at[new] = len(self.sizes) + np.arange(len(new))
+            self._learn([raw[starts[k] : ends[k]].decode() for k in where[new].tolist()], [names[k] for k in new.tolist()], second[where[new]])
+        at = at[of]
+        if (self.second[at] != second).any():  # two pieces of one digest: each text by itself
+            got = self._ids([data[a:b].tobytes().decode() for a, b in zip(offs[:-1], offs[1:], strict=True)])
+            return np.concatenate(got), np.array([len(x) for x in got])
         sizes = self.sizes[at]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.concatenate(([0], np.cumsum(counts)))])
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.searchsorted(starts, offs)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,9 +163,9 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         for batch in batches:
-            for i, j, _, _ in K.chunks(batch["text"]):
+            for i, j, data, offs in K.chunks(batch["text"]):
                 part = batch.slice(i, j - i)
-                ids, sizes = known.encode(part["text"].to_pylist())
+                ids, sizes = known.encode(data, offs)
                 x = vectors(ids, sizes, seed)
                 ends = np.cumsum(sizes + 1)
                 whole = np.full(int(ends[-1]), end_id, known.kind)
