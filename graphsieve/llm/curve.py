@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,13 @@ from .common import Work, batched, small, table
 CAPACITY = 1024
 #: Dimensions of the curve and bits of each; buckets of a hashed document vector.
 DIMS, BITS, BUCKETS = 4, 15, 4096
-#: A piece of text that is a word with or without a space before it.
+#: A piece of text that is one word of ASCII letters, which goes to the vocabulary's merges as it is; or any without white space but a space before it.
+_WORD = re.compile(" ?[A-Za-z]+")
 _SIMPLE = re.compile("(?: ?[!-~À-ȿ]+)")
+_MARKS = np.zeros(256, bool)
+_MARKS[[*b',.;:!?")']] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -30,8 +36,8 @@ class Encoder:
 
     A byte-level vocabulary splits text before it merges.  It never joins what stands on both sides of a cut before a
     single space, or before and after a single line feed, if the characters around are visible ones of ASCII or U+00C0 to
-    U+023F.  So the ids of a text are the ids of its pieces between such cuts.  New pieces are encoded as lines of one
-    text.  Pieces are known by 128-bit digests.
+    U+023F; nor a letter of these and a mark of _MARKS after it.  So the ids of a text are the ids of its pieces between such cuts.  New pieces are encoded as words
+    or as lines of one text.  Pieces are known by 128-bit digests.
     """
 
     def __init__(self, path: str):
@@ -41,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.line_feed = self._ids(["\n"])[0].tolist()
+        self.space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
         self.forget()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -51,20 +58,23 @@ class Encoder:
         self.flat, self.starts, self.sizes, self.second = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def _learn(self, pieces: list[str], first: list[int], second: np.ndarray) -> None:
-        words = [k for k, p in enumerate(pieces) if _SIMPLE.fullmatch(p)] if len(self.line_feed) == 1 else []
-        known = set(words)
-        rest = [k for k in range(len(pieces)) if k not in known]
-        flat, sizes = [], np.zeros(len(pieces), np.int64)
-        for i in range(0, len(words), 1000):
-            ids = self._ids(["\n".join(pieces[k] for k in words[i : i + 1000])])[0]
+        words, lines, rest = [], [], []
+        for k, p in enumerate(pieces):
+            (words if _WORD.fullmatch(p) else lines if len(self.line_feed) == 1 and _SIMPLE.fullmatch(p) else rest).append(k)
+        flat, sizes, tokenize = [], np.zeros(len(pieces), np.int64), self.tokenizer.model.tokenize
+        spelled = [[t.id for t in tokenize(pieces[k].replace(" ", self.space))] for k in words]
+        sizes[words] = [len(x) for x in spelled]
+        flat.append(np.fromiter(chain.from_iterable(spelled), self.kind))
+        for i in range(0, len(lines), 200):
+            ids = self._ids(["\n".join(pieces[k] for k in lines[i : i + 200])])[0]
             feeds = np.flatnonzero(ids == self.line_feed[0])
-            sizes[words[i : i + 1000]] = np.diff(np.concatenate(([-1], feeds, [len(ids)]))) - 1
+            sizes[lines[i : i + 200]] = np.diff(np.concatenate(([-1], feeds, [len(ids)]))) - 1
             flat.append(np.delete(ids, feeds))
-        for i in range(0, len(rest), 1000):
-            got = self._ids([pieces[k] for k in rest[i : i + 1000]])
-            sizes[rest[i : i + 1000]] = [len(x) for x in got]
+        for i in range(0, len(rest), 200):
+            got = self._ids([pieces[k] for k in rest[i : i + 200]])
+            sizes[rest[i : i + 200]] = [len(x) for x in got]
             flat += got
-        order, n, used = np.array(words + rest, np.int64), len(self.sizes), len(self.flat)
+        order, n, used = np.array(words + lines + rest, np.int64), len(self.sizes), len(self.flat)
         starts = np.empty(len(pieces), np.int64)
         starts[order] = used + np.cumsum(sizes[order]) - sizes[order]
         self.flat, self.starts = np.concatenate((self.flat, *flat)), np.concatenate((self.starts, starts))
@@ -74,13 +84,15 @@ class Encoder:
     def _cuts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Where pieces start."""
         visible, lead = (data > 0x20) & (data < 0x7F), (data >= 0xC3) & (data <= 0xC8)
-        ends = visible.copy()
-        ends[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & lead[:-1]
+        ends, letters = visible.copy(), _LETTER[data]
+        tail = (data[1:] >= 0x80) & (data[1:] < 0xC0) & lead[:-1]
+        ends[1:] |= tail
+        letters[1:] |= tail & ((data[:-1] != 0xC3) | ((data[1:] & 0xDF) != 0x97))  # U+00D7 and U+00F7 are signs
         begins = visible | lead
         single = np.zeros(len(data), bool)
         single[1:-1] = ends[:-2] & begins[2:]
         cut = single & ((data == 0x20) | (data == 0x0A))
-        cut[1:] |= (single & (data == 0x0A))[:-1]
+        cut[1:] |= (single & (data == 0x0A))[:-1] | (letters[:-1] & _MARKS[data[1:]])
         cut[offs[:-1][np.diff(offs) > 0]] = True
         return np.flatnonzero(cut)
 

@@ -42,10 +42,12 @@ def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unvarints(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
     ends = np.flatnonzero(raw < 128)
     starts = np.concatenate(([0], ends[:-1] + 1))
     shift = 7 * (np.arange(len(raw)) - np.repeat(starts, ends - starts + 1))
-    return np.add.reduceat((raw & np.uint8(127)).astype(np.int64) << shift, starts) if len(raw) else np.zeros(0, np.int64)
+    return np.add.reduceat((raw & np.uint8(127)).astype(np.int64) << shift, starts)
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +164,7 @@ class RankedIndex:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES):
         self.spark = docs.sparkSession
         batched(self.spark)
-        self.work = Work(self.spark, "search")
+        work = Work(self.spark, "search")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             task, n = TaskContext.get().partitionId(), 0
@@ -181,7 +183,7 @@ class RankedIndex:
                 yield from _segment(task << 32 | n, np.concatenate(ids), np.concatenate(rows), np.concatenate(hashes))
 
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        self.table = self.work.stage(rows.mapInArrow(run, _INDEX_SQL), "index")
+        self.table = work.stage(rows.mapInArrow(run, _INDEX_SQL), "index")
 
     def counts(self) -> tuple[int, int]:
         """Documents with terms, and all their terms."""
@@ -199,7 +201,7 @@ class RankedIndex:
         list once for the whole block and merges the lists of each item (``_best``).  A task's segments share an item's result heap.  Each task gives
         k documents an item at most; the best of those are the answer.
         """
-        spark, work = self.spark, self.work
+        spark, work = self.spark, Work(self.spark, "query")
         docs, total = self.counts()
 
         def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
