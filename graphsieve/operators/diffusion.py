@@ -12,12 +12,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import local as single
+from . import tiles
 from .graph import nodes_of, symmetric
-from .iterate import checkpointed, repeat
-from .local import fits
+from .iterate import checkpointed, placed
 
 ALPHA, TOL, MAX_ITER = 0.15, 1e-6, 100
+#: Seed sets that share a loop.
+COLUMNS = 128
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -61,63 +62,66 @@ def restart(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     return nodes.join(hit, "node", "left").crossJoin(F.broadcast(n)).select("node", F.when(F.col("hit").isNotNull(), 1.0 / F.col("n")).otherwise(0.0).alias("r"))
 
 
-def _step(w: DataFrame, start: DataFrame, alpha: float, out: str, into: str, bias: str):
-    """State (node, bias, p) -> the same after one product with w."""
-
-    def step(state: DataFrame) -> DataFrame:
-        moved = w.join(state.select(F.col("node").alias(out), "p"), out).groupBy(F.col(into).alias("node")).agg(F.sum(F.col("w") * F.col("p")).alias("q"))
-        return start.join(moved, "node", "left").select("node", bias, ((1 - alpha) * F.coalesce("q", F.lit(0.0)) + alpha * F.col(bias)).alias("p"))
-
-    return step
+def _walked(entries: DataFrame, nodes: DataFrame, start: DataFrame, alpha: float, steps: int | None, tol: float, max_iter: int) -> DataFrame:
+    """(node, p): the walk of one column from start (node, col, b) over all nodes, checkpointed."""
+    numbers = tiles.numbered(nodes)
+    t = tiles.tiled(entries, numbers, start, 1)
+    out = checkpointed(tiles.walk(t, 1, alpha, steps, tol, max_iter).join(numbers, "place").select("node", "p"))
+    t.release()
+    return out
 
 
-def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, tol: float = TOL, max_iter: int = MAX_ITER, weight: DataFrame | None = None, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
+def rwr(edges: DataFrame, seeds: DataFrame, alpha: float = ALPHA, steps: int | None = None, tol: float = TOL, max_iter: int = MAX_ITER, weight: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(node, p).  steps fixed, or until a step's L1 change is under tol, max_iter at most.
 
     An empty graph gives no rows, no seed in it all zeros.  A column ``weight`` of the edges counts (transition).
-    A small graph is walked in one task (local: None decides by a count).  Otherwise the walk's matrix is partitioned
-    by source and kept, so a step shuffles partial sums only; a step that is checked is checkpointed.
+    The walk goes over tiles of the transition matrix (``tiles.walk``), whatever the graph's size.
     """
     edges = checkpointed(_ends(edges))
-    nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
-    if fits(edges, local):
-        return single.walk(transition(edges, weight), restart(nodes, seeds), "r", alpha, steps, tol, max_iter, True)
-    nodes = checkpointed(nodes)
-    w = transition(edges, weight).repartition("src").persist()
-    start = checkpointed(restart(nodes, seeds))
-    step = _step(w, start, alpha, "src", "dst", "r")
-    state = start.withColumn("p", F.col("r"))
-    if steps is not None:
-        state = repeat(state, step, steps)
-    else:
-        state = checkpointed(state)
-        for _ in range(max_iter):
-            state = checkpointed(step(state).join(state.select("node", F.col("p").alias("old")), "node"))
-            change = state.agg(F.sum(F.abs(F.col("p") - F.col("old")))).first()[0]
-            state = state.drop("old")
-            if change is None or change < tol:
-                break
-    out = checkpointed(state.select("node", "p"))
-    w.unpersist()
-    return out
+    nodes = checkpointed(nodes_of(edges) if nodes is None else nodes.select("node").distinct())
+    w = transition(edges, weight).select(F.col("dst").alias("to"), F.col("src").alias("from"), "w")
+    start = restart(nodes, seeds).select("node", F.lit(0).alias("col"), F.col("r").alias("b"))
+    return _walked(w, nodes, start, alpha, steps, tol, max_iter)
 
 
-def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: int | None = None, weight: DataFrame | None = None, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
-    """(node, h): the influence of a walk from node alone on the disease set.
+def rwr_many(edges: DataFrame, sets: DataFrame, by: str, alpha: float = ALPHA, steps: int | None = None, tol: float = TOL, max_iter: int = MAX_ITER, weight: DataFrame | None = None, nodes: DataFrame | None = None, columns: int = COLUMNS) -> DataFrame:
+    """(by, node, p): rwr from every seed set of sets (by, node), of which ``columns`` at a time are the columns of one loop over tiles (``tiles.walk``).
+
+    Each set stops at its own step.  Sets without a seed in the graph give zeros; a null set is left out; the matrix is
+    built once for each loop.
+    """
+    edges = checkpointed(_ends(edges))
+    nodes = checkpointed(nodes_of(edges) if nodes is None else nodes.select("node").distinct())
+    listed = sets.filter(F.col(by).isNotNull()).select(F.col(by).alias("_set"), "node")
+    numbers = checkpointed(placed(listed.select("_set").distinct(), "_set", place="_number"))
+    here = listed.join(nodes, "node", "left_semi")
+    share = here.groupBy("_set").agg((1.0 / F.count("*")).alias("b"))
+    start = checkpointed(here.distinct().join(share, "_set").join(numbers, "_set").select("node", "_number", "b"))
+    w = checkpointed(transition(edges, weight).select(F.col("dst").alias("to"), F.col("src").alias("from"), "w"))
+    places, out = tiles.numbered(nodes), None
+    for first in range(0, numbers.count(), columns):
+        named = numbers.filter(F.col("_number").between(first, first + columns - 1)).select("_set", (F.col("_number") - first).cast("int").alias("col"))
+        some = start.filter(F.col("_number").between(first, first + columns - 1)).select("node", (F.col("_number") - first).cast("int").alias("col"), "b")
+        columns_here = named.count()
+        t = tiles.tiled(w, places, some, columns_here)
+        walked = tiles.walk(t, columns_here, alpha, steps, tol, max_iter).join(places, "place").join(F.broadcast(named), "col")
+        walked = checkpointed(walked.select(F.col("_set").alias(by), "node", "p"))
+        t.release()
+        out = walked if out is None else out.unionAll(walked)
+    return out if out is not None else listed.limit(0).select(F.col("_set").alias(by), "node", F.lit(0.0).alias("p"))
+
+
+def adjoint(edges: DataFrame, disease: DataFrame, alpha: float = ALPHA, steps: int | None = None, weight: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, h): the influence of a walk from node alone on the disease set, over tiles of the transposed matrix.
 
     Without steps, as many as bound any walk's change by TOL.
     """
     steps = math.ceil(math.log(TOL / 2) / math.log(1 - alpha)) if steps is None else steps
     edges = checkpointed(_ends(edges))
-    nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
-    start = nodes.join(disease.select("node").distinct().withColumn("hit", F.lit(1.0)), "node", "left").select("node", F.coalesce("hit", F.lit(0.0)).alias("b"))
-    if fits(edges, local):
-        return single.walk(transition(edges, weight), start, "b", alpha, steps, TOL, steps, False).withColumnRenamed("p", "h")
-    w = transition(edges, weight).repartition("dst").persist()
-    start = checkpointed(start)
-    out = checkpointed(repeat(start.withColumn("p", F.col("b")), _step(w, start, alpha, "dst", "src", "b"), steps).select("node", F.col("p").alias("h")))
-    w.unpersist()
-    return out
+    nodes = checkpointed(nodes_of(edges) if nodes is None else nodes.select("node").distinct())
+    start = nodes.join(disease.select("node").distinct(), "node", "left_semi").select("node", F.lit(0).alias("col"), F.lit(1.0).alias("b"))
+    w = transition(edges, weight).select(F.col("src").alias("to"), F.col("dst").alias("from"), "w")
+    return _walked(w, nodes, start, alpha, steps, TOL, steps).withColumnRenamed("p", "h")
 
 
 def influence(h: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:

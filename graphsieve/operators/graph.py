@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import local as single
 from .iterate import checkpointed
-from .local import fits
 
 
 def canonical(edges: DataFrame, min_score: float | None = None, drop_loops: bool = True) -> DataFrame:
@@ -63,16 +61,12 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(k.withColumnRenamed("node", "src"), "src", "left_semi").join(k.withColumnRenamed("node", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, local: bool | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, comp): the smallest node of its component; nodes without an edge are their own.
 
-    Small graphs in one task (local: None decides by a count).  Others by alternating large and small
-    stars; a round's table is checkpointed, so plans stay short, and O(log n) rounds suffice.
+    By alternating large and small stars; a round's table is checkpointed, so plans stay short, and O(log n) rounds suffice.
     """
     edges = checkpointed(edges.select("src", "dst"))
-    if fits(edges, local):
-        known = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
-        return single.components(symmetric(edges), known)
     e = checkpointed(canonical(edges.select("src", "dst")).select(F.col("dst").alias("u"), F.col("src").alias("v")))
     last = None
     while True:

@@ -53,3 +53,20 @@ def placed(df: DataFrame, *order: str, place: str = "place") -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_before"))
     return ranged.join(F.broadcast(starts), "_range").withColumn(place, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def ranked(df: DataFrame, group: list[str], *order: str) -> DataFrame:
+    """df with _k, its row number from 1 within its group by order, _m, the group's rows, _range and _group: no group need fit one task.
+
+    Rows are dealt and sorted by group, order and place of input, so a very large group, or very many equal values, spread over ranges;
+    a row's number is its number within its range and group plus the group's rows in the ranges before (a row a range and group).
+    """
+    name = F.to_json(F.struct(*group)) if group else F.lit("")
+    at = F.monotonically_increasing_id()
+    keyed = df.withColumns({"_group": name, "_tie": at})
+    keys = ["_group", *order, "_tie"]
+    ranged = checkpointed(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie").withColumns({"_range": F.shiftright(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    parts = ranged.groupBy("_group", "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_group", "_range", "_first", before.alias("_before"), F.sum("_n").over(Window.partitionBy("_group")).alias("_m"))
+    return ranged.join(parts, ["_group", "_range"]).withColumn("_k", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_first", "_before")

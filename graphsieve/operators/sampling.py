@@ -41,13 +41,16 @@ def _band(mode: str, k: int, tolerance: float) -> tuple[int, int]:
 def bands(degrees: DataFrame, targets: DataFrame, tolerance: float = 0.25) -> DataFrame:
     """(target, node): nodes within the M1 band of each target's degree that are no targets.
 
-    An equi-join on the degrees of the band, not a range join.
+    An equi-join on bins that double in width, of which a band meets three at most, and an exact filter: a hub's band
+    costs no more rows than any other.
     """
+    doubling = lambda d: F.floor(F.log2(F.greatest(d.cast("double"), F.lit(0.5))))
     t = degrees.join(targets.select("node").distinct(), "node", "left_semi")
     tol = F.greatest(F.lit(1), F.floor(F.col("degree") * tolerance)).cast("long")
-    wide = t.select(F.col("node").alias("target"), F.explode(F.sequence(F.col("degree") - tol, F.col("degree") + tol)).alias("degree"))
-    free = degrees.join(targets.select("node").distinct(), "node", "left_anti")
-    return wide.join(free, "degree").select("target", "node")
+    wide = t.select(F.col("node").alias("target"), (F.col("degree") - tol).alias("low"), (F.col("degree") + tol).alias("high"))
+    wide = wide.withColumn("bin", F.explode(F.sequence(doubling(F.col("low")), doubling(F.col("high")))))
+    free = degrees.join(targets.select("node").distinct(), "node", "left_anti").withColumn("bin", doubling(F.col("degree")))
+    return wide.join(free, "bin").filter(F.col("degree").between(F.col("low"), F.col("high"))).select("target", "node")
 
 
 #: Hashed tries at a place that is not used before the free ones are numbered.

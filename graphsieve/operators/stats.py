@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .iterate import checkpointed, ranked
+
 TAILS = ("one_greater", "one_less", "two")
 
 
@@ -52,19 +54,64 @@ def null_summary(null: DataFrame, observed: DataFrame, by: list[str], tail: str
 
 
 def bh(df: DataFrame, family: list[str], p: str = "p_value", out: str = "p_fdr") -> DataFrame:
-    """df with Benjamini-Hochberg q-values within each family; a null p counts as 1."""
-    value = F.coalesce(F.col(p), F.lit(1.0))
-    rank = F.row_number().over(Window.partitionBy(*family).orderBy(value))
-    size = F.count("*").over(Window.partitionBy(*family))
-    down = Window.partitionBy(*family).orderBy(F.desc("_p"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = df.withColumns({"_p": value, "_k": rank, "_m": size})
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(down))).drop("_p", "_k", "_m")
+    """df with Benjamini-Hochberg q-values within each family; a null p counts as 1.
+
+    A q is the least p m / k of its rank and the ranks above.  Ranks are counted by range (``ranked``), and the least
+    of a range's later rows is carried to it by range, so a family of all rows is no task of its own.
+    """
+    r = checkpointed(ranked(df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0))), family, "_p").withColumn("_v", F.col("_p") * F.col("_m") / F.col("_k")))
+    later = Window.partitionBy("_group").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = r.groupBy("_group", "_range").agg(F.min("_v").alias("_least")).select("_group", "_range", F.min("_least").over(later).alias("_carried"))
+    within = Window.partitionBy("_group", "_range").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("_v").over(within), F.col("_carried"))
+    return r.join(carried, ["_group", "_range"]).withColumn(out, q).select(*df.columns, *([out] if out not in df.columns else []))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by..., n, q0, q1, ...): the exact quantiles of the non-null values of each group, between neighbours by linear interpolation.
+
+    Values are numbered by range (``ranked``) and the two neighbours of each share are picked by their numbers: no
+    group's values meet in one task or buffer.  A group without values is left out.
+    """
+    r = ranked(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x")), by, "_x")
+    at = [F.lit(q) * (F.col("_m") - 1) for q in shares]
+    wanted = reduce(lambda a, b: a | b, [(F.col("_k") - 1 == F.floor(a)) | (F.col("_k") - 1 == F.ceil(a)) for a in at])
+    pick = lambda where: F.max(F.when(where, F.col("_x")))
+    cols = []
+    for i, a in enumerate(at):
+        low, high, part = pick(F.col("_k") - 1 == F.floor(a)), pick(F.col("_k") - 1 == F.ceil(a)), F.max(a - F.floor(a))
+        cols.append((low + (high - low) * part).alias(f"q{i}"))
+    return r.filter(wanted).groupBy(*by).agg(F.max("_m").alias("n"), *cols)
 
 
 def bootstrap_summary(draws: DataFrame, observed: Column, by: list[str], value: str = "value") -> DataFrame:
-    """Mean, sample deviation, exact 95 % interval, whether observed exceeds it, and observed over the mean."""
+    """Mean, sample deviation, exact 95 % interval (``quantiles``), whether observed exceeds it, and observed over the mean."""
     v = F.col(value)
-    return draws.groupBy(*by).agg(
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.percentile(v, F.lit(0.025)).alias("ci_lower"), F.percentile(v, F.lit(0.975)).alias("ci_upper"),
-        F.count(v).alias("n_bootstrap"), F.max(observed).alias("observed"),
-    ).withColumns({"exceeds_ci": F.col("observed") > F.col("ci_upper"), "fold": F.col("observed") / F.col("mean")})
+    draws = checkpointed(draws.withColumn("_observed", observed))
+    interval = quantiles(draws, by, value, [0.025, 0.975]).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("q0").alias("ci_lower"), F.col("q1").alias("ci_upper"))
+    whole = draws.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n_bootstrap"), F.max("_observed").alias("observed"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    out = whole.join(F.broadcast(interval) if not by else interval, same, "left").select(*by, "mean", "std", "ci_lower", "ci_upper", "n_bootstrap", "observed")
+    return out.withColumns({"exceeds_ci": F.col("observed") > F.col("ci_upper"), "fold": F.col("observed") / F.col("mean")})
+
+
+def density(df: DataFrame, value: str, points: int = 512, reach: float = 4.0) -> DataFrame:
+    """(x, density) of the non-null values at evenly spaced points: a Gaussian kernel over values shared between their two nearest points.
+
+    The bandwidth is 0.9 min(deviation, interquartile range / 1.34) n^(-1/5) (of the two, the one that is not 0; else 1), the points go from
+    three bandwidths under the least value to three over the greatest, and the kernel ends at ``reach`` bandwidths.  One pass counts
+    the values by point; after that rows are points, of which there are as many as the parameter says.  No values give no rows.
+    """
+    x = checkpointed(df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x")))
+    whole = x.agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.stddev_samp("x").alias("s")).join(F.broadcast(quantiles(x, [], "x", [0.25, 0.75])).drop("n"))
+    spread = F.coalesce(F.nullif(F.least(F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(math.inf)), F.coalesce(F.nullif((F.col("q1") - F.col("q0")) / 1.34, F.lit(0.0)), F.lit(math.inf))), F.lit(math.inf)), F.lit(1 / 0.9))
+    whole = whole.withColumn("h", F.lit(0.9) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    whole = checkpointed(whole.select("n", "h", (F.col("low") - 3 * F.col("h")).alias("start"), ((F.col("high") - F.col("low") + 6 * F.col("h")) / (points - 1)).alias("step")))
+    at = x.join(F.broadcast(whole)).select(((F.col("x") - F.col("start")) / F.col("step")).alias("at"), F.floor((F.col("x") - F.col("start")) / F.col("step")).alias("i"))
+    shares = at.select(F.explode(F.array(F.struct(F.col("i").alias("i"), (1 - (F.col("at") - F.col("i"))).alias("c")), F.struct((F.col("i") + 1).alias("i"), (F.col("at") - F.col("i")).alias("c")))).alias("s")).select("s.i", "s.c")
+    binned = shares.groupBy("i").agg(F.sum("c").alias("c")).join(F.broadcast(whole))
+    wide = F.ceil(reach * F.col("h") / F.col("step"))
+    near = binned.withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("i") - wide), F.least(F.lit(points - 1).cast("long"), F.col("i") + wide))))
+    z = (F.col("j") - F.col("i")) * F.col("step") / F.col("h")
+    bell = F.when(F.abs(z) <= reach, F.exp(-z * z / 2) / math.sqrt(2 * math.pi)).otherwise(0.0)
+    return near.groupBy("j", "start", "step").agg(F.sum(F.col("c") * bell / (F.col("n") * F.col("h"))).alias("density")).select((F.col("start") + F.col("j") * F.col("step")).alias("x"), "density")

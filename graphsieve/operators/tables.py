@@ -84,3 +84,8 @@ def is_subset(a: DataFrame, b: DataFrame) -> DataFrame:
     missing = only_in(a, b).agg(F.count("*").alias("x"))
     extra = only_in(b, a).agg(F.count("*").alias("y"))
     return missing.crossJoin(extra).select((F.col("x") == 0).alias("subset"), ((F.col("x") == 0) & (F.col("y") > 0)).alias("strict"), ((F.col("x") == 0) & (F.col("y") == 0)).alias("equal"))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with its row numbers from 0 by order, counted by range."""
+    return placed(df, order, place=name)

@@ -65,7 +65,8 @@ def _raw(spark, sf):
 def _mapping(spark, sf):
     # a third of the accessions have no gene; genes are symbols, aliases, foreign symbols and names in lower case
     gene = F.element_at(F.array(*[F.lit(x) for x in ("MDR1", "GyrA", "AKT1", "insr", "MMP2", "NSP5", "TNF")]), (F.col("ord") % 7 + 1).cast("int"))
-    return _raw(spark, sf).filter("ord % 3 > 0 and ord < 300").select("protein_id", gene.alias("gene_name")).dropDuplicates(["protein_id"])
+    rows = _raw(spark, sf).filter("ord % 3 > 0").select("protein_id", gene.alias("gene_name"), "ord")
+    return tables.keep_first(rows, ["protein_id"], [F.col("ord")]).drop("ord")
 
 
 @query(S.CURATION + "SELECT compound, count(*) AS n_raw, count(*) FILTER (gene IS NULL) AS n_unmapped, count(*) FILTER (alien) AS n_foreign, count(*) FILTER (gene IS NOT NULL AND NOT alien) AS n_kept, count(*) FILTER (gene IS NOT NULL AND NOT alien) - count(DISTINCT protein_id) FILTER (gene IS NOT NULL AND NOT alien) AS n_duplicates FROM named GROUP BY 1")
@@ -260,7 +261,7 @@ def components_loose(spark, sf):
 @query(S.components() + "SELECT node, comp FROM comp")
 def components_distributed(spark, sf):
     """By the DataFrame loop that large graphs take."""
-    return graph.components(_edges(spark, sf, D.STRICT), local=False)
+    return graph.components(_edges(spark, sf, D.STRICT))
 
 
 _MAPPED = "(SELECT 's' || s_suppkey AS node FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size > 3)"
@@ -311,7 +312,25 @@ def bfs_distance(spark, sf):
 @query(S.bfs(2) + "SELECT node, dist FROM dist")
 def bfs_distance_distributed(spark, sf):
     """The loose graph by the DataFrame loop that large graphs take."""
-    return paths.distances(_edges(spark, sf), D.disease(spark, sf), local=False)
+    return paths.distances(_edges(spark, sf), D.disease(spark, sf))
+
+
+_PAIRS = """, hops(source, node, d) AS (SELECT node, node, 0 FROM disease WHERE node IN (SELECT src FROM sym3) UNION SELECT h.source, s.dst, h.d + 1 FROM hops h JOIN sym3 s ON s.src = h.node WHERE h.d < 200),
+ pairs AS (SELECT node AS target, source, CAST(min(d) AS INTEGER) AS dist FROM hops WHERE node IN (SELECT node FROM targets) GROUP BY 1, 2)
+"""
+
+
+@query(S.components() + _PAIRS + "SELECT target, source, dist FROM pairs")
+def pair_distances(spark, sf):
+    """Every target by every disease node that reaches it, by searches of many sources at once."""
+    return paths.pair_distances(_edges(spark, sf, D.STRICT), D.disease(spark, sf), D.targets(spark, sf))
+
+
+@query(S.bfs() + "SELECT compound, round(avg(dist), 6) AS dc, count(dist) AS n_reached FROM targets t LEFT JOIN dist ON t.node = dist.node GROUP BY 1")
+def proximity_by_pairs(spark, sf):
+    """The mean of the targets' least pair distances: proximity_dc by another way."""
+    least = pair_distances(spark, sf).groupBy(F.col("target").alias("node")).agg(F.min("dist").alias("dist"))
+    return paths.proximity(least, D.targets(spark, sf), ["compound"]).select("compound", *_r6("dc"), "n_reached")
 
 
 @query(S.bfs() + "SELECT compound, round(avg(dist), 6) AS dc, count(dist) AS n_reached FROM targets t LEFT JOIN dist ON t.node = dist.node GROUP BY 1")
@@ -373,12 +392,12 @@ def rwr_adjoint(spark, sf):
 @query(S.walk("A", alpha=0.6) + "SELECT node, round(p, 6) AS p FROM p")
 def rwr_distributed(spark, sf):
     """To the tolerance by the DataFrame loop that large graphs take."""
-    return diffusion.rwr(_edges(spark, sf), _seeds(spark, sf), 0.6, local=False).select("node", *_r6("p"))
+    return diffusion.rwr(_edges(spark, sf), _seeds(spark, sf), 0.6).select("node", *_r6("p"))
 
 
 @query(S.adjoint(steps=8) + "SELECT node, round(h, 6) AS h FROM h")
 def adjoint_distributed(spark, sf):
-    return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf), steps=8, local=False).select("node", *_r6("h"))
+    return diffusion.adjoint(_edges(spark, sf), D.disease(spark, sf), steps=8).select("node", *_r6("h"))
 
 
 def _h(spark, sf, weighted=False):
@@ -476,6 +495,14 @@ def ewi_bootstrap(spark, sf):
     return out.select(*_r6("observed", "mean"), F.round(C.ratio(F.col("observed"), F.col("mean")), 4).alias("ratio"), "n_bootstrap")
 
 
+@query(S.adjoint(steps=130) + S.draws(DRAWS, SEED) + "SELECT iter, round(avg(h), 6) AS influence FROM boot JOIN h USING (node) GROUP BY 1")
+def influence_of_draws(spark, sf):
+    """Forward walks from all draws in one loop; the statement takes the adjoint's way."""
+    walked = diffusion.rwr_many(_edges(spark, sf), _draws(spark, sf), "iter", tol=1e-9, max_iter=200)
+    hit = walked.join(D.disease(spark, sf).distinct(), "node", "left_semi").groupBy("iter").agg(F.sum("p").alias("influence"))
+    return hit.select("iter", *_r6("influence"))
+
+
 def _null(spark, sf, e, mode, value):
     """(compound, value): value of each permutation's degree-matched draws (perm_id, node) for each target set."""
     degrees = checkpointed(graph.degree(e))
@@ -536,6 +563,32 @@ def bh_fdr(spark, sf):
     return stats.bh(D.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", p.alias("p_value")), ["s_nationkey"], out="q").select("s_suppkey", "s_nationkey", *_r6("q"))
 
 
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE (l_orderkey * 37 + l_linenumber * 11 + l_partkey) % 100003 / 100003 END AS p_value FROM lineitem),
+ r AS (SELECT *, coalesce(p_value, 1) AS v, row_number() OVER (ORDER BY coalesce(p_value, 1)) AS k, count(*) OVER () AS m FROM p)
+ SELECT l_orderkey, l_linenumber, l_partkey, round(least(1, min(v * m / k) OVER (ORDER BY v DESC, k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""")
+def bh_one_family(spark, sf):
+    """All lines as one family."""
+    li = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = F.when(F.col("l_partkey") % 97 == 0, None).otherwise((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11 + F.col("l_partkey")) % 100003 / 100003)
+    return stats.bh(li.withColumn("p_value", p), [], out="q").select("l_orderkey", "l_linenumber", "l_partkey", *_r6("q"))
+
+
+@query("SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.025), 4) AS low, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_cont(l_extendedprice, 0.975), 4) AS high FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, sf):
+    q = stats.quantiles(D.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.025, 0.5, 0.975])
+    return q.select("l_returnflag", "n", *(F.round(c, 4).alias(name) for c, name in (("q0", "low"), ("q1", "mid"), ("q2", "high"))))
+
+
+@query("""WITH w AS (SELECT *, 0.9 * least(s, (q1 - q0) / 1.34) * pow(n, -0.2) AS h FROM (SELECT count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high, stddev_samp(c_acctbal) AS s, quantile_cont(c_acctbal, 0.25) AS q0, quantile_cont(c_acctbal, 0.75) AS q1 FROM customer)),
+ g AS (SELECT n, h, low - 3 * h AS start, (high - low + 6 * h) / 127 AS step FROM w), a AS (SELECT (c_acctbal - start) / step AS pos, floor((c_acctbal - start) / step) AS i FROM customer, g),
+ b AS (SELECT i, sum(c) AS c FROM (SELECT i, 1 - (pos - i) AS c FROM a UNION ALL SELECT i + 1, pos - i FROM a) GROUP BY 1)
+ SELECT j AS point, round(start + j * step, 4) AS x, round(10000 * sum(CASE WHEN abs((j - i) * step / h) <= 4 THEN c * exp(-pow((j - i) * step / h, 2) / 2) / sqrt(2 * pi()) / (n * h) ELSE 0 END), 5) AS density
+ FROM b, g, (SELECT unnest(range(0, 128)) AS j) WHERE abs(j - i) <= ceil(4 * h / step) GROUP BY j, start, step""")
+def kernel_density(spark, sf):
+    d = stats.density(D.table(spark, sf, "customer"), "c_acctbal", 128)
+    return tables.numbered(d, "x", "point").select("point", F.round("x", 4).alias("x"), F.round(10000 * F.col("density"), 5).alias("density"))
+
+
 _PHI = "(SELECT 0.5 - list_sum(list_transform(range(0, 80), lambda k: pow(-1, k) * pow({z}, 2 * k + 1) / (pow(2, k) * gamma(k + 1) * (2 * k + 1)))) / sqrt(2 * pi()))"
 
 

@@ -16,7 +16,7 @@ _BASE = """links AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, co
  ex AS (SELECT 'p' || p_partkey AS node, p_retailprice AS x FROM part UNION ALL SELECT 's' || s_suppkey, greatest(s_acctbal, 0) FROM supplier)
 """
 CURATION = """WITH raw AS (SELECT p_brand AS compound, ['Q91', 'Q63', 'P12', 'O75', 'Q965D'][p_partkey % 5 + 1] || lpad(CAST(p_partkey % 300 AS VARCHAR), 3, '0') AS protein_id, p_type AS source, p_partkey AS ord FROM part),
- mapping AS (SELECT protein_id, CASE WHEN g = 'MDR1' THEN 'ABCB1' ELSE g END AS gene FROM (SELECT protein_id, ['MDR1', 'GyrA', 'AKT1', 'insr', 'MMP2', 'NSP5', 'TNF'][ord % 7 + 1] AS g FROM raw WHERE ord % 3 > 0 AND ord < 300)),
+ mapping AS (SELECT protein_id, CASE WHEN g = 'MDR1' THEN 'ABCB1' ELSE g END AS gene FROM (SELECT protein_id, ['MDR1', 'GyrA', 'AKT1', 'insr', 'MMP2', 'NSP5', 'TNF'][min(ord) % 7 + 1] AS g FROM raw WHERE ord % 3 > 0 GROUP BY 1)),
  named AS (SELECT raw.*, gene, gene IS NOT NULL AND (regexp_matches(raw.protein_id, '^(Q91|Q9D|Q63|Q965D)') OR gene IN ('GyrA', 'NSP5') OR regexp_matches(gene, '^[a-z]')) AS alien FROM raw LEFT JOIN mapping ON raw.protein_id = mapping.protein_id)
 """
 

@@ -1,11 +1,12 @@
-"""Graphs, paths and walks on small literal graphs, by the one-task and the distributed way."""
+"""Graphs, paths and walks on small literal graphs."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphsieve.operators import diffusion, graph, paths
+from graphsieve.operators import diffusion, graph, paths, tiles
 
 
 def edges(spark, text):
@@ -22,7 +23,6 @@ def values(df, key="node"):
     return {r[key]: r[other] for r in rows}
 
 
-BOTH = pytest.mark.parametrize("local", [True, False])
 PATH = "A-B B-C C-D"
 
 
@@ -40,15 +40,13 @@ def test_degree_and_counts(spark):
     assert tuple(graph.counts(e).first()) == (3, 3)
 
 
-@BOTH
-def test_components(spark, local):
+def test_components(spark):
     e = edges(spark, "A-B B-C X-Y Z-Z")
-    assert values(graph.components(e, nodes(spark, "A B C X Y Z Q"), local)) == {"A": "A", "B": "A", "C": "A", "X": "X", "Y": "X", "Z": "Z", "Q": "Q"}
-    assert graph.components(edges(spark, ""), local=local).count() == 0
+    assert values(graph.components(e, nodes(spark, "A B C X Y Z Q"))) == {"A": "A", "B": "A", "C": "A", "X": "X", "Y": "X", "Z": "Z", "Q": "Q"}
+    assert graph.components(edges(spark, "")).count() == 0
 
 
-@BOTH
-def test_components_of_a_random_graph(spark, local):
+def test_components_of_a_random_graph(spark):
     rng = random.Random(1)
     pairs = [(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(80)]
     root = {}
@@ -62,7 +60,7 @@ def test_components_of_a_random_graph(spark, local):
     for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    assert values(graph.components(spark.createDataFrame(pairs, "src string, dst string"), local=local)) == {x: find(x) for x in root}
+    assert values(graph.components(spark.createDataFrame(pairs, "src string, dst string"))) == {x: find(x) for x in root}
 
 
 def test_filter_to(spark):
@@ -81,13 +79,12 @@ def test_validate(spark):
         graph.validate(edges(spark, ""))
 
 
-@BOTH
 @pytest.mark.parametrize(
     ("e", "targets", "disease", "dc"),
     [(PATH, "A", "D", 3.0), (PATH, "A", "C D", 2.0), (PATH, "A B", "D", 2.5), (PATH + " D-E", "A B", "D E", 2.5), ("A-B C-D", "A", "C", None), ("A-B", "X", "A", None), (PATH, "A A B", "D", 8 / 3)],
 )
-def test_proximity(spark, e, targets, disease, dc, local):
-    out = paths.proximity(paths.distances(edges(spark, e), nodes(spark, disease), local=local), nodes(spark, targets)).first()
+def test_proximity(spark, e, targets, disease, dc):
+    out = paths.proximity(paths.distances(edges(spark, e), nodes(spark, disease)), nodes(spark, targets)).first()
     assert out["dc"] == (None if dc is None else pytest.approx(dc))
 
 
@@ -105,32 +102,96 @@ WALKS = [
 ]
 
 
-def walked(spark, e, n, seeds, alpha, want, local):
-    got = values(diffusion.rwr(edges(spark, e), nodes(spark, seeds), alpha, nodes=n and nodes(spark, n), local=local))
+def walked(spark, e, n, seeds, alpha, want):
+    got = values(diffusion.rwr(edges(spark, e), nodes(spark, seeds), alpha, nodes=n and nodes(spark, n)))
     assert {k: got[k] for k in want} == pytest.approx(want, abs=6e-6)
 
 
-@pytest.mark.parametrize(("e", "n", "seeds", "alpha", "want"), WALKS)
+@pytest.mark.parametrize(("e", "n", "seeds", "alpha", "want"), [WALKS[1], WALKS[4], WALKS[5], WALKS[6]])
 def test_walk(spark, e, n, seeds, alpha, want):
-    walked(spark, e, n, seeds, alpha, want, True)
+    walked(spark, e, n, seeds, alpha, want)
 
 
-@pytest.mark.parametrize(("e", "n", "seeds", "alpha", "want"), [WALKS[1], WALKS[5], WALKS[6]])
-def test_walk_distributed(spark, e, n, seeds, alpha, want):
-    walked(spark, e, n, seeds, alpha, want, False)
+def test_many_walks_in_one_loop(spark):
+    """The walks above side by side: a graph of all their graphs, a set for each; columns stop at their own steps."""
+    chosen = [k for k, w in enumerate(WALKS) if w[3] == 0.15 and w[1] is None]
+    e = edges(spark, " ".join(f"{k}.{p.replace('-', f'-{k}.')}" for k in chosen for p in WALKS[k][0].split()))
+    seeds = spark.createDataFrame([(k, f"{k}.{x}") for k in chosen for x in WALKS[k][2].split()] + [(None, "0.A")], "set int, node string")
+    for columns in (4,):
+        got = {(r["set"], r["node"]): r["p"] for r in diffusion.rwr_many(e, seeds, "set", columns=columns).collect()}
+        assert {k for k, _ in got} == set(chosen)
+        for k in chosen:
+            assert {x: got[k, f"{k}.{x}"] for x in WALKS[k][4]} == pytest.approx(WALKS[k][4], abs=6e-6)
+    assert diffusion.rwr_many(e, seeds.limit(0), "set").count() == 0
 
 
-@BOTH
-def test_walk_on_nothing(spark, local):
-    assert diffusion.rwr(edges(spark, ""), nodes(spark, "A"), local=local).count() == 0
+def dense(pairs, names):
+    """The transition matrix as numpy, destination by source."""
+    w = np.zeros((len(names), len(names)))
+    for a, b in pairs:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = 1
+    return w / np.maximum(w.sum(axis=0), 1)
+
+
+def test_tiles_of_any_size_walk_alike(spark):
+    """Blocks of 7 nodes and parts of 5 entries, hubs split: every column stops where a check after each step stops it."""
+    rng = random.Random(12)
+    names = [f"n{k:02d}" for k in range(40)]
+    pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(60)} | {("n00", x) for x in names[1:30]}
+    w = dense(pairs, names)
+    entries = spark.createDataFrame([(names[i], names[j], float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "to string, from string, w double")
+    b = np.zeros((40, 3))
+    b[0, 0], b[[3, 9], 1], b[39, 2] = 1.0, 0.5, 1.0
+    start = spark.createDataFrame([(names[i], int(c), float(b[i, c])) for i, c in zip(*np.nonzero(b), strict=True)], "node string, col int, b double")
+    numbers = tiles.numbered(spark.createDataFrame([(x,) for x in names], "node string"))
+    want, p, on = np.zeros((40, 3)), b.copy(), np.ones(3, bool)
+    for _ in range(100):
+        new = 0.5 * w @ p + 0.5 * b
+        stop = (np.abs(new - p).sum(axis=0) < 1e-3) & on
+        want[:, stop] = new[:, stop]
+        on &= ~stop
+        p = new
+    t = tiles.tiled(entries, numbers, start, 3, size=7, part_entries=5)
+    assert t.tiles.agg(F.max("fan")).first()[0] > 5
+    for chunk in (4, 15):
+        got = np.zeros((40, 3))
+        for r in tiles.walk(t, 3, 0.5, None, 1e-3, 100, chunk).collect():
+            got[r["place"], r["col"]] = r["p"]
+        assert got == pytest.approx(want, abs=1e-13)
+    once = {(r["place"], r["col"]): r["p"] for r in tiles.walk(t, 3, 0.5, 1, 0, 0).collect()}
+    assert once[0, 0] == pytest.approx((0.5 * w @ b + 0.5 * b)[0, 0])
+    t.release()
+
+
+def test_pair_distances(spark):
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(60)]
+    pairs = [tuple(rng.sample(names, 2)) for _ in range(70)]
+    near = {x: set() for x in names}
+    for a, b in pairs:
+        near[a].add(b), near[b].add(a)
+    want = {}
+    for s in names[:50]:
+        dist, front = {s: 0}, [s]
+        while front:
+            front = [y for x in front for y in near[x] if y not in dist and not dist.update({y: dist[x] + 1})]
+        want |= {(t, s): d for t, d in dist.items() if t in names[30:] and near[s] and near[t]}
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    sources, targets = (nodes(spark, " ".join([*x, "elsewhere"])) for x in (names[:50], names[30:]))
+    got = {(r["target"], r["source"]): r["dist"] for r in paths.pair_distances(e, sources, targets, at_once=30).collect()}
+    assert got == want
+    assert paths.pair_distances(edges(spark, ""), sources, targets).count() == 0
+
 
+def test_walk_on_nothing(spark):
+    assert diffusion.rwr(edges(spark, ""), nodes(spark, "A")).count() == 0
 
-@BOTH
-def test_weighted_walk(spark, local):
+
+def test_weighted_walk(spark):
     e, x = edges(spark, "C-L C-H"), spark.createDataFrame([("C", 10.0), ("L", 1.0), ("H", 1000.0)], "node string, x double")
     w = diffusion.normalise(graph.nodes_of(e), x)
     assert values(w) == pytest.approx({"C": 0.274269, "L": 0.01, "H": 1.0}, abs=1e-6)
-    got = values(diffusion.rwr(e, nodes(spark, "C"), steps=60, weight=w, local=local))
+    got = values(diffusion.rwr(e, nodes(spark, "C"), steps=60, weight=w))
     assert got == pytest.approx({"C": 0.540541, "L": 0.004549, "H": 0.454910}, abs=6e-5)
 
 
@@ -143,11 +204,10 @@ def test_normalise_edges(spark):
         diffusion.normalise(n, x, "rank")
 
 
-@BOTH
-def test_adjoint_equals_forward(spark, local):
-    h = diffusion.adjoint(edges(spark, PATH), nodes(spark, "D"), steps=20, local=local)
+def test_adjoint_equals_forward(spark):
+    h = diffusion.adjoint(edges(spark, PATH), nodes(spark, "D"), steps=20)
     assert values(h) == pytest.approx({"A": 0.095348, "B": 0.125094, "C": 0.173151, "D": 0.308161}, abs=1e-6)
-    p = diffusion.rwr(edges(spark, PATH), nodes(spark, "A"), steps=20, local=local)
+    p = diffusion.rwr(edges(spark, PATH), nodes(spark, "A"), steps=20)
     assert diffusion.influence_of(p, nodes(spark, "D")).first()[0] == pytest.approx(values(h)["A"], abs=1e-12)
     sets = spark.createDataFrame([("x", "A"), ("x", "B"), ("x", "Q")], "compound string, node string")
     assert tuple(diffusion.influence(h, sets, ["compound"]).first()) == ("x", 2, pytest.approx((0.095348 + 0.125094) / 2, abs=1e-6))
@@ -164,22 +224,14 @@ def test_walk_sums_to_one_on_a_connected_graph(spark):
     assert diffusion.rwr(e, nodes(spark, "n3 n7")).agg(F.sum("p")).first()[0] == pytest.approx(1, abs=1e-9)
 
 
-@pytest.mark.parametrize(("alpha", "tol"), [(0.6, 1e-6), (0.5, 1e-2)])
-def test_walks_stop_at_the_same_step(spark, alpha, tol):
-    e, seeds = edges(spark, PATH + " D-E C-E"), nodes(spark, "A")
-    one, many = (values(diffusion.rwr(e, seeds, alpha, tol=tol, local=local)) for local in (True, False))
-    assert one == pytest.approx(many, abs=1e-14)
-
-
-@BOTH
-def test_edge_weights(spark, local):
+def test_edge_weights(spark):
     e = spark.createDataFrame([("A", "B", 3.0), ("A", "C", 1.0), ("C", "A", 0.5), ("C", "C", 4.0)], "src string, dst string, weight double")
     w = {(r["src"], r["dst"]): r["w"] for r in diffusion.transition(e).collect()}
     assert w == pytest.approx({("A", "B"): 0.75, ("A", "C"): 0.25, ("B", "A"): 1.0, ("C", "A"): 0.2, ("C", "C"): 0.8})
     x = spark.createDataFrame([("A", 1.0), ("B", 0.1), ("C", 0.9)], "node string, e double")
     w = {(r["src"], r["dst"]): r["w"] for r in diffusion.transition(e, x).collect()}
     assert w[("A", "B")] == pytest.approx(0.3 / 1.2) and w[("C", "C")] == pytest.approx(3.6 / 4.6)
-    plain, weighted = (values(diffusion.rwr(d, nodes(spark, "A"), steps=1, local=local)) for d in (e.drop("weight"), e))
+    plain, weighted = (values(diffusion.rwr(d, nodes(spark, "A"), steps=1)) for d in (e.drop("weight"), e))
     assert plain["B"] == pytest.approx(0.85 * 0.5) and weighted["B"] == pytest.approx(0.85 * 0.75)
 
 

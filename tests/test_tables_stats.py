@@ -1,7 +1,9 @@
 """Curation, statistics, sampling, similarity, reports, checks, runner."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,40 @@ def test_published_scores(spark):
         assert r["got"] == pytest.approx(r["z"], rel=4e-5)
     p = df.filter("z > 5.53 and z < 5.54").select(stats.gaussian_p(F.col("z"), "one")).first()[0]
     assert p == pytest.approx(1.601017e-08, rel=1e-5)
+
+
+def test_ranks_and_q_values_of_large_families(spark):
+    """Families over several ranges, ties over ranges, a null family and null p-values, against plain Python."""
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["a", "a", "a", "b", None]), rng.choice([0.01, 0.01, 0.01, 0.2, None, rng.random()])) for k in range(600)]
+    df = spark.createDataFrame(rows, "id int, f string, p_value double").repartition(4)
+    for family in (["f"], []):
+        want = {}
+        for f in {r[1] for r in rows} if family else {0}:
+            some = sorted((1.0 if p is None else p, k) for k, g, p in rows if not family or g == f)
+            q = 1.0
+            for at in range(len(some), 0, -1):
+                q = min(q, some[at - 1][0] * len(some) / at)
+                want[some[at - 1][1]] = q
+        got = {r["id"]: r["q"] for r in stats.bh(df, family, out="q").collect()}
+        assert got == pytest.approx(want)
+    assert stats.bh(df.limit(0), []).count() == 0
+
+
+def test_quantiles_and_density(spark):
+    rng = random.Random(2)
+    rows = [(g, x) for g, n in (("a", 301), ("b", 2), (None, 40)) for x in [rng.choice([1.5, rng.gauss(0, 3)]) for _ in range(n)]] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    got = {r["g"]: (r["n"], r["q0"], r["q1"], r["q2"]) for r in stats.quantiles(df, ["g"], "x", [0.0, 0.3, 0.975]).collect()}
+    for g in ("a", "b", None):
+        x = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == pytest.approx((len(x), *np.quantile(x, [0.0, 0.3, 0.975])))
+    assert len(got) == 3
+    x = np.array([v for _, v in rows if v is not None])
+    d = sorted((r["x"], r["density"]) for r in stats.density(df, "x", 256).collect())
+    at, y = np.array(d).T
+    h = 0.9 * min(x.std(ddof=1), np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.34) * len(x) ** -0.2
+    want = np.exp(-(((at[:, None] - x) / h) ** 2) / 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert len(d) == 256 and np.abs(y - want).max() < 0.01 * want.max() and np.trapezoid(y, at) == pytest.approx(1, abs=2e-3)
+    one = stats.density(spark.createDataFrame([(2.0,)] * 3, "x double"), "x", 64).collect()
+    assert sum(r["density"] for r in one) > 0 and stats.density(df.limit(0), "x").count() == 0
