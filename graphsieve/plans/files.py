@@ -110,12 +110,12 @@ def source_names_of_species(spark, sf):
     return readers.names(spark, _names(spark, sf), "9606.")
 
 
-_SEVERITY = "SELECT 'L' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'vmost-dili-concern' WHEN 1 THEN 'vno-dili-concern' ELSE 'ambiguous dili-concern' END AS category FROM part WHERE p_partkey % 10 = 0"
+_SEVERITY = "SELECT 'L' || p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'vmost-dili-concern' WHEN 1 THEN 'vno-dili-concern' ELSE 'ambiguous dili-concern' END AS category FROM part"
 
 
 def _severity(spark, sf) -> DataFrame:
     kind = F.element_at(F.array(F.lit(" vMost-DILI-Concern "), F.lit("vNo-DILI-concern"), F.lit("Ambiguous DILI-concern")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return _part(spark, sf).filter("p_partkey % 10 = 0").select("k", F.array(F.concat(F.lit("L"), "p_partkey"), F.col("p_name"), F.lit("8"), F.lit("Box"), kind, F.lit("")).alias("cells"))
+    return _part(spark, sf).select("k", F.array(F.concat(F.lit("L"), "p_partkey"), F.col("p_name"), F.lit("8"), F.lit("Box"), kind, F.lit("")).alias("cells"))
 
 
 @query(_SEVERITY)
@@ -124,11 +124,11 @@ def source_severity_csv(spark, sf):
     return readers.severity_list(spark, path).select(F.col("LTKBID").alias("id"), "category")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS smiles FROM part WHERE p_partkey <= 1000")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS smiles FROM part")
 def source_cache(spark, sf):
     """A JSON object written and read; a missing value stays as a known miss."""
     path = _folder(spark)
-    sinks.cache(_part(spark, sf).filter("p_partkey <= 1000").select(F.col("p_partkey").cast("string").alias("name"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).alias("smiles")), path)
+    sinks.cache(_part(spark, sf).select(F.col("p_partkey").cast("string").alias("name"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_name")).alias("smiles")), path)
     return readers.cache(spark, path)
 
 
@@ -158,13 +158,17 @@ def source_graph(spark, sf):
     return readers.graph(spark, path)
 
 
-@query("SELECT 'content' AS file, false AS pointer UNION ALL SELECT 'pointer', true")
+@query("SELECT r_name AS file, r_regionkey % 2 = 0 AS pointer FROM region")
 def source_pointer(spark, sf):
-    """A large-file pointer told from a file of content."""
-    root = _folder(spark)
-    spark.createDataFrame([(f"{readers.POINTER}/v1\noid sha256:1\nsize 9",)], "line string").coalesce(1).write.text(f"{root}/pointer")
-    sinks.csv(D.table(spark, sf, "region"), f"{root}/content")
-    return readers.literal(spark, [(name, readers.is_pointer(spark, f"{root}/{name}")) for name in ("content", "pointer")], "file string, pointer boolean")
+    """Large-file pointers told from files of content, a file a region."""
+    root, found = _folder(spark), []
+    regions = D.table(spark, sf, "region").select("r_regionkey", "r_name")
+    for r in regions.collect():  # a file each, as the scan under test takes one path
+        path, row = f"{root}/{r['r_regionkey']}", regions.filter(F.col("r_regionkey") == r["r_regionkey"])
+        line = F.concat(F.lit(f"{readers.POINTER}/v1\noid sha256:"), F.sha2("r_name", 256), F.lit("\nsize "), F.length("r_name"))
+        row.select((line if r["r_regionkey"] % 2 == 0 else F.col("r_name")).alias("line")).coalesce(1).write.text(path)
+        found.append((r["r_name"], readers.is_pointer(spark, path)))
+    return readers.literal(spark, found, "file string, pointer boolean")
 
 
 @query(S.with_("SELECT DISTINCT node FROM targets WHERE compound = 'A'"))
@@ -181,17 +185,29 @@ def sink_markdown(spark, sf):
     return readers.literal(spark, [(text,)], "t string").select(F.posexplode(F.split("t", "\n", -1)).alias("k", "line")).withColumn("k", F.col("k").cast("long"))
 
 
-@query("SELECT * FROM (VALUES (1, 'write', 'done'), (2, 'optional', 'failed'), (3, 'again', 'skipped'), (4, 'required', 'failed')) v(number, name, status)")
+@query("""SELECT CAST(2 * r_regionkey + 1 AS INTEGER) AS number, r_name AS name, CASE WHEN n % 2 = 1 THEN 'failed' ELSE 'done' END AS status, CASE WHEN n % 2 = 0 THEN n END AS n_rows FROM (SELECT r_regionkey, r_name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2)
+  UNION ALL SELECT CAST(2 * r_regionkey + 2 AS INTEGER), 'again ' || r_name, CASE WHEN n % 2 = 1 THEN 'failed' ELSE 'skipped' END, CASE WHEN n % 2 = 0 THEN n END FROM (SELECT r_regionkey, r_name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2)""")
 def step_outcomes(spark, sf):
-    """A run of steps: outputs that exist are skipped, a failure ends the run only where the step is required."""
-    path = _folder(spark)
-
-    def fail(_):
-        raise RuntimeError("no")
-
-    write = lambda s: sinks.parquet(D.table(s, sf, "region"), path)
-    steps = [runner.Step(1, "write", write, [path]), runner.Step(2, "optional", fail), runner.Step(3, "again", write, [path], skip_if_exists=True), runner.Step(4, "required", fail, required=True), runner.Step(5, "after", write)]
-    return readers.literal(spark, [(o.number, o.name, o.status) for o in runner.run(spark, steps)], "number int, name string, status string")
+    """Two steps a region: its nations are written unless they are odd in number, then written again unless they are there; the rows that each step's output holds."""
+    root, nations = _folder(spark), D.table(spark, sf, "nation")
+    regions = D.table(spark, sf, "region").select("r_regionkey", "r_name").collect()
+
+    def step(key: int):
+        def write(s: SparkSession) -> None:
+            mine = nations.filter(F.col("n_regionkey") == key)
+            if mine.count() % 2:
+                raise ValueError("an odd number")
+            sinks.parquet(mine, f"{root}/{key}")
+
+        return write
+
+    steps = []
+    for r in regions:
+        key, name, out = r["r_regionkey"], r["r_name"], [f"{root}/{r['r_regionkey']}"]
+        steps += [runner.Step(2 * key + 1, name, step(key), out), runner.Step(2 * key + 2, f"again {name}", step(key), out, skip_if_exists=True)]
+    done = runner.run(spark, steps)
+    rows = [(o.number, o.name, o.status, readers.parquet(spark, f"{root}/{(o.number - 1) // 2}").count() if o.status != "failed" else None) for o in done]
+    return readers.literal(spark, rows, "number int, name string, status string, n_rows long")
 
 
 @query(S.with_("SELECT upper(src) AS src, upper(dst) AS dst, CAST(score * 350 AS INTEGER) AS score FROM e"))

@@ -118,11 +118,13 @@ def severity_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cache(spark: SparkSession, path: str) -> DataFrame:
-    """(name, smiles) of a JSON object; a file that can't be read as one, or isn't there, gives no rows."""
+    """(name, smiles) of JSON objects, one a line, or of one object over many lines; a file that can't be read as either, or isn't there, gives no rows."""
     if not exists(spark, path):
         return spark.createDataFrame([], "name string, smiles string")
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
-    return whole.select(F.explode("m").alias("name", "smiles"))
+    parsed = lambda rows: rows.filter(F.trim("value") != "").select(F.from_json("value", "map<string,string>").alias("m"))
+    lines = parsed(spark.read.text(path))
+    found = lines if lines.filter("m is null").isEmpty() else parsed(spark.read.text(path, wholetext=True))
+    return found.select(F.explode("m").alias("name", "smiles"))
 
 
 def graph(spark: SparkSession, path: str) -> DataFrame:

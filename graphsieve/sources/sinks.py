@@ -16,10 +16,9 @@ def parquet(df: DataFrame, path: str, partitions: int | None = None) -> None:
 
 
 def cache(df: DataFrame, path: str) -> None:
-    """(name, smiles) as one JSON object; the last of a name holds, a null is kept as a known miss."""
+    """(name, smiles) as JSON objects of one entry, a line each, so no row holds them all; of a name's values the greatest holds, a null is kept as a known miss."""
     one = df.groupBy("name").agg(F.max(F.coalesce("smiles", F.lit(""))).alias("smiles"))
-    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "smiles"))))
-    one.agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    one.select(F.to_json(F.create_map("name", "smiles")).alias("value")).write.mode("overwrite").text(path)
 
 
 def markdown(title: str, sections: dict[str, DataFrame]) -> str:

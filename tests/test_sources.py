@@ -54,6 +54,7 @@ def test_cache_round_trip(spark, put, tmp_path):
     df = spark.createDataFrame([("a", "CC"), ("b", None)], "name string, smiles string")
     sinks.cache(df, str(tmp_path / "c"))
     assert {r[0]: r[1] for r in readers.cache(spark, str(tmp_path / "c")).collect()} == {"a": "CC", "b": ""}
+    assert {r[0]: r[1] for r in readers.cache(spark, put("whole.json", '{\n  "a": "CC",\n\n  "b": ""\n}\n')).collect()} == {"a": "CC", "b": ""}
     assert readers.cache(spark, put("bad.json", "{oops")).count() == 0
     assert readers.cache(spark, str(tmp_path / "none")).count() == 0
 
