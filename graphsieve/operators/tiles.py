@@ -27,6 +27,8 @@ from .iterate import checkpointed, placed
 
 #: Nodes of a block at least and at most, entries of a part of a column block, and numbers handled at once in a product.
 LEAST_BLOCK, MOST_BLOCK, PART_ENTRIES, AT_ONCE = 64, 1 << 20, 4_000_000, 4_000_000
+#: Entries that a task handles in a step: small graphs take few tasks, two at least, large ones the session's number of partitions.
+TASK_ENTRIES = 500_000
 #: Numbers in a block's values: blocks of many columns hold fewer nodes.
 BLOCK_VALUES = 1 << 22
 _TILE = "block int, part int, row_block int, n int, fan int, rows binary, ends binary, cols binary, weights binary"
@@ -40,12 +42,13 @@ def _ints(scalar: pa.Scalar, kind: str = "<i4") -> np.ndarray:
 
 @dataclass
 class Tiled:
-    """The tiles (cached), the nodes' numbers (node, place), their count, and nodes of a block."""
+    """The tiles (cached), the nodes' numbers (node, place), their count, nodes of a block, and partitions of a step."""
 
     tiles: DataFrame
     numbers: DataFrame
     n: int
     size: int
+    parts: int
 
     def release(self) -> None:
         self.tiles.unpersist()
@@ -60,16 +63,16 @@ def tiled(entries: DataFrame, numbers: DataFrame, start: DataFrame, columns: int
     """Tiles of entries (to, from, w): the value of ``to`` takes w times that of ``from``; ends that are no numbered nodes are left out.
 
     start (node, col, b): the columns' constant terms, which also are their first values; columns is their number.
-    The size of a block depends on the nodes, the columns and the session's number of shuffle partitions; results don't.
+    The size of a block depends on the nodes, the entries, the columns and the session's number of shuffle partitions; results don't.
     """
     spark = entries.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = numbers.count()
-    size = size or min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // parts)), max(LEAST_BLOCK, BLOCK_VALUES // max(columns, 1)))
     a, b = numbers.select(F.col("node").alias("from"), F.col("place").alias("c")), numbers.select(F.col("node").alias("to"), F.col("place").alias("r"))
-    at = entries.join(a, "from").join(b, "to").select((F.col("c") / size).cast("int").alias("block"), (F.col("c") % size).cast("int").alias("c"), (F.col("r") / size).cast("int").alias("row_block"), (F.col("r") % size).cast("int").alias("r"), F.col("w").cast("double").alias("w"))
-    at = checkpointed(at)
+    located = checkpointed(entries.join(a, "from").join(b, "to").select("c", "r", F.col("w").cast("double").alias("w")))
+    n, total = numbers.count(), located.count()
+    parts = max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * columns // TASK_ENTRIES)))
+    size = size or min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // parts)), max(LEAST_BLOCK, BLOCK_VALUES // max(columns, 1)))
+    at = located.select((F.col("c") / size).cast("int").alias("block"), (F.col("c") % size).cast("int").alias("c"), (F.col("r") / size).cast("int").alias("row_block"), (F.col("r") % size).cast("int").alias("r"), "w")
     counted = at.groupBy("block").agg(F.count("*").alias("entries"))
     blocks = spark.range(-(-n // size)).select(F.col("id").cast("int").alias("block")).join(counted, "block", "left")
     fans = checkpointed(blocks.select("block", F.greatest(F.lit(1), F.ceil(F.coalesce("entries", F.lit(0)) / part_entries)).cast("int").alias("fan")))
@@ -104,7 +107,7 @@ def tiled(entries: DataFrame, numbers: DataFrame, start: DataFrame, columns: int
     count = F.least(F.lit(size), F.lit(n) - F.col("block").cast("long") * size).cast("int")
     heads = held.select("block", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.lit(-1).alias("row_block"), count.alias("n"), "fan", "rows", F.lit(None).cast("binary").alias("ends"), "cols", "weights")
     rows = keyed.groupBy("block", "part").applyInArrow(pack, _TILE).unionAll(heads)
-    return Tiled(rows.repartition(parts, "block", "part").sortWithinPartitions("block", "part").persist(), numbers, n, size)
+    return Tiled(rows.repartition(parts, "block", "part").sortWithinPartitions("block", "part").persist(), numbers, n, size, parts)
 
 
 def _split(left: pa.Table) -> tuple[int, list[int], int]:
@@ -137,10 +140,15 @@ def _products(left: pa.Table, tiles: list[int], x: np.ndarray, reduce: np.ufunc,
 
 def _run(t: Tiled, state: DataFrame, steps: int, step: Callable[[int, bool], Callable]) -> DataFrame:
     """The state after so many steps, as one checkpointed job; state is empty or a state that was returned."""
-    left = t.tiles.groupBy("block", "part")
-    for s in range(steps + 1):
-        state = left.cogroup(state.groupBy("block", "part")).applyInArrow(step(s, s < steps), _STATE)
-    return checkpointed(state)
+    conf, left = t.tiles.sparkSession.conf, t.tiles.groupBy("block", "part")
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(t.parts))  # the partitions of the tiles, so that they are never shuffled; as before when the job is done
+    try:
+        for s in range(steps + 1):
+            state = left.cogroup(state.groupBy("block", "part")).applyInArrow(step(s, s < steps), _STATE)
+        return checkpointed(state)
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def _logs(state: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
