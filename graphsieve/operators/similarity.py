@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,40 @@ def pairs(tests: DataFrame, references: DataFrame) -> DataFrame:
     return references.withColumnRenamed("bits", "rbits").crossJoin(F.broadcast(tests)).select("compound", "reference", "category", tanimoto(F.col("bits"), F.col("rbits")).alias("similarity"))
 
 
+def analogs(tests: DataFrame, references: DataFrame, threshold: float = 0.4, salts: int = 8) -> DataFrame:
+    """(compound, reference, category, similarity) of all pairs that reach the threshold (above 0), without meeting the others.
+
+    Bits are put in order of how many sets hold them, the rarest first.  Two sets of a and b bits that reach t share at least
+    t / (1 + t) * (a + b) bits, so their sizes differ by a factor of t at most and they share a bit among the first a - ceil(t * a) + 1 of
+    one and as many of the other: that is an equi-join.  A pair's shared places among these and the bits after the last of them bound what
+    it shares; pairs within the bound are settled on whole sets.  References of a bit are dealt by salts, so a frequent bit is many tasks.
+    Empty and null sets have no bit and reach nothing; repeated rows of tests or references must have names of their own.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    t = threshold
+    sides = [df.select(F.col(name).alias("id"), "bits").filter(F.size("bits") > 0) for df, name in ((tests, "compound"), (references, "reference"))]
+    # a row for each bit of a fingerprint: as many as it has bits
+    held = sides[0].unionAll(sides[1]).select(F.explode("bits").alias("bit")).groupBy("bit").count()
+    rank = held.select("bit", F.row_number().over(Window.orderBy("count", "bit")).alias("rank"))
+
+    def firsts(df: DataFrame) -> DataFrame:
+        ranked = df.select("id", F.size("bits").alias("size"), F.explode("bits").alias("bit")).join(rank, "bit")
+        ordered = ranked.groupBy("id", "size").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+        return ordered.select("id", "size", F.posexplode(F.slice("ranks", 1, F.col("size") - F.ceil(F.col("size") * t - 1e-9).cast("int") + 1)).alias("at", "rank"))
+
+    a, b = firsts(sides[0]).toDF("compound", "a", "i", "rank"), firsts(sides[1]).toDF("reference", "b", "j", "rank")
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = b.withColumn("salt", F.pmod(F.xxhash64("reference"), F.lit(salts)).cast("int"))
+    needed = F.col("a") + F.col("b")
+    needed = F.ceil(needed * (t / (1 + t)) - 1e-9)
+    sized = (F.col("b") >= F.col("a") * t - 1e-9) & (F.col("a") >= F.col("b") * t - 1e-9)
+    met = a.join(b, ["rank", "salt"]).filter(sized).groupBy("compound", "reference", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
+    near = met.filter(F.col("n") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) - 1 >= needed).select("compound", "reference")
+    whole = near.join(tests.select("compound", "bits"), "compound").join(references.select("reference", "category", F.col("bits").alias("rbits")), "reference")
+    return whole.select("compound", "reference", "category", tanimoto(F.col("bits"), F.col("rbits")).alias("similarity")).filter(F.col("similarity") >= t)
+
+
 def summary(scored: DataFrame, threshold: float = 0.4) -> DataFrame:
     """One row a compound: count, mean, max and population deviation for either category, and whether a positive reaches the threshold."""
     out = []

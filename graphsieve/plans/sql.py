@@ -37,6 +37,10 @@ PRINTS = """WITH t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS
  scored AS (SELECT 'c' || s.doc_id AS compound, r.doc_id AS reference, r.category, coalesce(c.n, 0) / (s.n + z.n - coalesce(c.n, 0)) AS similarity
    FROM (SELECT * FROM size WHERE doc_id < 2) s CROSS JOIN refs r JOIN size z ON z.doc_id = r.doc_id LEFT JOIN common c ON c.x = s.doc_id AND c.y = r.doc_id)
 """
+#: pairs: tests with ids divisible by 50 and references of a class that reach 0.4.
+ANALOGS = PRINTS[: PRINTS.index(" common AS")] + """ common AS (SELECT a.doc_id AS compound, b.doc_id AS reference, count(*) AS n FROM bits a JOIN bits b ON a.b = b.b WHERE a.doc_id % 50 = 0 GROUP BY 1, 2),
+ pairs AS (SELECT compound, reference, category, c.n / (x.n + y.n - c.n) AS similarity FROM common c JOIN size x ON x.doc_id = compound JOIN size y ON y.doc_id = reference JOIN refs r ON r.doc_id = reference WHERE c.n / (x.n + y.n - c.n) >= 0.4)
+"""
 
 
 def with_(select: str) -> str:

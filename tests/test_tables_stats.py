@@ -1,5 +1,6 @@
 """Curation, statistics, sampling, similarity, reports, checks, runner."""
 
+import hashlib
 import math
 import random
 
@@ -112,6 +113,51 @@ def test_degree_matched(spark):
         sampling.degree_matched(deg, t, 1, mode="M9")
 
 
+def one_by_one(degrees, wanted, permutations, seed, mode, keep=None):
+    """The draws of one target after another, from plain lists."""
+    band = {"M1": lambda d: (d - max(1, int(d * 0.25)), d + max(1, int(d * 0.25))), "M2": lambda d: (int(d * 0.75), int(d * 1.25) + 1), "M3": lambda d: (int(d * 0.75), int(d * 1.25))}[mode]
+    pool = sorted((d, n) for n, d in degrees.items() if (mode != "M1" or n not in wanted) and (keep is None or n in keep))
+    out = set()
+    for perm in range(permutations):
+        used = set()
+        for k, target in enumerate(sorted(t for t in wanted if t in degrees)):
+            low, high = band(degrees[target])
+            for stage, span in enumerate(([i for i, (d, _) in enumerate(pool) if low <= d <= high], list(range(len(pool))))):
+                roll = lambda m, n: int(hashlib.md5(f"{seed}:{perm}:{k}:{n}".encode()).hexdigest()[:16], 16) % m  # noqa: E731, B023
+                tried = [span[roll(len(span), n)] for n in range(24)] if span else []
+                free = [x for x in span if x not in used]
+                if mode == "M2" and stage == 1:
+                    got = tried[:1]
+                else:
+                    got = [x for x in tried if x not in used][:1] or ([free[roll(len(free), 24)]] if free else [])
+                if got:
+                    used.add(got[0])
+                    out.add((perm, k, pool[got[0]][1]))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("mode", ["M1", "M2", "M3"])
+def test_draws_of_crowded_bands(spark, mode):
+    # more targets than nodes of their degree: tries run out, free places are numbered, then bands are left
+    degrees = {f"t{k}": 10 + k % 2 for k in range(14)} | {f"h{k}": 90 for k in range(3)} | {f"n{k}": 9 + k % 3 for k in range(9)} | {f"f{k}": 40 for k in range(6)}
+    wanted = {f"t{k}" for k in range(14)} | {"h0", "none"}
+    keep = {n for n in degrees if n[0] in "nf" or n < "t3"} if mode == "M3" else None
+    frame = spark.createDataFrame(list(degrees.items()), "node string, degree long")
+    named = lambda x: spark.createDataFrame([(n,) for n in sorted(x)], "node string")
+    got = sampling.degree_matched(frame, named(wanted), 30, 7, mode, expressed=named(keep) if keep else None).collect()
+    assert {tuple(r) for r in got} == one_by_one(degrees, wanted, 30, 7, mode, keep) and len(got) == len({tuple(r) for r in got})
+
+
+def test_draws_from_nothing(spark):
+    deg, none = graph.degree(hubs(spark)), spark.createDataFrame([], "node string")
+    assert sampling.degree_matched(deg, none, 3).count() == 0
+    assert sampling.degree_matched(deg, graph.nodes_of(hubs(spark)), 3).count() == 0
+    assert sampling.degree_matched(deg, spark.createDataFrame([("T",)], "node string"), 3, mode="M3", expressed=none).count() == 0
+    with pytest.raises(ValueError):
+        sampling.degree_matched(deg, none, 0)
+
+
 def test_bootstrap_draws(spark):
     pool = spark.createDataFrame([(f"n{k}",) for k in range(30)], "node string")
     by = {}
@@ -134,6 +180,29 @@ def test_tanimoto(spark):
     assert [r["reference"] for r in similarity.resolve(refs, cache).collect()] == ["r2"]
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.8, 1.0])
+def test_analogs_against_all_pairs(spark, threshold):
+    rng = random.Random(5)
+    sets = [sorted({min(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(0, 25))}) for _ in range(150)]
+    sets += sets[:20] + [[0]] * 30 + [None, []]
+    refs = spark.createDataFrame([(k, "positive" if k % 2 else "negative", x) for k, x in enumerate(sets)], "reference int, category string, bits array<int>")
+    tests = refs.filter("reference % 3 = 0").select(F.col("reference").alias("compound"), "bits")
+    found = similarity.analogs(tests, refs, threshold)
+    brute = set()
+    for x in range(0, len(sets), 3):
+        for y in range(len(sets)):
+            a, b = set(sets[x] or ()), set(sets[y] or ())
+            if a | b and len(a & b) / len(a | b) >= threshold:
+                brute.add((x, y, len(a & b) / len(a | b)))
+    got = found.collect()
+    assert {(r["compound"], r["reference"], r["similarity"]) for r in got} == brute and len(got) == len(brute)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert similarity.analogs(tests.limit(0), refs, threshold).count() == 0
+    with pytest.raises(ValueError):
+        similarity.analogs(tests, refs, 0.0)
+
+
 def test_waterfall(spark):
     row = spark.createDataFrame([(10.0, 4.0, 9.0, 6.0)], "a_plain double, b_plain double, a_weighted double, b_weighted double")
     got = [(r["value"], r["ymin"], r["ymax"], r["fill"]) for r in reshape.waterfall(row).orderBy("ord").collect()]
@@ -147,6 +216,15 @@ def test_checks(spark):
     assert checks.failed(checks.run([checks.Check("a", n(3), 4)]))
 
 
+def test_measured(spark):
+    frame = spark.range(4)
+    aim = [checks.Measure("rows", F.count("*"), 4), checks.Measure("sum", F.sum("id"), F.count("*") + 2), checks.Measure("low", F.min("id"), 1, "warning"), checks.Measure("any", F.max("id") > 2, True)]
+    report = checks.measured(frame, aim)
+    assert [(r["check"], r["expected"], r["actual"], r["ok"]) for r in report.collect()] == [("rows", "4", "4", True), ("sum", "6", "6", True), ("low", "1", "0", False), ("any", "true", "true", True)]
+    assert not checks.failed(report) and checks.failed(checks.measured(frame.limit(0), aim[:1]))
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
 def test_runner(spark, tmp_path):
     ran = []
     make = lambda p: lambda s: (ran.append(p.name), p.write_text("x"))
