@@ -12,23 +12,14 @@ from pyspark.sql import types as T
 
 from .common import Work, batched, small, table
 
-#: The least bucket.
-BUCKET_BYTES = 32 << 20
+#: Bytes of a bucket.  A task holds a bucket and its permuted copy; the order follows the buckets, so their size is never taken from a cluster's memory.
+BUCKET_BYTES = 64 << 20
 
 
-def bucket_size(spark: SparkSession) -> int:
-    """Bytes of a bucket: an eighth of the executor memory of a core, as a task holds a bucket and its permuted copy, BUCKET_BYTES at least."""
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        return BUCKET_BYTES
-    memory = context._jsc.sc().executorMemory() << 20
-    return max(BUCKET_BYTES, memory // int(context.getConf().get("spark.executor.cores", "1")) // 8)
-
-
-def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int | None = None) -> DataFrame:
+def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of docs in a seeded random order, dealt into shards: every column, and ``shard``, ``slot``.
 
-    Pass one scatters rows uniformly into buckets of about bucket_bytes (bucket_size) by a seeded hash of id and
+    Pass one scatters rows uniformly into buckets of about bucket_bytes by a seeded hash of id and
     text.  A bucket that comes out over twice that size is split by another hash, and by row position
     if it holds many copies of one row (only then does the order depend on the input's layout; the input is staged first, so
     that a recomputed task sees the same rows).  Pass
@@ -40,11 +31,12 @@ def external_shuffle(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     Nulls in id or text are values like others; an empty table gives an empty result; repeated rows
     are rows of their own.  A column called shard or slot in docs is replaced; other columns may have any name.
 
+    But for such copies the same rows, seed, shards and bucket_bytes give the same order on any cluster.
+
     The driver holds three numbers; counts of buckets stay in tables, a row a bucket.
     """
     spark, work = docs.sparkSession, Work(docs.sparkSession, "shuffle")
     batched(spark, 2000)
-    bucket_bytes = bucket_bytes or bucket_size(spark)
     docs = docs.drop("shard", "slot")
     fields, id_, text = docs.schema.fields, docs.columns.index(id_col), docs.columns.index(text_col)
     columns = [f"c{k}" for k in range(len(fields))]
