@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,13 @@ def grid(levels: DataFrame, methods: DataFrame, upto: int) -> DataFrame:
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, n): equal-width bins from 1; values outside go to 0 and bins + 1."""
     return df.select(F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def trace(sections: dict[str, DataFrame], key: str) -> DataFrame:
+    """(section, key, measure, value) of frames of a key and counts: a row a count, nulls included, so reports of any sections have one form."""
+    long = []
+    for name, df in sections.items():
+        counts = [c for c in df.columns if c != key]
+        rows = df.select(key, *[F.col(c).cast("long").alias(c) for c in counts]).unpivot([key], counts, "measure", "value")
+        long.append(rows.select(F.lit(name).alias("section"), key, "measure", "value"))
+    return reduce(DataFrame.unionAll, long)

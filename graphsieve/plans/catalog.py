@@ -771,3 +771,24 @@ def integrity_checks(spark, sf):
         checks.Measure("strict in loose", F.count(F.when(F.expr("strict > 0 and degree = 0"), 1)) == 0, True), checks.Measure("loops", F.sum("loops"), 0),
     ])
     return found.unionAll(checks.measured(D.table(spark, sf, "region"), [checks.Measure("regions", F.count("*"), 6, "warning")]))
+
+
+@query(S.CURATION + """, counted AS (SELECT compound, count(*) AS n_raw, count(*) FILTER (gene IS NULL) AS n_unmapped, count(*) FILTER (alien) AS n_foreign, count(*) FILTER (gene IS NOT NULL AND NOT alien) AS n_kept,
+  count(*) FILTER (gene IS NOT NULL AND NOT alien) - count(DISTINCT protein_id) FILTER (gene IS NOT NULL AND NOT alien) AS n_duplicates FROM named GROUP BY 1),
+ ends AS (SELECT 'p' || l_partkey AS node, max(score) AS score FROM (SELECT l_partkey, l_suppkey, count(*) AS score FROM lineitem GROUP BY 1, 2) GROUP BY 1),
+ met AS (SELECT p_brand AS compound, count(*) AS n_targets, count(*) FILTER (score >= 2) AS n_in_network, count(*) FILTER (score >= 3) AS n_in_strict FROM part LEFT JOIN ends ON node = 'p' || p_partkey GROUP BY 1),
+ spec AS (SELECT compound, count(*) FILTER (gene IS NULL) AS no_mapping, count(*) FILTER (coalesce(alien, false)) AS non_human, count(*) FILTER (gene IS NOT NULL AND NOT alien) AS kept FROM named GROUP BY 1)
+ SELECT 'curation' AS section, compound, measure, value FROM (UNPIVOT counted ON n_raw, n_unmapped, n_foreign, n_kept, n_duplicates INTO NAME measure VALUE value)
+ UNION ALL SELECT 'exclusion', compound, measure, value FROM (UNPIVOT spec ON no_mapping, non_human, kept INTO NAME measure VALUE value)
+ UNION ALL SELECT 'network', compound, measure, value FROM (UNPIVOT met ON n_targets, n_in_network, n_in_strict INTO NAME measure VALUE value)""")
+def trace_report(spark, sf):
+    """The sections of the traceability report: what curation counts, why rows went, which targets the networks hold."""
+    raw, mapping = _raw(spark, sf), _mapping(spark, sf)
+    why = tables.exclusion_trace(raw, mapping, "ord").groupBy("compound").agg(
+        F.count(F.when(F.col("reason") == "No mapping", 1)).alias("no_mapping"), F.count(F.when(F.col("reason").startswith("Non-human"), 1)).alias("non_human"), F.count(F.when(F.col("reason") == "KEPT", 1)).alias("kept"),
+    )
+    best = D.links(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.max("score").alias("score"))
+    goal = D.table(spark, sf, "part").select(F.col("p_brand").alias("compound"), D.part_node().alias("node")).join(best, "node", "left")
+    at = lambda least, name: F.count(F.when(F.col("score") >= least, 1)).alias(name)
+    met = goal.groupBy("compound").agg(F.count("*").alias("n_targets"), at(D.LOOSE, "n_in_network"), at(D.STRICT, "n_in_strict"))
+    return reshape.trace({"curation": tables.curation_audit(raw, mapping), "exclusion": why, "network": met}, "compound")

@@ -209,6 +209,14 @@ def test_waterfall(spark):
     assert got == [(6, 0, 6, "Total"), (-1, 5, 6, "Decrease"), (2, 5, 7, "Increase"), (3, 0, 3, "Total")]
 
 
+def test_trace(spark):
+    a = spark.createDataFrame([("x", 1, None), (None, 3, 4)], "compound string, n long, m int")
+    b = spark.createDataFrame([("x", 7)], "compound string, n int")
+    got = {tuple(r) for r in reshape.trace({"s": a, "t": b}, "compound").collect()}
+    assert got == {("s", "x", "n", 1), ("s", "x", "m", None), ("s", None, "n", 3), ("s", None, "m", 4), ("t", "x", "n", 7)}
+    assert reshape.trace({"s": a.limit(0)}, "compound").count() == 0
+
+
 def test_checks(spark):
     n = lambda k: spark.range(k).agg(F.count("*"))
     report = checks.run([checks.Check("a", n(3), 3), checks.Check("b", n(3), 4, "warning"), checks.Check("c", spark.sql("select true"), True)])
