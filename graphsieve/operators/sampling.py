@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .iterate import checkpointed, placed, ranked
 
 
@@ -155,3 +159,58 @@ def degree_matched(degrees: DataFrame, targets: DataFrame, permutations: int, se
             break
         state = _without_tries(state, seed, total, again)
     return state.select("perm_id", "k", "place").join(pool.select("place", "node"), "place").select("perm_id", F.col("k").cast("int").alias("k"), "node")
+
+
+def drawn_in_turn(degrees: DataFrame, targets: DataFrame, permutations: int, seed: int = 42, mode: str = "M1", tolerance: float = 0.25, n_sample: int | None = None, expressed: DataFrame | None = None) -> DataFrame:
+    """The rows of degree_matched, drawn one target after another, a permutation in one task.
+
+    For few targets in crowded bands, where nearly every draw runs out of tries and rounds would settle one a job.
+    The driver and a task hold the targets' spans.
+    """
+    if mode not in ("M1", "M2", "M3"):
+        raise ValueError(f"unknown mode {mode}")
+    wanted = targets.select("node").distinct()
+    asked = [r["degree"] for r in degrees.join(wanted, "node", "left_semi").orderBy("node").collect()]
+    asked = asked[:n_sample] if mode == "M1" and n_sample is not None else asked
+    pool = degrees.join(wanted, "node", "left_anti") if mode == "M1" else degrees
+    if mode == "M3" and expressed is not None:
+        pool = pool.join(expressed.select("node").distinct(), "node", "left_semi")
+    pool = placed(pool.select("degree", "node"), "degree", "node")
+    sizes = pool.groupBy("degree").agg(F.count("*").alias("n")).orderBy("degree").collect()
+    order = np.array([r["degree"] for r in sizes], np.int64)
+    starts = np.concatenate(([0], np.cumsum([r["n"] for r in sizes]))).astype(np.int64)
+    limits = [_band(mode, int(k), tolerance) for k in asked]
+    spans = [(int(starts[np.searchsorted(order, low)]), int(starts[np.searchsorted(order, high, "right")])) for low, high in limits]
+    total = int(starts[-1])
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        perm, used, rows = int(frame["perm_id"].iloc[0]), set(), []
+
+        def pick(k: int, a: int, b: int, again: bool = False) -> int | None:
+            """A place from a to b, not used unless again, each as likely."""
+            roll = lambda m, n: int.from_bytes(hashlib.md5(f"{seed}:{perm}:{k}:{n}".encode()).digest()[:8]) % m
+            for n in range(_TRIES if b > a else 0):
+                at = a + roll(b - a, n)
+                if again or at not in used:
+                    return at
+            taken = sorted(x for x in used if a <= x < b)
+            if b - a <= len(taken):
+                return None
+            at = a + roll(b - a - len(taken), _TRIES)
+            for x in taken:
+                at += x <= at
+            return at
+
+        for k, (a, b) in enumerate(spans):
+            at = pick(k, a, b)
+            at = pick(k, 0, total, mode == "M2") if at is None else at
+            if at is not None:
+                rows.append((perm, k, at))
+                used.add(at)
+        return pd.DataFrame(rows, columns=["perm_id", "k", "place"])
+
+    spark = degrees.sparkSession
+    ship(spark)
+    perms = spark.range(permutations).select(F.col("id").cast("int").alias("perm_id"))
+    drawn = perms.groupBy("perm_id").applyInPandas(draw, "perm_id int, k int, place long")
+    return drawn.join(pool.select("place", "node"), "place").select("perm_id", "k", "node")

@@ -135,7 +135,7 @@ def _influence(s: Study, spark: SparkSession, t: int, weighted: bool) -> tuple[D
 def _null(s: Study, e: DataFrame, sets: DataFrame, mode: str, value) -> DataFrame:
     """(compound, value): value of each permutation's draws (perm_id, node)."""
     deg = checkpointed(graph.degree(e))
-    per = [value(sampling.degree_matched(deg, sets.filter(F.col("compound") == c), s.permutations, s.seed, mode)).select(F.lit(c).alias("compound"), "value") for c in s.compounds]
+    per = [value(sampling.drawn_in_turn(deg, sets.filter(F.col("compound") == c), s.permutations, s.seed, mode)).select(F.lit(c).alias("compound"), "value") for c in s.compounds]
     return reduce(DataFrame.unionAll, per)
 
 
