@@ -536,7 +536,8 @@ def path_permutation_test(spark, sf):
     dist = checkpointed(paths.distances(e, D.disease(spark, sf)))
     observed = paths.proximity(dist, D.targets(spark, sf), ["compound"]).select("compound", F.col("dc").alias("observed"))
     null = _null(spark, sf, e, "M2", lambda draws: paths.proximity(dist, draws, ["perm_id"]).select(F.col("dc").alias("value")).filter("value is not null"))
-    out = stats.null_summary(null, observed, ["compound"], "one_less")
+    # a set of which nothing is reached, in the graph or in all its draws, has no test: no row, as in the statement
+    out = stats.null_summary(null, observed.filter("observed is not null"), ["compound"], "one_less").filter("null_mean is not null")
     return out.select("compound", *_r6("observed", "null_mean", "null_std"), F.round("z_score", 4).alias("z_score"), *_r6("p_value"))
 
 

@@ -88,6 +88,16 @@ def test_path_permutations_match_degrees(spark, tables):
         agrees(r, *greedy(near, wanted, dist, lambda k: (int(k * 0.75), int(k * 1.25) + 1), set()))
 
 
+def test_path_permutations_of_unreached_sets(spark, tmp_path):
+    """Set A reaches no disease node: it has no row, as in the SQL."""
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([x for s, p in [(1, 1), (2, 2), (2, 3), (3, 4), (3, 5)] for x in [(s, p)] * 3], "l_suppkey long, l_partkey long", "lineitem")
+    write([(1, "Brand#1", 9, 1.0), (2, "Brand#2", 9, 1.0), (3, "Brand#9", 1, 1.0), (4, "Brand#2", 9, 1.0), (5, "Brand#9", 2, 1.0)], "p_partkey long, p_brand string, p_size int, p_retailprice double", "part")
+    write([(1, 1.0)], "s_suppkey long, s_acctbal double", "supplier")
+    got = catalog.QUERIES["path_permutation_test"](spark, str(tmp_path)).collect()
+    assert [(r["compound"], r["observed"]) for r in got] == [("B", 2.0)]
+
+
 def solved(spark, out, near, bias, weighted, forward):
     """The fixpoint of a walk by a dense solver."""
     names = sorted(near)
