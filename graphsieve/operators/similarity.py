@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..ship import ship
+from .iterate import checkpointed
+
+#: Fingerprints of a block, about: a task holds a block of tests and one of references.
+BLOCK = 1 << 14
+#: Tests and references compared at once within a tile.
+_ROWS, _COLUMNS = 8, 4096
 
 
 def tanimoto(a: Column, b: Column) -> Column:
@@ -33,38 +47,68 @@ def pairs(tests: DataFrame, references: DataFrame) -> DataFrame:
     return references.withColumnRenamed("bits", "rbits").crossJoin(F.broadcast(tests)).select("compound", "reference", "category", tanimoto(F.col("bits"), F.col("rbits")).alias("similarity"))
 
 
-def analogs(tests: DataFrame, references: DataFrame, threshold: float = 0.4, salts: int = 8) -> DataFrame:
-    """(compound, reference, category, similarity) of all pairs that reach the threshold (above 0), without meeting the others.
-
-    Bits are put in order of how many sets hold them, the rarest first.  Two sets of a and b bits that reach t share at least
-    t / (1 + t) * (a + b) bits, so their sizes differ by a factor of t at most and they share a bit among the first a - ceil(t * a) + 1 of
-    one and as many of the other: that is an equi-join.  A pair's shared places among these and the bits after the last of them bound what
-    it shares; pairs within the bound are settled on whole sets.  References of a bit are dealt by salts, so a frequent bit is many tasks.
+def _met(threshold: float):
+    """A function from a tile's rows to its pairs (compound, reference, category, both, union) that reach the threshold."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches).sort_by("size")
+        sides = [whole.filter(pc.equal(whole["side"], k)).combine_chunks() for k in (0, 1)]
+        if not all(x.num_rows for x in sides):
+            return
+        size = [x["size"].to_numpy().astype(np.int64) for x in sides]
+        flat = [pc.list_flatten(x["bits"]).to_numpy() for x in sides]
+        at = [np.repeat(np.arange(len(n)), n) for n in size]
+        # bits that no test of the tile holds are left out
+        have = np.unique(flat[0])
+        words = [np.zeros((-(-len(have) // 64), len(n)), np.uint64) for n in size]
+        for k in (0, 1):
+            place = np.minimum(np.searchsorted(have, flat[k]), len(have) - 1)
+            known = have[place] == flat[k]
+            np.bitwise_or.at(words[k], (place[known] >> 6, at[k][known]), np.uint64(1) << (place[known] & 63).astype(np.uint64))
+        kind = np.uint16 if len(have) < 1 << 16 else np.uint32
+        for i in range(0, len(size[0]), _ROWS):
+            a = size[0][i : i + _ROWS, None]
+            low, high = np.searchsorted(size[1], a[0, 0] * threshold - 1e-9), np.searchsorted(size[1], a[-1, 0] / threshold + 1e-9, "right")
+            for j in range(low, high, _COLUMNS):
+                b = size[1][None, j : min(j + _COLUMNS, high)]
+                both = np.zeros((len(a), b.shape[1]), kind)
+                for x, y in zip(*words, strict=True):
+                    both += np.bitwise_count(x[i : i + len(a), None] & y[None, j : j + b.shape[1]])
+                r, c = np.nonzero(both >= (a + b) * (threshold / (1 + threshold)) - 1e-6)
+                n = both[r, c].astype(np.int64)
+                union = a[r, 0] + b[0, c] - n
+                hit = n / union >= threshold
+                if hit.any():
+                    r, c, n, union = r[hit] + i, c[hit] + j, n[hit], union[hit]
+                    pairs = [sides[0]["compound"].take(pa.array(r)), sides[1]["reference"].take(pa.array(c)), sides[1]["category"].take(pa.array(c)), pa.array(n), pa.array(union)]
+                    yield from pa.table(pairs, names=["compound", "reference", "category", "both", "union"]).combine_chunks().to_batches()
+
+    return met
+
+
+def analogs(tests: DataFrame, references: DataFrame, threshold: float = 0.4, block: int = BLOCK) -> DataFrame:
+    """(compound, reference, category, similarity) of all pairs that reach the threshold (above 0).
+
+    Both sides are dealt into blocks by a hash of the name, and each block of tests meets each block of references in a tile of its own,
+    as words of bits whose common ones are counted.  A row is sent once for each block of the other side, and nothing is sent or kept
+    for a pair that does not reach the threshold.  Within a tile rows are in order of size, and only sizes that differ by a factor of
+    the threshold at most are compared.
     Empty and null sets have no bit and reach nothing; repeated rows of tests or references must have names of their own.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    t = threshold
-    sides = [df.select(F.col(name).alias("id"), "bits").filter(F.size("bits") > 0) for df, name in ((tests, "compound"), (references, "reference"))]
-    # a row for each bit of a fingerprint: as many as it has bits
-    held = sides[0].unionAll(sides[1]).select(F.explode("bits").alias("bit")).groupBy("bit").count()
-    rank = held.select("bit", F.row_number().over(Window.orderBy("count", "bit")).alias("rank"))
-
-    def firsts(df: DataFrame) -> DataFrame:
-        ranked = df.select("id", F.size("bits").alias("size"), F.explode("bits").alias("bit")).join(rank, "bit")
-        ordered = ranked.groupBy("id", "size").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-        return ordered.select("id", "size", F.posexplode(F.slice("ranks", 1, F.col("size") - F.ceil(F.col("size") * t - 1e-9).cast("int") + 1)).alias("at", "rank"))
-
-    a, b = firsts(sides[0]).toDF("compound", "a", "i", "rank"), firsts(sides[1]).toDF("reference", "b", "j", "rank")
-    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = b.withColumn("salt", F.pmod(F.xxhash64("reference"), F.lit(salts)).cast("int"))
-    needed = F.col("a") + F.col("b")
-    needed = F.ceil(needed * (t / (1 + t)) - 1e-9)
-    sized = (F.col("b") >= F.col("a") * t - 1e-9) & (F.col("a") >= F.col("b") * t - 1e-9)
-    met = a.join(b, ["rank", "salt"]).filter(sized).groupBy("compound", "reference", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
-    near = met.filter(F.col("n") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) - 1 >= needed).select("compound", "reference")
-    whole = near.join(tests.select("compound", "bits"), "compound").join(references.select("reference", "category", F.col("bits").alias("rbits")), "reference")
-    return whole.select("compound", "reference", "category", tanimoto(F.col("bits"), F.col("rbits")).alias("similarity")).filter(F.col("similarity") >= t)
+    ship(tests.sparkSession)
+    # the bits, once computed, are read twice: for the number of blocks and for the tiles
+    a, b = (checkpointed(df.filter(F.size("bits") > 0)) for df in (tests.select("compound", "bits"), references.select("reference", "category", "bits")))
+    fans = [max(1, -(-x.count() // block)) for x in (a, b)]
+    dealt = lambda name, fan: F.pmod(F.xxhash64(name), F.lit(fan)).cast("int")
+    each = lambda fan: F.explode(F.sequence(F.lit(0), F.lit(fan - 1)))
+    a = a.select(dealt("compound", fans[0]).alias("row"), each(fans[1]).alias("column"), F.lit(0).alias("side"), F.size("bits").alias("size"), "compound", "bits")
+    b = b.select(dealt("reference", fans[1]).alias("column"), each(fans[0]).alias("row"), F.lit(1).alias("side"), F.size("bits").alias("size"), "reference", "category", "bits")
+    rows = a.unionByName(b, allowMissingColumns=True).repartition(fans[0] * fans[1], "row", "column")
+    kinds = T.StructType([*(rows.schema[c] for c in ("compound", "reference", "category")), T.StructField("both", T.LongType()), T.StructField("union", T.LongType())])
+    found = rows.groupBy("row", "column").applyInArrow(_met(threshold), kinds)
+    return found.select("compound", "reference", "category", (F.col("both") / F.col("union")).alias("similarity"))
 
 
 def summary(scored: DataFrame, threshold: float = 0.4) -> DataFrame:

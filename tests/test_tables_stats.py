@@ -203,6 +203,19 @@ def test_analogs_against_all_pairs(spark, threshold):
         similarity.analogs(tests, refs, 0.0)
 
 
+def test_analogs_by_tiles(spark):
+    """Blocks of 8 give the pairs of one tile; negative and large bits too; a pair is no row of a shuffle or join before it is found."""
+    rng = random.Random(6)
+    sets = [sorted({rng.choice((-7, 1 << 30, rng.randrange(40))) for _ in range(rng.randrange(1, 30))}) for _ in range(90)] + [list(range(40))] * 10
+    refs = spark.createDataFrame([(k, None if k % 5 else "positive", x) for k, x in enumerate(sets)], "reference int, category string, bits array<int>")
+    tests = refs.filter("reference % 2 = 0").select(F.concat(F.lit("t"), "reference").alias("compound"), "bits")
+    brute = {(f"t{x}", y, None if y % 5 else "positive", len(set(a) & set(b)) / len(set(a) | set(b))) for x, a in enumerate(sets) if x % 2 == 0 for y, b in enumerate(sets)}
+    found = similarity.analogs(tests, refs, 0.5, block=8)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in brute if x[3] >= 0.5}
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
 def test_waterfall(spark):
     row = spark.createDataFrame([(10.0, 4.0, 9.0, 6.0)], "a_plain double, b_plain double, a_weighted double, b_weighted double")
     got = [(r["value"], r["ymin"], r["ymax"], r["fill"]) for r in reshape.waterfall(row).orderBy("ord").collect()]
