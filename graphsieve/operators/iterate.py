@@ -33,6 +33,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a task groups by keys which hardly repeat.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df (of so many rows, about) by its keys in as many tasks as the rows need, two at least: what a task groups doesn't grow with the table.
+
+    The session's number of partitions is fixed, and AQE only makes fewer of them.  Where keys hardly repeat, a grouping before
+    the shuffle would hold its input's rows once more; after this there is none.
+    """
+    return df.repartition(max(2, -(-rows // task_rows)), *keys)
+
+
 def repeat(state: DataFrame, step: Callable[[DataFrame], DataFrame], times: int, every: int = 5) -> DataFrame:
     """step applied times over, checkpointed every few steps."""
     for k in range(1, times + 1):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import checks, diffusion, graph, paths, reshape, sampling, similarity, stats, tables
-from ..operators.iterate import checkpointed
+from ..operators.iterate import checkpointed, dealt
 from . import derived as D
 from . import sql as S
 
@@ -761,7 +761,8 @@ def integrity_checks(spark, sf):
     """Of the graph of both thresholds; links are read once, and the checks of an edge's ends are one aggregate."""
     at = lambda least: F.col("score") >= least
     ends = F.array(F.struct(F.least("src", "dst").alias("node"), F.lit(1).alias("first")), F.struct(F.greatest("src", "dst").alias("node"), F.lit(0).alias("first")))
-    pairs = D.links(spark, sf).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count(F.when(at(D.LOOSE), 1)).alias("rows"), F.max("score").alias("score"))
+    ordered = D.links(spark, sf).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "score")
+    pairs = dealt(ordered, D.n_lines(spark, sf), "src", "dst").groupBy("src", "dst").agg(F.count(F.when(at(D.LOOSE), 1)).alias("rows"), F.max("score").alias("score"))
     ended = pairs.select("rows", "score", (F.col("src") == F.col("dst")).alias("loop"), F.inline(ends))
     whole = ended.groupBy("node").agg(
         F.count(F.when(at(D.LOOSE), 1)).alias("degree"), F.count(F.when(at(D.STRICT), 1)).alias("strict"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iterate import dealt
+
 LOOSE, STRICT = 2, 3
 SMALL, LARGE = ["Brand#1"], [f"Brand#{k}" for k in range(2, 8)]
 
@@ -18,9 +20,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def n_lines(spark: SparkSession, sf: str) -> int:
+    """Order lines, by the files' footers."""
+    return table(spark, sf, "lineitem").count()
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, dst, score) of all pairs."""
-    li = table(spark, sf, "lineitem")
+    """(src, dst, score) of all pairs, of which there are nearly as many as order lines."""
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
+    li = dealt(li, n_lines(spark, sf), "l_suppkey", "l_partkey")
     ends = [F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")]
     return li.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("score")).select(*ends, "score")
 
