@@ -83,9 +83,10 @@ def source_expressed_set(spark, sf):
 
 
 def _links(spark, sf, times: int) -> str:
+    """A folder of gzip'd files, each with the header, as no task should group or write all links."""
     path = f"{_folder(spark)}.txt.gz"
     rows = D.links(spark, sf).select(F.col("src").alias("protein1"), F.col("dst").alias("protein2"), (F.col("score") * times).alias("combined_score"))
-    rows.coalesce(1).write.option("sep", " ").option("header", True).option("compression", "gzip").csv(path)
+    rows.write.option("sep", " ").option("header", True).option("compression", "gzip").csv(path)
     return path
 
 

@@ -96,10 +96,15 @@ def expressed(spark: SparkSession, path: str, pattern: str = "Liver", above: flo
 
 
 def edges(spark: SparkSession, path: str, min_score: int | None = None, partitions: int | None = None) -> DataFrame:
-    """(src, dst, score) of a space-separated list, gzip'd or not; gzip can't be split, so its rows are dealt anew."""
+    """(src, dst, score) of a space-separated list, gzip'd or not, a file or a folder of files that each have the header.
+
+    A gzip'd file can't be split, so rows of fewer files than the session's tasks are dealt anew; of more files each is a task's part.
+    """
     df = spark.read.schema("src string, dst string, score int").option("header", True).option("sep", " ").csv(path)
     df = df if min_score is None else df.filter(F.col("score") >= min_score)
-    return df.repartition(partitions or spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
+    tasks = partitions or spark.sparkContext.defaultParallelism
+    few = path.endswith(".gz") and (partitions is not None or len(df.inputFiles()) < tasks)
+    return df.repartition(tasks) if few else df
 
 
 def names(spark: SparkSession, path: str, species_prefix: str | None = None) -> DataFrame:

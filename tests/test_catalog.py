@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from graphsieve.plans import catalog
+from graphsieve.operators import iterate
+from graphsieve.plans import catalog, files
+from graphsieve.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,7 @@ def tables(spark, tmp_path_factory):
     write(lines, "l_suppkey long, l_partkey long", "lineitem")
     write([(p, f"Brand#{1 + p % 20}", p % 13, 900.0 + p) for p in range(1, 61)], "p_partkey long, p_brand string, p_size int, p_retailprice double", "part")
     write([(s, 100.0 * s) for s in range(1, 9)], "s_suppkey long, s_acctbal double", "supplier")
+    write([(0,)], "r_regionkey int", "region")
     near: dict[str, set] = {}
     for s, p in edges:
         near.setdefault(f"s{s}", set()).add(f"p{p}")
@@ -35,6 +38,20 @@ def test_direct_neighbors_of_all_nodes(spark, tables):
     assert got == {n: (len(x), len(x & disease())) for n, x in near.items()}
 
 
+def test_links_are_grouped_and_written_in_parts(spark, tables):
+    """Tasks follow the rows, not the session's number of partitions, and no one task writes the links."""
+    out, near = tables
+    assert iterate.dealt(spark.range(100), 100, "id", task_rows=10).rdd.getNumPartitions() == 10
+    assert iterate.dealt(spark.range(100), 0, "id").rdd.getNumPartitions() == 2
+    path = files._links(spark, out, 100)
+    written = spark.read.text(path)
+    assert len(written.inputFiles()) == 2 and written.filter("value = 'protein1 protein2 combined_score'").count() == 2
+    got = [(r["src"], r["dst"]) for r in readers.edges(spark, path, 200).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, p) for s in near if s[0] == "s" for p in near[s]}
+    report = {r["check"]: (r["actual"], r["ok"]) for r in catalog.QUERIES["integrity_checks"](spark, out).filter("check <> 'regions'").collect()}
+    assert report["loose edges"] == (str(len(got)), True) and all(ok for _, ok in report.values())
+
+
 def distance(near, sources):
     dist, level = {}, set(sources) & set(near)
     while level:
