@@ -216,7 +216,8 @@ def cli_extract(spark, sf):
     """The command line's extraction, from files to an edge table."""
     out = _folder(spark)
     nodes = graph.nodes_of(D.links(spark, sf))
-    info = _text(spark, ["#string_protein_id\tpreferred_name\tsize"], nodes.select(F.lit(0).alias("k"), _join(F.col("node"), F.upper("node"), "1", by="\t").alias("line")), _folder(spark))
+    info = _folder(spark)
+    nodes.select(F.col("node").alias("#string_protein_id"), F.upper("node").alias("preferred_name"), F.lit(1).alias("size")).write.option("sep", "\t").option("header", True).csv(info)
     if cli.main(["extract", "--links", _links(spark, sf, 350), "--info", info, "--threshold", "700", "--output", out], spark):
         raise RuntimeError("the extraction failed")
     return readers.parquet(spark, out)

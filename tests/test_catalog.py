@@ -48,6 +48,7 @@ def test_links_are_grouped_and_written_in_parts(spark, tables):
     assert len(written.inputFiles()) == 2 and written.filter("value = 'protein1 protein2 combined_score'").count() == 2
     got = [(r["src"], r["dst"]) for r in readers.edges(spark, path, 200).collect()]
     assert len(got) == len(set(got)) and set(got) == {(s, p) for s in near if s[0] == "s" for p in near[s]}
+    assert {(r["src"], r["dst"]) for r in catalog.QUERIES["cli_extract"](spark, out).collect()} == {(p.upper(), s.upper()) for s, p in got}
     report = {r["check"]: (r["actual"], r["ok"]) for r in catalog.QUERIES["integrity_checks"](spark, out).filter("check <> 'regions'").collect()}
     assert report["loose edges"] == (str(len(got)), True) and all(ok for _, ok in report.values())
 
